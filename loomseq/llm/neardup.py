@@ -1,10 +1,11 @@
 """Near-duplicate records with small edits: tensored banding of MinHash values.
 
-Instead of rows x bands independent hash functions, two small collections A and B of `m` MinHash functions each are
-computed, and every pair (a_i, b_j) is the key of one of m x m tables: 2m functions serve m^2 tables. A record is sent
-once for each a_i, with its B values; the tables (a_i, b_j) are formed inside the bucket of a_i. Two records of
-similarity s miss each other with a chance below 2 (1 - s)^m: for s = 0.6, m = 8 under 0.13 %. Candidates are verified
-by the exact similarity of their whole word sets.
+Instead of rows x bands independent hash functions, two small collections A (m functions) and B (2m functions) of MinHash
+values are computed, and every pair (a_i, b_j) is the key of one of 2 m^2 tables: 3m functions serve them all. A record is
+sent once for each a_i, with one byte of each B value; the tables (a_i, b_j) are formed inside the bucket of a_i. Records
+that meet there and agree in three values of B (five of A and B together) are candidates: one common word makes hardly
+any. Two records of similarity 0.6 miss each other with a chance of about 0.08 % at m = 8, more similar ones with far
+less. Candidates are verified by the exact similarity of their whole word sets.
 
 A first pass counts the entries of the buckets. Entries of a bucket too full for one task (a hot a_i) are sent by their
 whole table keys (a_i, b_j) instead. Records that still meet in a crowd are not paired off: within the crowd an exact
@@ -29,7 +30,10 @@ _BLOCK = 1 << 20
 _HOLD = 12 << 20
 _PER_BUCKET = 50_000
 _FULL = 4 * _PER_BUCKET
+_DIRECT = 32  # records of one a_i that are compared by their B values one with another
+_WIDE = 2048  # beyond that the tables within a_i take two B values
 _CROWD = 256
+_LEAST_B, _LEAST = 3, 5  # equal values of B, and of A and B together, that make a candidate
 _RNG = np.random.default_rng(20)
 _ODD = (_RNG.integers(0, 1 << 31, (2, 64), dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
 _PLUS = _RNG.integers(0, 1 << 32, 64, dtype=np.uint32)
@@ -98,17 +102,17 @@ def _send(k: int, m: int, n_buckets: int, full: np.ndarray):
 
         for b in slices(batches, "seq", _BLOCK):
             ids = b.column("id").to_numpy().astype(np.int64)
-            rec, sig = _signature(*words(*flat_codes(b.column("seq")), k), 0, 2 * m)
+            rec, sig = _signature(*words(*flat_codes(b.column("seq")), k), 0, 3 * m)
             if not rec.size:
                 continue
-            a, low = sig[:m], np.ascontiguousarray((sig[m:] >> np.uint32(8)).astype(np.uint16).T)
+            a, low = sig[:m], np.ascontiguousarray((sig[m:] >> np.uint32(8)).astype(np.uint8).T)
             bucket = _bucket(a, n_buckets)
             hot = np.isin(bucket, full)
             i, r = np.nonzero(~hot)
             put(bucket[i, r], i.astype(np.uint8), a[i, r], ids[rec[r]], low[r])
             if hot.any():
                 i, r = np.nonzero(hot)
-                for j in range(m):
+                for j in range(2 * m):
                     key = mix64(bucket[i, r].astype(np.uint64) << np.uint64(8) | np.uint64(j)) ^ mix64((a[i, r].astype(np.uint64) << np.uint64(32)) | sig[m + j][r])
                     put(n_buckets + (mix64(key) % np.uint64(n_buckets)).astype(np.int64), np.full(i.size, 16 + j, np.uint8), (key >> np.uint64(32)).astype(np.uint32), ids[rec[r]], low[r])
             if size > _HOLD:
@@ -119,45 +123,81 @@ def _send(k: int, m: int, n_buckets: int, full: np.ndarray):
     return run
 
 
+def _pairs_of(order: np.ndarray, edge: np.ndarray, size: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within the picked runs of `order`."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for n in np.unique(size[pick]):
+        group = order[edge[:-1][pick & (size == n)][:, None] + np.arange(n)]
+        x, y = np.triu_indices(int(n), 1)
+        left.append(group[:, x].reshape(-1))
+        right.append(group[:, y].reshape(-1))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _distinct(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    key = np.minimum(x, y) * n + np.maximum(x, y)
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])] if key.size else key
+    return key // n, key % n
+
+
 def _meet(m: int):
-    """Candidate pairs of a bucket (crowd null), and the members of crowds (id_b null)."""
+    """Candidate pairs of a bucket (crowd null) with their equal B values, and the members of crowds (id_b null)."""
 
     def run(table: pa.Table) -> pa.Table:
-        got = [load(v.as_py(), np.uint8, np.uint32, np.int64, np.uint16) for v in table.column("blob")]
+        got = [load(v.as_py(), np.uint8, np.uint32, np.int64, np.uint8) for v in table.column("blob")]
         table_no, a, ids, low = (np.concatenate([g[i] for g in got]) for i in range(4))
-        low = low.reshape(-1, m)
+        low = low.reshape(-1, 2 * m)
         key = (table_no.astype(np.uint64) << np.uint64(32)) | a
         order = np.argsort(key)
         edge = runs(key[order])
-        many = np.diff(edge) > 1
-        keep = order[ranges(edge[:-1][many], np.diff(edge)[many])]
-        key, ids, low = key[keep], ids[keep], low[keep]
-        pair_a, pair_b, crowd, member = [], [], [], []
-        for j in range(m):
-            t = mix64(key ^ (low[:, j].astype(np.uint64) << np.uint64(44)) ^ np.uint64(j << 60))
-            o = np.argsort(t)
-            edge = runs(t[o])
-            size = np.diff(edge)
-            for n in np.unique(size[(size > 1) & (size <= _CROWD)]):
-                group = ids[o[edge[:-1][size == n][:, None] + np.arange(n)]]
-                x, y = np.triu_indices(int(n), 1)
-                pair_a.append(group[:, x].reshape(-1))
-                pair_b.append(group[:, y].reshape(-1))
-            for s in np.flatnonzero(size > _CROWD):
-                who = np.unique(ids[o[edge[s] : edge[s + 1]]])
-                crowd.append(np.full(who.size, t[o[edge[s]]].astype(np.int64)))
-                member.append(who)
+        size = np.diff(edge)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        crowd, member = [], []
+
+        def take(x: np.ndarray, y: np.ndarray) -> None:
+            for lo in range(0, x.size, 1 << 20):
+                i, j = x[lo : lo + (1 << 20)], y[lo : lo + (1 << 20)]
+                ok = np.count_nonzero(low[i] == low[j], axis=1) >= _LEAST_B
+                found.append((i[ok], j[ok]))
+
+        take(*_pairs_of(order, edge, size, (size > 1) & (size <= _DIRECT)))
+        for wide, pick in ((False, (size > _DIRECT) & (size <= _WIDE)), (True, size > _WIDE)):
+            rest = order[ranges(edge[:-1][pick], size[pick])]
+            if not rest.size:
+                continue
+            pairs_x, pairs_y = [], []
+            for j in range(2 * m):
+                for k in range(j + 1, 2 * m) if wide else (j,):
+                    t = mix64(key[rest] ^ mix64(low[rest, j].astype(np.uint64) | (low[rest, k].astype(np.uint64) << np.uint64(8)) | np.uint64((j << 16) + (k << 24))))
+                    o = np.argsort(t)
+                    e = runs(t[o])
+                    n = np.diff(e)
+                    x, y = _pairs_of(rest[o], e, n, (n > 1) & (n <= _CROWD))
+                    x, y = _distinct(x, y, ids.size)
+                    ok = np.count_nonzero(low[x] == low[y], axis=1) >= _LEAST_B
+                    pairs_x.append(x[ok])
+                    pairs_y.append(y[ok])
+                    for s in np.flatnonzero(n > _CROWD):
+                        who = np.unique(ids[rest[o[e[s] : e[s + 1]]]])
+                        crowd.append(np.full(who.size, t[o[e[s]]].astype(np.int64)))
+                        member.append(who)
+            found.append(_distinct(np.concatenate(pairs_x), np.concatenate(pairs_y), ids.size))
         none = np.empty(0, np.int64)
-        x, y = np.concatenate([none, *pair_a]), np.concatenate([none, *pair_b])
-        x, y = np.minimum(x, y), np.maximum(x, y)
-        order = np.lexsort((y, x))
-        x, y = x[order], y[order]
-        new = np.ones(x.size, bool)
-        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        new &= x != y
-        x, y = x[new], y[new]
+        i, j = (np.concatenate([none, *(f[c] for f in found)]) for c in (0, 1))
+        n_b = np.count_nonzero(low[i] == low[j], axis=1)
+        x, y = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        two = x != y
+        x, y, n_b = x[two], y[two], n_b[two]
         c, w = np.concatenate([none, *crowd]), np.concatenate([none, *member])
-        return pa.table({"crowd": pa.concat_arrays([pa.nulls(x.size, pa.int64()), pa.array(c)]), "id_a": np.concatenate([x, w]), "id_b": pa.concat_arrays([pa.array(y), pa.nulls(w.size, pa.int64())])})
+        return pa.table(
+            {
+                "crowd": pa.concat_arrays([pa.nulls(x.size, pa.int64()), pa.array(c)]),
+                "id_a": np.concatenate([x, w]),
+                "id_b": pa.concat_arrays([pa.array(y), pa.nulls(w.size, pa.int64())]),
+                "n_b": np.concatenate([n_b, np.zeros(w.size, np.int64)]).astype(np.int32),
+            }
+        )
 
     return run
 
@@ -224,9 +264,10 @@ def near_pairs(df: DataFrame, rec_id: str, seq: str, merge_equal: bool = False,
     n_buckets = recs.count() * m // _PER_BUCKET + 16
     counts = recs.mapInArrow(_count(k, m, n_buckets), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     full = np.array([r[0] for r in counts.where(F.col("n") > _FULL).collect()], np.int64)  # at most records x m / _FULL rows
-    met = recs.mapInArrow(_send(k, m, n_buckets, full), "bucket bigint, blob binary").groupBy("bucket").applyInArrow(_meet(m), "crowd bigint, id_a bigint, id_b bigint")
+    met = recs.mapInArrow(_send(k, m, n_buckets, full), "bucket bigint, blob binary").groupBy("bucket").applyInArrow(_meet(m), "crowd bigint, id_a bigint, id_b bigint, n_b int")
     met = written(met, "near-candidates")
-    pairs = met.where("crowd is null").select("id_a", "id_b")
+    pairs = met.where("crowd is null").groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n_a"), F.max("n_b").alias("n_b"))
+    pairs = pairs.where(F.col("n_a") + F.col("n_b") >= _LEAST).select("id_a", "id_b")
     crowds = met.where("crowd is not null").select("crowd", F.col("id_a").alias("id"))
     if not crowds.isEmpty():
         pairs = pairs.unionByName(_crowd_pairs(crowds, recs, k, num, den))
