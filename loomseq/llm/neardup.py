@@ -273,7 +273,7 @@ def near_pairs(df: DataFrame, rec_id: str, seq: str, merge_equal: bool = False,
         pairs = pairs.unionByName(_crowd_pairs(crowds, recs, k, num, den))
     pairs = written(pairs.distinct(), "near-pairs")
     ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    texts = written(recs.join(ids, "id", "left_semi"), "near-texts")
+    texts = written(recs.join(ids.hint("shuffle_hash"), "id", "left_semi"), "near-texts")  # ids grow with the records: never a broadcast
     a, b = (texts.select(F.col("id").alias(f"id_{s}"), F.col("seq").alias(f"seq_{s}")) for s in "ab")
     full_pairs = pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", "seq_a", "seq_b")
     return full_pairs.mapInArrow(_exact(k, num, den), "id_a bigint, id_b bigint, n_both bigint, n_either bigint")
