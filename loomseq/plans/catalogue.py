@@ -5,25 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import parse
+from ..functions import bases
+from ..operators import assemble, kmers, links, mapping, overlap, pairs, parse, quality, scaffold, stats, votes
+from ..params import DEFAULT
+from . import views as v
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
 
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return parse.rejects(_t(spark, d, "read_raw"))
+    return add
 
 
-def p3_rows(spark: SparkSession, d: str) -> DataFrame:
-    return parse.typed_rows(_t(spark, d, "read_raw"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_rows)}
-
+# --- lines that do not parse ---
 
 _FIELD = r"""(?:"(?:[^"]|"")*"|[^",]*)"""
 #: Well-quoted lines are cut into fields: each with its comma before it, quotes taken off and undoubled.
@@ -38,8 +42,529 @@ judged AS (SELECT *, CASE WHEN line IS NULL THEN 'columns' WHEN NOT quoted THEN
  WHEN NOT regexp_full_match(nb, '[0-9]{{1,9}}') OR TRY_CAST(nb AS INT) <> length(seq) - length(translate(seq, 'Nn.', '')) THEN 'nbasenum' END AS reason FROM named)"""
 
 
+@_query(f"WITH {_PARSED} SELECT line_no, reason FROM judged WHERE reason IS NOT NULL")
+def p3_found(spark, d):
+    return parse.rejects(v.table(spark, d, "read_raw"))
+
+
+@_query(f"WITH {_PARSED} SELECT line_no, name, seq, nullif(qual, '') AS qual, CAST(len AS INT) AS len, CAST(nb AS INT) AS nbasenum FROM judged WHERE reason IS NULL")
+def p3_rows(spark, d):
+    return parse.typed_rows(v.table(spark, d, "read_raw"))
+
+
+# --- reads ---
+
+
+@_query(f"WITH {v.FLAGGED} SELECT rid, valid FROM flagged")
+def read_quality(spark, d):
+    return quality.flagged(v.reads(spark, d)).select("rid", "valid")
+
+
+_PROFILE = "SELECT run_id, count(*) AS n_reads, CAST(sum(length(seq)) AS BIGINT) AS n_bases, CAST(max(length(seq)) AS INT) AS max_len, CAST(min(length(seq)) AS INT) AS min_len, CAST({0}(avg(length(seq))) AS BIGINT) AS mean_len FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rid) AS n FROM reads JOIN runs USING (run_id) WHERE file_format = '{1}') WHERE n <= 10000 GROUP BY run_id"
+
+
+def _profile(spark, d, kind):
+    runs = v.table(spark, d, "runs").where(F.col("file_format") == kind).select("run_id")
+    return quality.profile(v.reads(spark, d).join(runs, "run_id"), "run_id", "rid", fastq=kind == "fastq")
+
+
+@_query(f"WITH {v.READS} " + _PROFILE.format("round", "fasta"))
+def read_profile_fasta(spark, d):
+    return _profile(spark, d, "fasta")
+
+
+@_query(f"WITH {v.READS} " + _PROFILE.format("ceil", "fastq"))
+def read_profile_fastq(spark, d):
+    return _profile(spark, d, "fastq")
+
+
+@_query("SELECT CAST(max(length(seq)) AS INT) AS max_len, CAST(min(length(seq)) AS INT) AS min_len FROM read_buf")
+def read_length_range(spark, d):
+    return v.table(spark, d, "read_buf").agg(F.max(F.length("seq")).alias("max_len"), F.min(F.length("seq")).alias("min_len"))
+
+
+@_query(f"WITH {v.VALID} SELECT seq, min(rid) AS first_rid, count(*) AS n_reads FROM good GROUP BY seq")
+def read_dictionary(spark, d):
+    return quality.distinct_seqs(v.valid(spark, d))
+
+
+@_query(
+    f"""WITH {v.VALID}, cut AS (SELECT rid, seq, substr(seq, 1, 25) AS w FROM good WHERE length(seq) >= 25)
+SELECT rid, reverse(translate(seq, 'ACGT', 'TGCA')) AS reverse_seq,
+ CAST(list_sum([(strpos('ACGT', substr(w, CAST(i AS INT), 1)) - 1) * (1::BIGINT << CAST(2 * (25 - i) AS INT)) FOR i IN range(1, 26)]) AS BIGINT) AS packed,
+ w AS unpacked,
+ CAST(list_reduce([CAST(strpos('ACGT', c) - 1 AS HUGEINT) FOR c IN string_split(w, '')], lambda h, b: (h * 33 + b) % 18446744073709551616, CAST(5381 AS HUGEINT)) % 15728681 AS BIGINT) AS bucket FROM cut"""
+)
+def sequence_scalars(spark, d):
+    w = F.substring("seq", 1, 25)
+    code = bases.pack2(w)
+    return v.valid(spark, d).where("length(seq) >= 25").select("rid", bases.revcomp(F.col("seq")).alias("reverse_seq"), code.alias("packed"), bases.unpack2(code, 25).alias("unpacked"), bases.shift_hash(w, 15_728_681).alias("bucket"))
+
+
+@_query(f"WITH {v.READS} SELECT rid, length(seq) - length(translate(seq, 'Nn.', '')) AS n_unknown, translate(seq, 'Nn.', 'CCC') AS replaced, round((length(seq) - length(replace(seq, 'A', ''))) / length(seq), 6) AS share_a FROM reads WHERE seq <> ''")
+def unknown_bases(spark, d):
+    s = F.col("seq")
+    return v.reads(spark, d).where("seq <> ''").select("rid", bases.unknown_bases(s).cast("bigint").alias("n_unknown"), bases.replace_unknown(s).alias("replaced"), F.round(bases.share_of(s, "A"), 6).alias("share_a"))
+
+
+# --- k-mers ---
+
+
+@_query(f"WITH {v.KMERS} SELECT kmer, rid, pos FROM kmers")
+def kmer_positions(spark, d):
+    return v.sampled(spark, d)
+
+
+@_query(f"WITH {v.KMERS} SELECT kmer, count(*) AS n, count(DISTINCT rid) AS n_reads FROM kmers GROUP BY kmer")
+def kmer_counts(spark, d):
+    return kmers.counts(v.sampled(spark, d))
+
+
+@_query(f"WITH {v.KMERS} SELECT kmer, CAST(chunk AS INT) AS chunk, string_agg(rid || ':' || pos, ',' ORDER BY rid, pos) AS postings FROM (SELECT *, (row_number() OVER (PARTITION BY kmer ORDER BY rid, pos) - 1) // 1000 AS chunk FROM kmers) GROUP BY ALL")
+def kmer_postings(spark, d):
+    p = kmers.postings(v.sampled(spark, d), 1000)
+    return p.withColumn("postings", F.array_join(F.transform("postings", lambda x: F.concat_ws(":", x["rid"].cast("string"), x["pos"].cast("string"))), ","))
+
+
+_BOUNDS = """per AS (SELECT kmer, count(*) AS n, count(DISTINCT rid) AS n_reads, max(CASE WHEN pos = 1 THEN 1 ELSE 0 END) AS at_start FROM kmers GROUP BY kmer),
+avgs AS (SELECT greatest(sum(n) / count(*) * 76 / 11 / 1.6, 1.0) AS avg_occ FROM per),
+bounds AS (SELECT avg_occ, greatest(least(avg_occ * 0.5, 6), 3) AS lower, avg_occ * 10 AS upper FROM avgs)"""
+
+
+@_query(f"WITH {v.KMERS}, {_BOUNDS} SELECT round(avg_occ, 6) AS avg_occ, round(lower, 6) AS lower, round(upper, 6) AS upper FROM bounds")
+def kmer_bounds(spark, d):
+    return kmers.seed_bounds(v.sampled(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("avg_occ", "lower", "upper")])
+
+
+@_query(f"WITH {v.KMERS}, {_BOUNDS} SELECT kmer, n AS multiplicity, n AS arraysize FROM per, bounds WHERE n BETWEEN lower AND upper AND length(replace(kmer, kmer[1], '')) > 0 AND at_start = 1 AND n_reads = n")
+def kmer_seeds(spark, d):
+    return kmers.seeds(v.sampled(spark, d))
+
+
+@_query(f"WITH {v.KMERS} SELECT kmer, rid, count(*) AS copies FROM kmers GROUP BY kmer, rid HAVING count(*) > 1")
+def kmer_multi_copy(spark, d):
+    return kmers.multi_copy(v.sampled(spark, d))
+
+
+@_query(f"WITH {v.KMERS} SELECT DISTINCT kmer FROM kmers JOIN good USING (rid) WHERE pos = length(seq) - 24")
+def kmer_at_read_end(spark, d):
+    return kmers.at_read_end(v.sampled(spark, d), v.valid(spark, d))
+
+
+@_query(f"WITH {v.KMERS}, c AS (SELECT kmer, count(*) AS n FROM kmers GROUP BY kmer) SELECT a.kmer, a.n, b.n AS n_reverse FROM c a JOIN c b ON b.kmer = reverse(translate(a.kmer, 'ACGT', 'TGCA'))")
+def kmer_strands(spark, d):
+    return kmers.strand_lookup(v.sampled(spark, d))
+
+
+@_query(f"WITH {v.KMERS}, {v.UNIQUE} SELECT kmer, count(*) AS arraysize, count(*) FILTER (rid NOT IN (SELECT rid FROM uniq)) AS multiplicity FROM kmers GROUP BY kmer")
+def kmer_consumed(spark, d):
+    return kmers.consume(v.sampled(spark, d), v.unique(spark, d))
+
+
+# --- placements and mates ---
+
+
+@_query(f"WITH {v.PLACED} SELECT rid, max(seqlen) AS seqlen, count(*) AS n_places, string_agg(contig_id || ':' || contig_pos, ',' ORDER BY contig_id, contig_pos, orientation, matchlen) AS places FROM placed GROUP BY rid")
+def placement_groups(spark, d):
+    p = pairs.placement_groups(v.table(spark, d, "match_info"))
+    return p.withColumn("places", F.array_join(F.transform("places", lambda x: F.concat_ws(":", x["contig_id"].cast("string"), x["contig_pos"].cast("string"))), ","))
+
+
+@_query(f"WITH {v.UNIQUE} SELECT rid, contig_id, contig_pos, matchlen, seqlen, orientation, contig_end FROM uniq")
+def unique_placements(spark, d):
+    return v.unique(spark, d)
+
+
+@_query(f"WITH {v.MATES} SELECT pair_id, rid_1, rid_2, contig_id_1, contig_id_2 FROM mates")
+def mate_pairs(spark, d):
+    return pairs.mates(v.unique(spark, d)).select("pair_id", "rid_1", "rid_2", "contig_id_1", "contig_id_2")
+
+
+@_query(f"WITH {v.FRAGS} SELECT pair_id, contig_id, frag FROM frags")
+def fragment_sizes(spark, d):
+    return pairs.fragments(v.unique(spark, d))
+
+
+@_query(f"WITH {v.FRAGS} SELECT count(*) AS n_pairs, round(avg(frag), 6) AS mean_insert, round(stddev_samp(frag), 6) AS sdev_insert FROM frags WHERE frag <= 5000")
+def insert_stats(spark, d):
+    return pairs.insert_stats(pairs.fragments(v.unique(spark, d))).select("n_pairs", F.round("mean_insert", 6).alias("mean_insert"), F.round("sdev_insert", 6).alias("sdev_insert"))
+
+
+@_query(f"WITH {v.UNIQUE} SELECT a.contig_id, a.rid AS tail_rid, a.contig_pos AS tail_pos, b.rid, b.contig_pos FROM uniq a JOIN uniq b ON a.contig_id = b.contig_id AND a.rid <> b.rid AND b.orientation = 0 AND a.contig_pos - b.contig_pos BETWEEN 104 AND 224")
+def window_partners(spark, d):
+    return pairs.window_partners(v.unique(spark, d), 240.0, 20.0, 100, 25)
+
+
+@_query(
+    f"""WITH {v.FLAGGED}, per AS (SELECT rid, max(contig_id) AS c, min(contig_id) AS low, max(coalesce(contig_end, -1)) AS e FROM match_info GROUP BY rid),
+x AS (SELECT f.rid, (f.rid + 1) // 2 AS p, coalesce(c, 0) AS c, coalesce(low, 0) AS low, coalesce(e, -1) AS e FROM flagged f LEFT JOIN per USING (rid) WHERE valid),
+m AS (SELECT a.rid AS r1, b.rid AS r2, a.c = 0 AND a.low = 0 AS un1, b.c = 0 AND b.low = 0 AS un2, a.c > 0 AND a.e >= 0 AS end1, b.c > 0 AND b.e >= 0 AS end2 FROM x a JOIN x b ON a.p = b.p AND a.rid % 2 = 1 AND b.rid % 2 = 0)
+SELECT CASE WHEN un1 AND (end2 OR un2) THEN r1 ELSE r2 END AS rid FROM m WHERE (un1 AND (end2 OR un2)) OR (un2 AND end1)"""
+)
+def gap_reads(spark, d):
+    return pairs.gap_reads(quality.flagged(v.reads(spark, d)), v.table(spark, d, "match_info"))
+
+
+# --- contig ends and mapping ---
+
+_REGIONS = f"""{v.CONTIGS}, regions AS (
+ SELECT contig_id, seq, CASE WHEN clen > 2000 THEN 0 ELSE 2 END AS "end", 1 AS first, CASE WHEN clen > 4000 THEN 2000 WHEN clen > 2000 THEN clen // 2 ELSE clen END AS last FROM ctg
+ UNION ALL SELECT contig_id, seq, 1, clen - (CASE WHEN clen > 4000 THEN 2000 ELSE clen // 2 END) + 1, clen FROM ctg WHERE clen > 2000),
+ends AS (SELECT * FROM (SELECT contig_id, "end", pos, upper(substr(seq, CAST(pos AS INT), 25)) AS kmer FROM (SELECT *, unnest(range(first, last - 23)) AS pos FROM regions WHERE last - first + 1 >= 25)) WHERE regexp_full_match(kmer, '[ACGT]*'))"""
+
+
+@_query(f"WITH {_REGIONS} SELECT kmer, count(*) AS n, count(DISTINCT contig_id) AS n_contigs FROM ends GROUP BY kmer")
+def contig_end_kmers(spark, d):
+    return mapping.end_kmers(v.contigs(spark, d)).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("contig_id").alias("n_contigs"))
+
+
+@_query(
+    f"""WITH {v.VALID}, {_REGIONS}, strands AS (SELECT rid, 0 AS orient, seq FROM good UNION ALL SELECT rid, 1, reverse(translate(seq, 'ACGT', 'TGCA')) FROM good),
+offs AS (SELECT rid, orient, seq, length(seq) AS seqlen, list_distinct(list_concat(range(0, length(seq) - 24, 25), [length(seq) - 25])) AS os FROM strands WHERE length(seq) >= 25),
+tiles AS (SELECT rid, orient, seqlen, len(os) AS n_tiles, seq, unnest(os) AS off FROM offs),
+hits AS (SELECT rid, seqlen, n_tiles, orient, contig_id, pos - off AS pos, max(CASE WHEN off = 0 THEN "end" END) AS "end" FROM tiles t JOIN ends e ON e.kmer = substr(t.seq, CAST(off + 1 AS INT), 25) GROUP BY ALL HAVING count(DISTINCT off) = n_tiles),
+c AS (SELECT *, count(*) OVER (PARTITION BY rid) AS total FROM hits)
+SELECT rid, contig_id, CAST(pos AS INT) AS pos, orient, "end", CAST(seqlen AS INT) AS seqlen FROM c WHERE total = 1"""
+)
+def read_mapping(spark, d):
+    return mapping.map_unique(v.valid(spark, d), v.contigs(spark, d))
+
+
+@_query(f"WITH {v.UNIQUE} SELECT contig_id, contig_end, CAST(row_number() OVER (PARTITION BY contig_id, contig_end ORDER BY contig_pos, rid) AS INT) AS ord, contig_pos, rid FROM uniq WHERE contig_end >= 0")
+def contig_end_reads(spark, d):
+    return mapping.end_reads(v.unique(spark, d))
+
+
+@_query(
+    f"""WITH {v.UNIQUE}, {_REGIONS}, per AS (SELECT contig_id, contig_end, count(*) AS n FROM uniq WHERE contig_end >= 0 GROUP BY ALL),
+x AS (SELECT r.contig_id, r."end", coalesce(n, 0) AS n_reads, last - first + 1 AS region FROM regions r LEFT JOIN per ON r.contig_id = per.contig_id AND r."end" = contig_end),
+m AS (SELECT sum(n_reads) / sum(region) AS cov FROM x WHERE "end" < 2) SELECT contig_id, "end", n_reads, CAST(region AS INT) AS region, round(n_reads / region / cov, 6) AS ratio FROM x, m"""
+)
+def end_coverage(spark, d):
+    return mapping.end_coverage(v.unique(spark, d), v.contigs(spark, d)).withColumn("ratio", F.round("ratio", 6))
+
+
+_BINS = "bins AS (SELECT contig_id, contig_end, (contig_pos - 1) // 30 AS bin, count(*) AS n_reads FROM uniq WHERE contig_end >= 0 GROUP BY ALL)"
+
+
+@_query(f"WITH {v.UNIQUE}, {_BINS} SELECT contig_id, contig_end, CAST(bin AS BIGINT) AS bin, n_reads, round(avg(n_reads) OVER w, 6) AS mean_reads, lag(n_reads) OVER (w ORDER BY bin) AS before FROM bins WINDOW w AS (PARTITION BY contig_id, contig_end)")
+def coverage_bins(spark, d):
+    return mapping.coverage_bins(v.unique(spark, d)).withColumn("mean_reads", F.round("mean_reads", 6))
+
+
+@_query()
+def coverage_bins_dropped(spark, d):
+    """Bins that fall to the coverage rule, with the partner contigs of the mates in each bin."""
+    u = v.half_placements(spark, d)
+    p = links.end_pairs(u).withColumn("bin", F.floor((F.col("pos1") - 1) / DEFAULT.coverage_bin))
+    n = p.groupBy("c1", "e1", "bin", "c2").agg(F.count(F.lit(1)).alias("n"))
+    top = F.array_sort(F.collect_list(-F.col("n")))  # one number a partner contig of a bin of 30 bases
+    n = n.groupBy("c1", "e1", "bin").agg(F.count(F.lit(1)).alias("n_links"), top.alias("t"))
+    n = n.select(F.col("c1").alias("contig_id"), F.col("e1").alias("contig_end"), "bin", "n_links", F.when(F.size("t") > 1, F.get("t", F.lit(1)) / F.col("t")[0]).otherwise(0.0).alias("second_share"))
+    return mapping.filter_bins(mapping.coverage_bins(u), n)
+
+
+@_query(f"WITH {v.UNIQUE}, {v.CONTIGS}, per AS (SELECT contig_id, min(contig_pos) AS lo, max(contig_pos + seqlen - 1) AS hi FROM uniq GROUP BY contig_id) SELECT contig_id, CAST(coalesce(lo - 1, clen) AS INT) AS bare5, CAST(coalesce(greatest(clen - hi, 0), clen) AS INT) AS bare3 FROM ctg LEFT JOIN per USING (contig_id)")
+def uncovered_ends(spark, d):
+    return mapping.uncovered_end(v.unique(spark, d), v.contigs(spark, d))
+
+
+@_query(
+    f"""WITH {v.UNIQUE}, {v.CONTIGS} SELECT rid, contig_id, CASE WHEN clen <= 2000 THEN 2 WHEN clen <= 4000 THEN CASE WHEN contig_pos + seqlen - 1 <= clen // 2 THEN 0 WHEN contig_pos > clen - clen // 2 THEN 1 ELSE -1 END
+ WHEN contig_pos + seqlen - 1 <= 2000 THEN 0 WHEN contig_pos > clen - 2000 THEN 1 ELSE -1 END AS end_class FROM uniq JOIN ctg USING (contig_id)"""
+)
+def placement_ends(spark, d):
+    return mapping.classify_end(v.unique(spark, d), v.contigs(spark, d)).select("rid", "contig_id", "end_class")
+
+
+# --- links ---
+
+
+@_query(f"WITH {v.LINKS} SELECT c1, e1, c2, e2, CAST(count(*) FILTER (s = 0) AS INT) AS n0, CAST(count(*) FILTER (s = 1) AS INT) AS n1, CAST(count(*) FILTER (s = 2) AS INT) AS n2, CAST(count(*) FILTER (s = 3) AS INT) AS n3 FROM links GROUP BY c1, e1, c2, e2 HAVING count(s) > 0")
+def edges_counted(spark, d):
+    return links.edges(links.end_pairs(v.half_placements(spark, d)))
+
+
+@_query(f"WITH {v.RANKED} SELECT c1, e1, c2, e2, best, n_best, second, n_second FROM ranked")
+def edge_ranks(spark, d):
+    return links.ranked(links.clean(v.table(spark, d, "contig_edges"))).select("c1", "e1", "c2", "e2", "best", "n_best", "second", "n_second")
+
+
+@_query(
+    f"""WITH {v.LINKS}, x AS (SELECT l.*, CASE WHEN s IN (0, 1) THEN a.clen - pos1 + 1 ELSE pos1 + len1 - 1 END AS b1, CASE WHEN s IN (0, 3) THEN pos2 + len2 - 1 ELSE b.clen - pos2 + 1 END AS b2
+ FROM links l JOIN ctg a ON a.contig_id = c1 JOIN ctg b ON b.contig_id = c2 WHERE s IS NOT NULL)
+SELECT c1, e1, c2, e2, s, count(*) AS n_pairs, round(avg(CAST(trunc(240.0 - b1 - b2) AS INT)), 6) AS gap FROM x GROUP BY c1, e1, c2, e2, s"""
+)
+def edge_gaps(spark, d):
+    return links.gap_sizes(links.end_pairs(v.half_placements(spark, d)), v.half_contigs(spark, d), 240.0).withColumn("gap", F.round("gap", 6))
+
+
+def _ranked(spark, d):
+    return links.ranked(links.clean(v.table(spark, d, "contig_edges")))
+
+
+@_query(f"WITH {v.RANKED}, x AS (SELECT *, row_number() OVER (PARTITION BY c1, e1 ORDER BY n_best DESC, c2, e2) AS rank FROM ranked) SELECT c1, e1, c2, e2, n_best, CAST(rank AS INT) AS rank FROM x WHERE rank <= 2")
+def edge_top2(spark, d):
+    return links.top2(_ranked(spark, d)).select("c1", "e1", "c2", "e2", "n_best", "rank")
+
+
+@_query(f"WITH {v.RANKED}, x AS (SELECT coalesce(sum(n_best), 0) // 2 AS p, count(*) // 2 AS e FROM ranked WHERE e1 <> 1), y AS (SELECT CASE WHEN e > 0 THEN p / e ELSE 0.0 END AS a FROM x) SELECT round(a, 6) AS avg_links, round(a * 13, 6) AS max_links, round(least(a * 0.1, 3), 6) AS min_links, 1 AS max_second FROM y")
+def link_thresholds(spark, d):
+    return links.thresholds(_ranked(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("avg_links", "max_links", "min_links")], "max_second")
+
+
+@_query(f"WITH {v.RANKED}, x AS (SELECT coalesce(avg(CASE WHEN n_best = 1 THEN 1 ELSE 0 END), 0) AS s FROM ranked) SELECT round(s, 6) AS single_share, CASE WHEN s > 0.1 THEN 1 ELSE 2 END AS min_pairs FROM x")
+def link_min_pairs(spark, d):
+    return links.min_pairs(_ranked(spark, d)).withColumn("single_share", F.round("single_share", 6))
+
+
+@_query(f"WITH {v.RANKED}, x AS (SELECT *, row_number() OVER (PARTITION BY c1, e1 ORDER BY n_best DESC, c2, e2) AS rank FROM ranked), o AS (SELECT *, max(n_best) FILTER (rank > 1) OVER (PARTITION BY c1, e1) AS other FROM x) SELECT c1, e1, c2, e2, n_best FROM o WHERE rank = 1 AND coalesce(other, 0) <= n_best * 0.1")
+def single_links(spark, d):
+    return links.single_links(_ranked(spark, d)).select("c1", "e1", "c2", "e2", "n_best")
+
+
+def _coverage(spark, d):
+    c = v.table(spark, d, "contigs")
+    return c.select("contig_id", F.greatest(F.when(~F.isnan("cov_end5"), F.col("cov_end5")), F.when(~F.isnan("cov_end3"), F.col("cov_end3"))).alias("cov"))
+
+
+@_query(f"WITH {v.RANKED}, c AS (SELECT contig_id, greatest(cov_end5, cov_end3) AS cov FROM contigs) SELECT c1, e1, c2, e2, n_best FROM ranked LEFT JOIN c a ON a.contig_id = c1 LEFT JOIN c b ON b.contig_id = c2 WHERE NOT coalesce(gap < -500 OR (gap < -200 AND greatest(coalesce(a.cov, 0), coalesce(b.cov, 0)) > 2), false)")
+def sane_links(spark, d):
+    return links.sane(_ranked(spark, d), _coverage(spark, d)).select("c1", "e1", "c2", "e2", "n_best")
+
+
+@_query(f"WITH {v.LINKS}, n AS (SELECT c1, e1, c2, count(*) AS n FROM links GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY c1, e1 ORDER BY n DESC, c2) AS INT) AS rank FROM n) SELECT * FROM r WHERE rank <= 2")
+def linked_contigs(spark, d):
+    return links.linked_contigs(links.end_pairs(v.half_placements(spark, d)))
+
+
+@_query(
+    f"""WITH {v.LINKS}, x AS (SELECT l.c1, l.e1, l.c2, l.e2, CASE WHEN e1 = 1 THEN a.clen - pos1 + 1 ELSE pos1 END BETWEEN 38 AND 2000 AND CASE WHEN e2 = 1 THEN b.clen - pos2 + 1 ELSE pos2 END BETWEEN 38 AND 2000 AS ok FROM links l JOIN ctg a ON a.contig_id = c1 JOIN ctg b ON b.contig_id = c2)
+SELECT c1, e1, c2, e2, count(*) FILTER (ok) AS n_valid, count(*) FILTER (NOT ok) AS n_other FROM x GROUP BY ALL"""
+)
+def qualified_pairs(spark, d):
+    return links.qualified_pairs(links.end_pairs(v.half_placements(spark, d)), v.half_contigs(spark, d), 25, 2000)
+
+
+# --- votes ---
+
+
+def _placed_seqs(spark, d):
+    return votes.oriented(v.unique(spark, d), v.reads(spark, d))
+
+
+@_query(f"WITH {v.PILE} SELECT * FROM votes")
+def base_votes(spark, d):
+    return votes.next_base_votes(_placed_seqs(spark, d))
+
+
+@_query(f"WITH {v.PILE}, mated AS (SELECT a.rid FROM uniq a JOIN uniq b ON b.rid = a.rid + CASE WHEN a.rid % 2 = 1 THEN 1 ELSE -1 END AND a.contig_id = b.contig_id) SELECT contig_id, pos, count(*) FILTER (base = 'A') AS n_A, count(*) FILTER (base = 'C') AS n_C, count(*) FILTER (base = 'G') AS n_G, count(*) FILTER (base = 'T') AS n_T FROM bases WHERE rid IN (SELECT rid FROM mated) GROUP BY contig_id, pos")
+def base_votes_paired(spark, d):
+    m = pairs.mates(v.unique(spark, d)).where("contig_id_1 = contig_id_2").select(F.explode(F.array("rid_1", "rid_2")).alias("rid"))
+    return votes.next_base_votes(_placed_seqs(spark, d), m)
+
+
+@_query(f"WITH {v.PILE} SELECT * FROM winners")
+def base_winners(spark, d):
+    return votes.winners(votes.next_base_votes(_placed_seqs(spark, d)))
+
+
+@_query(f"WITH {v.PILE} SELECT contig_id, count(*) AS n_columns, count(*) FILTER ((total >= 10 AND n_max / total < 0.9) OR (total < 10 AND n_second > 0 AND n_max / n_second < 4)) AS n_incorrect FROM winners GROUP BY contig_id")
+def incorrect_columns(spark, d):
+    return votes.incorrect_columns(votes.winners(votes.next_base_votes(_placed_seqs(spark, d))))
+
+
+@_query(f"WITH {v.PILE} SELECT rid, contig_id, CAST(pos AS INT) AS pos, second AS base, w.base AS corrected FROM bases b JOIN winners w USING (contig_id, pos) WHERE total >= 3 AND n_second = 1 AND b.base = second")
+def corrected_bases(spark, d):
+    s = _placed_seqs(spark, d)
+    return votes.corrected(s, votes.winners(votes.next_base_votes(s)), 3)
+
+
+_HAM = "len([1 FOR i IN range(1, {n} + 1) IF substr({a}, CAST(i AS INT), 1) <> substr({b}, CAST(i AS INT), 1)])"
+_SHIFT = " ".join(f"WHEN {_HAM.format(a=f'substr(a, {s + 1})', b='b', n=f'least(length(a) - {s}, length(b))')} <= 1 OR {_HAM.format(a='a', b=f'substr(b, {s + 1})', n=f'least(length(b) - {s}, length(a))')} <= 1 THEN {s}" for s in range(11))
+
+
+@_query(f"WITH {v.VALID}, x AS (SELECT rid, substr(seq, 1, 30) AS a, substr(seq, CAST(1 + rid % 13 AS INT), 30) AS b FROM good WHERE length(seq) >= 50) SELECT rid, CASE {_SHIFT} END AS shift FROM x")
+def shift_distances(spark, d):
+    x = v.valid(spark, d).where("length(seq) >= 50").select("rid", F.substring("seq", 1, 30).alias("a"), F.substring(F.col("seq"), (1 + F.col("rid") % 13).cast("int"), F.lit(30)).alias("b"))
+    return x.select("rid", votes.shift_distance(F.col("a"), F.col("b")).alias("shift"))
+
+
+@_query(
+    f"""WITH {v.PILE} SELECT contig_id, pos, CASE WHEN n_max = 0 THEN false WHEN n_second > 0 AND (n_max - n_second < 2 OR n_second > 4 OR (n_second >= 2 AND n_second / n_max >= 0.6)) THEN false ELSE true END AS extend FROM winners"""
+)
+def extension_gate(spark, d):
+    w = votes.winners(votes.next_base_votes(_placed_seqs(spark, d)))
+    x = w.withColumns({"navi": F.lit(0), "tail": F.lit(0), "ratio": F.lit(1.0), "length": F.lit(1000), "n_paths": F.lit(1), "path_max": F.lit(1), "path_second": F.lit(0), "score": F.lit(-1.0)})
+    return x.select("contig_id", "pos", votes.single_end_gate(100, 4.0).alias("extend"))
+
+
+@_query(f"WITH {v.PILE}, x AS (SELECT *, pos % 5 AS i FROM winners) SELECT contig_id, pos, CASE WHEN i > 3 THEN false WHEN n_max = 0 THEN false WHEN (n_second / n_max > 0.7 AND i > 1 AND total > 10) OR (n_max / total < 0.6 AND i > 2) THEN false ELSE true END AS by_paths, CASE WHEN i > 3 THEN false WHEN n_second / nullif(n_max, 0) > 0.8 AND i > 1 AND total > 10 THEN false WHEN n_second / nullif(n_max, 0) > 0.7 AND i > 2 THEN false ELSE true END AS by_tandem FROM x")
+def path_decisions(spark, d):
+    w = votes.winners(votes.next_base_votes(_placed_seqs(spark, d))).where("n_max > 0 or true").withColumn("n_incorrect", F.col("pos") % 5).withColumn("n_paths", F.lit(2))
+    safe = w.withColumn("n_max", F.when(F.col("n_max") > 0, F.col("n_max")))
+    return safe.select("contig_id", "pos", F.when((F.col("n_incorrect") <= 3) & F.col("n_max").isNull(), False).otherwise(votes.path_decision()).alias("by_paths"), votes.tandem_decision().alias("by_tandem"))
+
+
+_MODEL = votes.KernelModel(((0.5, 0.1, 0.2, 0.3), (0.1, 0.4, 0.3, 0.2), (0.2, 0.2, 0.9, 0.1)), (1.5, -2.0, 0.75), -0.25, (1.0, 1.0, 1.0, 1.0), (0.5, 0.5, 0.5, 0.5))
+
+
+def _kernel_sql(kind: str) -> str:
+    out = []
+    for a, vec in zip(_MODEL.alpha, _MODEL.vectors):
+        dot = "(" + " + ".join(f"{x} * f[{i + 1}]" for i, x in enumerate(vec)) + ")"
+        dist = "(" + " + ".join(f"({x} - f[{i + 1}]) * ({x} - f[{i + 1}])" for i, x in enumerate(vec)) + ")"
+        out.append(f"{a} * " + {"linear": dot, "rbf": f"exp(-0.5 * {dist})", "polynomial": f"{dot} * (1 + {dot}) * (1 + {dot})"}[kind])
+    return " + ".join([str(_MODEL.bias), *out])
+
+
+@_query("WITH x AS (SELECT vec_id, [0.5 * (CAST(e AS DOUBLE) + 1.0) FOR e IN embedding[1:4]] AS f FROM embeddings) SELECT vec_id, " + ", ".join(f"round({_kernel_sql(k)}, 6) AS {k}" for k in ("linear", "rbf", "polynomial")) + " FROM x")
+def kernel_scores(spark, d):
+    f = F.transform(F.slice("embedding", 1, 4), lambda e: e.cast("double"))
+    return v.table(spark, d, "embeddings").select("vec_id", *[F.round(votes.decision_score(f, _MODEL, k), 6).alias(k) for k in ("linear", "rbf", "polynomial")])
+
+
+# --- statistics and windows ---
+
+
+@_query(
+    """WITH x AS (SELECT CAST(len AS BIGINT) AS l FROM contigs WHERE len >= 0), o AS (SELECT l, row_number() OVER (ORDER BY l DESC) AS r, sum(l) OVER (ORDER BY l DESC ROWS UNBOUNDED PRECEDING) AS run FROM x), t AS (SELECT count(*) AS n, sum(l) AS total FROM x)
+SELECT n, CAST(total AS BIGINT) AS total, max(l) AS max_len, max(l) FILTER (run >= total // 2) AS n50, round(total / n, 6) AS mean_len, max(l) FILTER (r = n // 2 + 1) AS median_len FROM o, t GROUP BY n, total"""
+)
+def length_stats(spark, d):
+    return stats.length_stats(v.table(spark, d, "contigs")).withColumn("mean_len", F.round("mean_len", 6))
+
+
+@_query(
+    f"""WITH {v.UNIQUE}, {v.CONTIGS}, x AS (SELECT contig_id, contig_pos + seqlen - 1 AS pos, count(*) AS n FROM uniq GROUP BY ALL),
+y AS (SELECT *, CAST(sum(n) OVER (PARTITION BY contig_id ORDER BY pos RANGE BETWEEN 99 PRECEDING AND CURRENT ROW) AS BIGINT) AS region_reads, sum(n) OVER (PARTITION BY contig_id) AS total FROM x)
+SELECT contig_id, pos, region_reads, round(region_reads * clen / (total * least(100, clen)), 6) AS ratio FROM y JOIN ctg USING (contig_id)"""
+)
+def density_ratio(spark, d):
+    return stats.density_ratio(v.unique(spark, d), v.contigs(spark, d), 100).withColumn("ratio", F.round("ratio", 6))
+
+
+@_query(
+    f"""WITH {v.UNIQUE}, {v.CONTIGS}, s AS (SELECT contig_id, clen, greatest(1, clen - 149) AS first FROM ctg),
+p AS (SELECT DISTINCT contig_id, contig_pos + seqlen - 1 AS pos FROM uniq UNION ALL SELECT contig_id, clen + 1 FROM ctg),
+x AS (SELECT p.*, first, clen FROM p JOIN s USING (contig_id) WHERE pos BETWEEN first AND clen + 1)
+SELECT contig_id, CAST(max(run) AS INT) AS longest_run FROM (SELECT contig_id, pos - coalesce(lag(pos) OVER (PARTITION BY contig_id ORDER BY pos), first - 1) - 1 AS run FROM x) GROUP BY contig_id"""
+)
+def uncovered_runs(spark, d):
+    return stats.uncovered_runs(v.unique(spark, d), v.contigs(spark, d), 100)
+
+
+@_query(
+    f"""WITH {v.PILE}, x AS (SELECT contig_id, pos, n_max, n_second FROM winners)
+SELECT contig_id, pos, count(*) FILTER (n_max = 1) OVER (PARTITION BY contig_id ORDER BY pos RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) AS c30_single, CAST(0 AS BIGINT) AS c50_pe,
+ count(*) FILTER (n_second >= 0.6 * n_max AND n_second > 0) OVER w AS c100_ambiguous,
+ count(*) FILTER (n_max = 1) OVER (PARTITION BY contig_id ORDER BY pos RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) >= 30 OR count(*) FILTER (n_second >= 0.6 * n_max AND n_second > 0) OVER w >= 3 AS stop
+ FROM x WINDOW w AS (PARTITION BY contig_id ORDER BY pos RANGE BETWEEN 99 PRECEDING AND CURRENT ROW)"""
+)
+def tail_guards(spark, d):
+    w = votes.winners(votes.next_base_votes(_placed_seqs(spark, d)))
+    return stats.tail_guards(w.select("contig_id", "pos", F.lit(0).alias("pe_max"), F.lit(0).alias("pe_sec"), F.col("n_max").alias("se_max"), F.col("n_second").alias("se_sec")))
+
+
+# --- overlaps, chains, scaffolds, assembly ---
+
+_ENDS = f"""{v.RANKED}, {v.CONTIGS}, o AS (SELECT r.*, CASE WHEN best IN (2, 3) THEN reverse(translate(upper(a.seq), 'ACGT', 'TGCA')) ELSE upper(a.seq) END AS l, CASE WHEN best IN (1, 2) THEN reverse(translate(upper(b.seq), 'ACGT', 'TGCA')) ELSE upper(b.seq) END AS s
+ FROM ranked r JOIN ctg a ON a.contig_id = c1 JOIN ctg b ON b.contig_id = c2)"""
+
+
+@_query(
+    f"""WITH {_ENDS}, x AS (SELECT c1, e1, c2, e2, coalesce(gap, 0) AS g, l, s, unnest(range(2, least(200, length(l), length(s)) + 1)) AS i FROM o),
+h AS (SELECT *, row_number() OVER (PARTITION BY c1, e1, c2, e2 ORDER BY abs(i + g), i DESC) AS r FROM x WHERE right(l, CAST(i AS INT)) = left(s, CAST(i AS INT)))
+SELECT o.c1, o.e1, o.c2, o.e2, CAST(coalesce(i, 0) AS INT) AS overlap FROM o LEFT JOIN h ON h.r = 1 AND h.c1 = o.c1 AND h.e1 = o.e1 AND h.c2 = o.c2 AND h.e2 = o.e2"""
+)
+def exact_overlaps(spark, d):
+    return _edge_seqs(spark, d).select("c1", "e1", "c2", "e2", overlap.exact_overlap(F.col("l"), F.col("r"), F.col("g"), 200).alias("overlap"))
+
+
+def _edge_seqs(spark, d):
+    c = v.contigs(spark, d)
+    a, b = (c.select(F.col("contig_id").alias(f"c{i}"), F.upper("seq").alias(f"s{i}")) for i in (1, 2))
+    x = _ranked(spark, d).join(a, "c1").join(b, "c2")
+    g = F.coalesce(F.when(~F.isnan("gap"), F.col("gap")), F.lit(0.0))
+    return x.withColumn("l", overlap.orient(F.col("s1"), F.col("best").isin(2, 3))).withColumn("r", overlap.orient(F.col("s2"), F.col("best").isin(1, 2))).withColumn("g", g)
+
+
+@_query()
+def aligned_overlaps(spark, d):
+    x = _edge_seqs(spark, d).withColumn("a", overlap.dovetail(F.expr("right(l, 200)"), F.expr("left(r, 200)")))
+    exact = overlap.exact_overlap(F.col("l"), F.col("r"), F.col("g"), 200)
+    cut = overlap.cut_retry(F.expr("right(l, 200)"), F.expr("left(r, 200)"), F.lit(5), F.lit(9), F.col("g"), 100)
+    return x.withColumn("exact", exact).select("c1", "e1", "c2", "e2", "exact", F.col("a.overlap").alias("aligned"), F.col("a.mismatches").alias("mismatches"), cut["round"].alias("cut_round"), overlap.decide(F.col("g"), F.col("n_best"), 20.0, F.col("exact"), F.col("a.overlap"), F.col("a.mismatches")).alias("decision"))
+
+
+def _chain(spark, d):
+    return scaffold.link(links.sane(_ranked(spark, d), _coverage(spark, d)), v.contigs(spark, d))
+
+
+@_query()
+def chains(spark, d):
+    return _chain(spark, d)
+
+
+def _rows(spark, d):
+    from ..functions.scratch import written
+
+    return written(overlap.neighbour_overlaps(written(_chain(spark, d), "chain"), v.contigs(spark, d), 20.0), "chain-rows")
+
+
+@_query()
+def chain_overlaps(spark, d):
+    return _rows(spark, d)
+
+
+@_query()
+def weak_links(spark, d):
+    return scaffold.weak_links(_rows(spark, d), v.contigs(spark, d), _ranked(spark, d).select("c1", "c2"))
+
+
+@_query()
+def scaffolds(spark, d):
+    rows = _rows(spark, d)
+    return scaffold.with_unlinked(scaffold.scaffold_seqs(rows, v.contigs(spark, d)), rows, v.contigs(spark, d))
+
+
+@_query()
+def merged_contigs(spark, d):
+    rows = _rows(spark, d).where("true")
+    merge = rows.withColumn("decision", F.when(F.col("decision") == "gap", "break").otherwise(F.col("decision")))
+    return scaffold.merged_contigs(scaffold.scaffold_seqs(merge, v.contigs(spark, d)), merge, v.contigs(spark, d))
+
+
+@_query()
+def read_components(spark, d):
+    return assemble.read_components(v.valid(spark, d).where("length(seq) >= 40"))
+
+
+@_query()
+def assembled_contigs(spark, d):
+    return assemble.assemble(v.valid(spark, d)).select("component", "contig_no", "seq", "n_reads")
+
+
+@_query()
+def filled_gaps(spark, d):
+    """Gaps between neighbours of a chain, filled from reads placed near the gap and their unplaced mates."""
+    from pyspark.sql import Window
+
+    rows = _rows(spark, d)
+    c = v.contigs(spark, d).select("contig_id", F.upper("seq").alias("seq"))
+    x = rows.join(c, "contig_id").withColumn("seq", overlap.orient(F.col("seq"), F.col("orient") == 1))
+    w = Window.partitionBy("scaffold_id").orderBy("ord")
+    x = x.withColumn("left_contig", F.lag("contig_id").over(w)).withColumn("left_end", F.expr("right(lag(seq) over (partition by scaffold_id order by ord), 200)"))
+    gaps = x.where("left_contig is not null and decision = 'gap'").select(F.xxhash64("scaffold_id", "ord").alias("gap_id"), "left_end", F.expr("left(seq, 200)").alias("right_end"), "gap", F.array("left_contig", "contig_id").alias("cs"))
+    p = v.unique(spark, d).where("contig_end >= 0").select("contig_id", F.explode(F.array(F.col("rid"), F.col("rid") + F.when(F.col("rid") % 2 == 1, 1).otherwise(-1))).alias("rid"))
+    near = gaps.select("gap_id", F.explode("cs").alias("contig_id")).join(p, "contig_id").select("gap_id", "rid").distinct().join(v.valid(spark, d).select("rid", "seq"), "rid")
+    per = near.groupBy("gap_id").agg(F.array_sort(F.collect_list(F.struct("rid", "seq"))).alias("reads"))
+    return assemble.fill_gaps(gaps.join(per, "gap_id", "left"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
-        "p3_found": f"WITH {_PARSED} SELECT line_no, reason FROM judged WHERE reason IS NOT NULL",
-        "p3_rows": f"WITH {_PARSED} SELECT line_no, name, seq, nullif(qual, '') AS qual, CAST(len AS INT) AS len, CAST(nb AS INT) AS nbasenum FROM judged WHERE reason IS NULL",
-    }
+    return dict(_SQL)
