@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.flat import flat_codes, kmers, mix64, ranges, runs, slices, sliding_min, window_ok
-from ..functions.scratch import written
+from ..functions.scratch import parts, written
 from .blobs import by_bucket, dump, load, pack_bits, rows, unpack_bits
 
 _BLOCK = 1 << 20  # letters a task works on at once
 _HOLD = 8 << 20
 _PER_BUCKET = 50_000
+_PER_TASK = 8  # buckets
 _FULL = 4 * _PER_BUCKET
 
 
@@ -194,7 +195,8 @@ def _shared_in(recs: DataFrame, min_len: int, k: int) -> DataFrame:
     full = np.array([r[0] for r in counts.where(F.col("n") > _FULL).collect()], np.int64)  # at most letters / _FULL rows
     sent = recs.mapInArrow(_send(min_len, k, n_buckets, full), "bucket bigint, blob binary")
     salt = F.when(F.col("bucket") == -1, (F.rand(3) * n_buckets).cast("int")).otherwise(0)
-    return sent.withColumn("salt", salt).groupBy("bucket", "salt").applyInArrow(_verify(min_len), "id bigint, lo bigint, hi bigint")
+    sent = sent.withColumn("salt", salt).repartition(max(parts(recs.sparkSession), n_buckets // _PER_TASK), "bucket", "salt")
+    return sent.groupBy("bucket", "salt").applyInArrow(_verify(min_len), "id bigint, lo bigint, hi bigint")
 
 
 def records(df: DataFrame, rec_id: str, seq: str, merge_equal: bool) -> DataFrame:
