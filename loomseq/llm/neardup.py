@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.flat import flat_codes, kmers, mix64, ranges, rc_kmers, runs, slices, window_ok
-from ..functions.scratch import written
+from ..functions.scratch import parts, written
 from .blobs import by_bucket, dump, load, rows
 from .spans import records
 
 _BLOCK = 1 << 20
 _HOLD = 12 << 20
 _PER_BUCKET = 50_000
+_PER_TASK = 8  # buckets
 _FULL = 4 * _PER_BUCKET
 _DIRECT = 32  # records of one a_i that are compared by their B values one with another
 _WIDE = 2048  # beyond that the tables within a_i take two B values
@@ -264,7 +265,8 @@ def near_pairs(df: DataFrame, rec_id: str, seq: str, merge_equal: bool = False,
     n_buckets = recs.count() * m // _PER_BUCKET + 16
     counts = recs.mapInArrow(_count(k, m, n_buckets), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     full = np.array([r[0] for r in counts.where(F.col("n") > _FULL).collect()], np.int64)  # at most records x m / _FULL rows
-    met = recs.mapInArrow(_send(k, m, n_buckets, full), "bucket bigint, blob binary").groupBy("bucket").applyInArrow(_meet(m), "crowd bigint, id_a bigint, id_b bigint, n_b int")
+    sent = recs.mapInArrow(_send(k, m, n_buckets, full), "bucket bigint, blob binary").repartition(max(parts(df.sparkSession), n_buckets // _PER_TASK), "bucket")
+    met = sent.groupBy("bucket").applyInArrow(_meet(m), "crowd bigint, id_a bigint, id_b bigint, n_b int")
     met = written(met, "near-candidates")
     pairs = met.where("crowd is null").groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n_a"), F.max("n_b").alias("n_b"))
     pairs = pairs.where(F.col("n_a") + F.col("n_b") >= _LEAST).select("id_a", "id_b")
