@@ -19,7 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.flat import slices
+
 _MOST_GLYPHS = 1 << 17
+_BLOCK = 4 << 20
 
 
 class Classes:
@@ -47,11 +50,10 @@ class Classes:
 
 def _code_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(sys.maxunicode + 1, np.int64)
-    for b in batches:
-        for t in b.column("text").to_pylist():
-            if t:
-                u, c = np.unique(np.frombuffer(unicodedata.normalize("NFD", t).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-                total[u] += c
+    for b in slices(batches, "text", _BLOCK):
+        whole = unicodedata.normalize("NFD", "\n".join(t for t in b.column("text").to_pylist() if t))
+        seen = np.bincount(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32))
+        total[: seen.size] += seen
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cp", "n"])
 
@@ -151,7 +153,9 @@ def same_look(docs: DataFrame, look_alikes: DataFrame, doc_id: str = "doc_id", t
     forms = one_form(docs, look_alikes, doc_id, text).where(F.col(text).isNotNull())
     keys = forms.select(F.col(doc_id).alias("doc"), F.unhex(F.sha2("form", 256)).alias("look"), F.unhex(F.sha2(F.col(text), 256)).alias("own"))
     keys = keys.where("doc is not null")
-    groups = keys.groupBy("look").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("look")
-    keys = keys.join(groups, "look", "left_semi")
-    a, b = (keys.select("look", F.col("doc").alias(f"doc_{s}"), F.col("own").alias(f"own_{s}")) for s in "ab")
-    return a.join(b, "look").where("doc_a < doc_b and own_a <> own_b").select("doc_a", "doc_b").distinct()
+    texts = keys.select("look", "own").distinct()  # copies are no partners: texts are paired first, then their documents
+    a, b = (texts.select("look", F.col("own").alias(f"own_{s}")) for s in "ab")
+    pairs = a.join(b, "look").where("own_a < own_b").select("own_a", "own_b")
+    x, y = (keys.select(F.col("doc").alias(f"doc_{s}"), F.col("own").alias(f"own_{s}")) for s in "ab")
+    both = pairs.join(x, "own_a").join(y, "own_b").where("doc_a <> doc_b")
+    return both.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).distinct()
