@@ -136,8 +136,8 @@ def pack(df: DataFrame, item: str = "doc_id", text: str = "text", capacity: int
     rows = df.where(F.col(text).isNotNull()).select(F.col(item).cast("bigint").alias("item"), F.col(text).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     n = max(1, min(1 << 20, total // (capacity * _PER_TASK)))
-    keyed = rows.mapInArrow(_keys, "item bigint, size bigint, curve bigint")
-    lined = keyed.repartitionByRange(n, "curve", "item").sortWithinPartitions("curve", "item")
+    keyed = rows.mapInArrow(_keys, "item bigint, size bigint, curve bigint").withColumn("salt", F.rand(5))  # repeated rows spread too
+    lined = keyed.repartitionByRange(n, "curve", "item", "salt").sortWithinPartitions("curve", "item", "salt").drop("salt")
     return lined.mapInArrow(_pack(capacity), "container bigint, item bigint, piece int, n_pieces int, from_token bigint, n_tokens bigint").withColumnRenamed("item", item)
 
 
