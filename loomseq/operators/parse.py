@@ -38,7 +38,8 @@ def _read(lines: pa.Array) -> tuple[pa.Table, np.ndarray]:
     cr = _stand_in(lines, lf)
     whole = pc.replace_substring(pc.replace_substring(lines, "\n", lf), "\r", cr)
     at = pa.array(np.arange(n)).cast(pa.string())
-    text = pc.binary_join(pa.scalar(pc.binary_join_element_wise(at, whole, ",").to_pylist(), pa.list_(pa.string())), "\n").as_py().encode()
+    numbered = pc.binary_join_element_wise(at, whole, ",")
+    text = pc.binary_join(pa.ListArray.from_arrays([0, n], numbered), "\n")[0].as_buffer()
     odd: list[int] = []
 
     def handler(row: pv.InvalidRow) -> str:
@@ -47,7 +48,7 @@ def _read(lines: pa.Array) -> tuple[pa.Table, np.ndarray]:
 
     got = pv.read_csv(
         pa.BufferReader(text),
-        read_options=pv.ReadOptions(column_names=schema, block_size=len(text) + 1, use_threads=False),
+        read_options=pv.ReadOptions(column_names=schema, block_size=text.size + 1, use_threads=False),
         parse_options=pv.ParseOptions(delimiter=",", quote_char='"', double_quote=True, newlines_in_values=False, ignore_empty_lines=False, invalid_row_handler=handler),
         convert_options=pv.ConvertOptions(column_types={c: pa.string() for c in schema}, strings_can_be_null=False, check_utf8=False),
     )
