@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +29,7 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     (w.partitionBy(by) if by else w).parquet(path)
+    _tables.append(path)
     if path.startswith("file:"):
         atexit.register(shutil.rmtree, path.removeprefix("file://"), True)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -35,3 +37,11 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all scratch tables of this process, on any file system. Results not yet written that read them are lost."""
+    jvm = spark._jvm
+    while _tables:
+        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.flat import flat_codes, kmers, mix64, rc_kmers, slices, sliding_min, window_ok
 from ..params import DEFAULT, Params
 from .components import components
+from .pairs import fragments, insert_stats
+from .paths import Followed
 
 _TURN = str.maketrans("ACGT", "TGCA")
 CONTIG = "component bigint, contig_no int, seq string, n_reads int, placements array<struct<rid: bigint, pos: int, orient: int, matchlen: int>>"
@@ -193,15 +195,19 @@ class Assembler:
 
         settle()
         used: set[str] = set()
+        ahead = Followed(interval=max(1, int(0.4 * self.p.read_len)))
         while True:
             tail = contig[-self.p.read_len :]
             if tail in used:  # the tail came before: a repeat that leads back to itself
                 return contig
             used.add(tail)
-            base = self.next_base(active, mated)
+            if ahead.due():
+                ahead = ahead.refresh([(self.rids[a[0]], self.text[a[0]][a[1]][a[2] :], a[2]) for a in active if a[4] >= 8], self.p.read_len)
+            base = self.next_base(active, mated) or ahead.decide(bool(mated))
             if base is None:
                 return contig
             contig += base
+            ahead = ahead.step(base)
             bare += 1
             for a in active:
                 hit = self.text[a[0]][a[1]][a[2]] == base
@@ -260,6 +266,18 @@ def assemble(reads: DataFrame, p: Params = DEFAULT, least_len: int | None = None
     return x.groupBy("component").applyInPandas(run, CONTIG)
 
 
+def pilot_insert(reads: DataFrame, p: Params = DEFAULT, most_contigs: int = 100) -> DataFrame:
+    """Insert size from a pilot assembly: the `most_contigs` components with the most reads are assembled, and pairs placed on
+    one contig are measured. One row, as insert_stats. The limit is the point of a pilot; the real assembly has none."""
+    comp = read_components(reads, p)
+    top = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(most_contigs).select("component")
+    chosen = reads.join(comp.join(F.broadcast(top), "component").select("rid"), "rid")  # top: at most most_contigs rows
+    made = assemble(chosen, p).withColumn("contig_id", F.xxhash64("component", "contig_no"))
+    x = made.select("contig_id", F.explode("placements").alias("p"))
+    placed = x.select("contig_id", F.col("p.pos").alias("contig_pos"), F.col("p.matchlen").alias("matchlen"), F.col("p.rid").alias("rid"), F.col("p.matchlen").alias("seqlen"), F.col("p.orient").alias("orientation"), F.lit(-1).alias("contig_end"))
+    return insert_stats(fragments(placed), p)
+
+
 def fill_gaps(gaps: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Gaps (gap_id, left_end, right_end, gap, reads array<struct<rid, seq>>) closed by local assembly from the left end.
 

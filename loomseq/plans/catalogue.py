@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases
-from ..operators import assemble, kmers, links, mapping, overlap, pairs, parse, quality, scaffold, stats, votes
+from ..operators import active, assemble, kmers, links, mapping, overlap, pairs, parse, paths, quality, scaffold, stats, votes
 from ..params import DEFAULT
+from ..sources import sinks
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -562,6 +563,85 @@ def filled_gaps(spark, d):
     return assemble.fill_gaps(gaps.join(per, "gap_id", "left"))
 
 
+@_query(f"WITH {v.UNIQUE} SELECT contig_id, bool_or(matchlen >= 80) AS has_long FROM uniq GROUP BY contig_id")
+def long_placements(spark, d):
+    return active.any_long_success(v.unique(spark, d), 100)
+
+
+@_query(f"WITH {v.FRAGS} SELECT contig_id, count(*) AS n_pairs, round(avg(frag), 6) AS mean_frag FROM frags GROUP BY contig_id")
+def mean_fragments(spark, d):
+    return paths.mean_fragments(pairs.fragments(v.unique(spark, d))).withColumn("mean_frag", F.round("mean_frag", 6))
+
+
+@_query(f"WITH {v.KMERS} SELECT kmer, rid, pos FROM kmers SEMI JOIN (SELECT rid, pos, kmer FROM kmers WHERE pos = 1) USING (kmer, rid, pos)")
+def posting_lookup(spark, d):
+    k = v.sampled(spark, d)
+    return k.join(k.where("pos = 1"), ["kmer", "rid", "pos"], "left_semi")
+
+
+@_query(f"WITH {v.RANKED}, x AS (SELECT c1, c2, max(n_best) AS n_pairs FROM ranked GROUP BY c1, c2) SELECT contig_id AS c1, c2, coalesce(n_pairs, 0) AS n_pairs FROM contigs LEFT JOIN x ON c1 = contig_id")
+def pairs_between(spark, d):
+    x = _ranked(spark, d).groupBy("c1", "c2").agg(F.max("n_best").alias("n_pairs"))
+    return v.contigs(spark, d).select(F.col("contig_id").alias("c1")).join(x, "c1", "left").fillna(0, ["n_pairs"])
+
+
+@_query("SELECT rid, max(contig_pos) AS contig_pos FROM match_info WHERE rid IS NOT NULL GROUP BY rid")
+def last_placements(spark, d):
+    """The later row of a read overwrites an earlier one; the rows have no other order than their position here."""
+    return pairs.last_placement(v.table(spark, d, "match_info"), "contig_pos").select("rid", "contig_pos")
+
+
+@_query(f"WITH {v.UNIQUE}, {v.CONTIGS} SELECT rid, contig_id, contig_pos FROM uniq JOIN ctg USING (contig_id) WHERE clen <= 400 OR contig_pos <= 200 OR contig_pos > clen - 200")
+def end_placements(spark, d):
+    return sinks.end_placements(v.unique(spark, d), v.contigs(spark, d), 200).select("rid", "contig_id", "contig_pos")
+
+
+@_query(f"WITH {v.PILE}, x AS (SELECT contig_id, base, sum(n_max) AS support FROM winners WHERE n_max > 0 GROUP BY ALL), r AS (SELECT contig_id, base, CAST(support AS BIGINT) AS support, row_number() OVER (PARTITION BY contig_id ORDER BY support DESC, base) AS rank FROM x) SELECT contig_id, base, support, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
+def ordered_support(spark, d):
+    from pyspark.sql import Window
+
+    w = votes.winners(votes.next_base_votes(_placed_seqs(spark, d))).where("n_max > 0").groupBy("contig_id", "base").agg(F.sum("n_max").alias("support"))
+    return w.withColumn("rank", F.row_number().over(Window.partitionBy("contig_id").orderBy(F.desc("support"), "base"))).where("rank <= 20")
+
+
+def _across(spark, d):
+    """Reads that lie across the middle of their contig, with what they say beyond it."""
+    size = v.contigs(spark, d).select("contig_id", F.floor(F.length("seq") / 2).cast("int").alias("half"))
+    x = _placed_seqs(spark, d).join(size, "contig_id").where("contig_pos <= half and contig_pos + seqlen - 1 > half")
+    return x.withColumn("tail", F.expr("substring(oseq, half - contig_pos + 2, seqlen)"))
+
+
+@_query()
+def candidate_paths(spark, d):
+    return paths.candidate_paths(_across(spark, d).select(F.col("contig_id").alias("key"), "tail"))
+
+
+@_query()
+def settled_reads(spark, d):
+    """Reads across the middle of their contig as active reads that have run to it, and those that end there."""
+    x = _across(spark, d).select("contig_id", "rid", "orientation", "seqlen", F.least(F.expr("half - contig_pos + 1"), F.col("seqlen")).alias("base_pos"), F.lit(0).alias("mismatches"), F.lit(1.0).alias("ratio"), F.col("half").alias("contig_len"))
+    x = x.withColumn("matched", F.col("base_pos")).withColumn("mated", F.lit(True)).withColumn("locked", F.lit(False)).withColumn("run", F.col("base_pos"))
+    return active.lock(active.unmate_failed(active.settle(x)), 2, 2.0).select("contig_id", "rid", "status", "mated", "locked")
+
+
+@_query()
+def stop_rules(spark, d):
+    """The guard rules at every position of the pile-up: mate votes and all votes, with placed read ends as support."""
+    seqs = _placed_seqs(spark, d)
+    mated = pairs.mates(v.unique(spark, d)).where("contig_id_1 = contig_id_2").select(F.explode(F.array("rid_1", "rid_2")).alias("rid"))
+    se = votes.winners(votes.next_base_votes(seqs)).select("contig_id", "pos", F.col("n_max").alias("se_max"), F.col("n_second").alias("se_sec"))
+    pe = votes.winners(votes.next_base_votes(seqs, mated)).select("contig_id", "pos", F.col("n_max").alias("pe_max"), F.col("n_second").alias("pe_sec"))
+    ends = v.unique(spark, d).select("contig_id", (F.col("contig_pos") + F.col("seqlen") - 1).alias("pos")).distinct().withColumn("covered", F.lit(True))
+    x = se.join(pe, ["contig_id", "pos"], "left").join(ends, ["contig_id", "pos"], "left").fillna(0, ["pe_max", "pe_sec"]).fillna(False, ["covered"])
+    x = active.with_state(active.window_counts(x, 100).withColumn("length", F.col("pos")))
+    return x.select("contig_id", "pos", active.stop_rule(100, 4.0, 240, 300).alias("rule"))
+
+
+@_query()
+def pilot_insert(spark, d):
+    return assemble.pilot_insert(v.valid(spark, d))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -69,3 +69,15 @@ def test_scalars_on_odd_text(spark):
 def test_ranges_runs(n):
     assert flat.ranges(np.array([3, 10]), np.array([2, n])).tolist() == [3, 4, *range(10, 10 + n)]
     assert flat.runs(np.array([1, 1, 2])).tolist() == [0, 2, 3]
+
+
+def test_scratch_tables(spark):
+    import os
+
+    from loomseq.functions import scratch
+
+    df = scratch.written(spark.range(5).toDF("x"), "t")
+    path = scratch._tables[-1].removeprefix("file://")
+    assert df.count() == 5 and os.path.isdir(path)
+    scratch.cleanup(spark)
+    assert not os.path.exists(path)
