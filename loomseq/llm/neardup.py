@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flat import flat_codes, kmers, mix64, ranges, rc_kmers, runs, slices, window_ok
 from ..functions.scratch import parts, written
+from ..operators.components import components
 from .blobs import by_bucket, dump, load, rows
 from .spans import records
 
@@ -279,3 +280,21 @@ def near_pairs(df: DataFrame, rec_id: str, seq: str, merge_equal: bool = False,
     a, b = (texts.select(F.col("id").alias(f"id_{s}"), F.col("seq").alias(f"seq_{s}")) for s in "ab")
     full_pairs = pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", "seq_a", "seq_b")
     return full_pairs.mapInArrow(_exact(k, num, den), "id_a bigint, id_b bigint, n_both bigint, n_either bigint")
+
+
+def near_groups(df: DataFrame, rec_id: str, seq: str, merge_equal: bool = False, **how) -> DataFrame:
+    """One row a record: rec_id, class_id (the least id it is linked to over any number of near pairs) and n_links.
+
+    With merge_equal every id of an equal text has a row, and the class and links of the record that stands for them; else
+    copies are records of their own. A record without partners is a class of its own with 0 links. Rows with a null id or
+    text have no row."""
+    pairs = written(near_pairs(df, rec_id, seq, merge_equal, **how).select("id_a", "id_b"), "near-links")
+    both = pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    linked = both.groupBy(F.col("id_a").alias("id")).agg(F.count(F.lit(1)).alias("n_links")).join(components(pairs, "id_a", "id_b").withColumnRenamed("node", "id"), "id")
+    ids = df.where(F.col(rec_id).isNotNull() & F.col(seq).isNotNull()).select(F.col(rec_id).cast("bigint").alias("rec_id"), F.upper(F.col(seq)).alias("seq")).distinct()
+    if merge_equal:
+        ids = ids.join(records(df, rec_id, seq, True), "seq").select("rec_id", "id").distinct()
+    else:
+        ids = ids.select("rec_id", F.col("rec_id").alias("id")).distinct()
+    out = ids.join(linked, "id", "left")
+    return out.select("rec_id", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -39,6 +39,10 @@ def p2_portion(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("share", F.round("share", 6))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return spans.span_classes(_t(spark, d, "contigs"), "contig_id", "contigseq", 100)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy.heavy_hitters(_t(spark, d, "read_buf")).select("hashcode")
 
@@ -53,6 +57,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _both(reads, contigs, {"id_a": "id_a", "id_b": "id_b"})
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_groups(_t(spark, d, "read_buf"), "rid", "seq", merge_equal=True)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return seen.seen_before(_t(spark, d, "read_buf"), _t(spark, d, "known_seqs")).where("seen").select("arrival_no")
 
@@ -90,4 +98,4 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_portion, p4_found, p4_counts, p5_found, p6_found, p6_rate, p7_found, p7_fill, p8_found, p8_shares, p8_mix, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_portion, p2_classes, p4_found, p4_counts, p5_found, p5_classes, p6_found, p6_rate, p7_found, p7_fill, p8_found, p8_shares, p8_mix, p9_found, p9_forms)}

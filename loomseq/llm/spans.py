@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flat import flat_codes, kmers, mix64, ranges, runs, slices, sliding_min, window_ok
 from ..functions.scratch import parts, written
+from ..operators.components import components
 from .blobs import by_bucket, dump, load, pack_bits, rows, unpack_bits
 
 _BLOCK = 1 << 20  # letters a task works on at once
@@ -62,8 +63,9 @@ def _paragraph_words(codes: np.ndarray, at: np.ndarray, min_len: int) -> list[np
     return out
 
 
-def _settle(words: list[np.ndarray], rec: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(shared?, hash) of each paragraph, and of each distinct one the places of its least and greatest record."""
+def _settle(words: list[np.ndarray], rec: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shared?, hash) of each paragraph, of each distinct one the places of its least and greatest record, and for each
+    paragraph the least record that holds it."""
     h = mix64(words[0])
     for w in words[1:]:
         h = mix64(h ^ (w + np.uint64(0x9E3779B97F4A7C15)))
@@ -88,12 +90,14 @@ def _settle(words: list[np.ndarray], rec: np.ndarray) -> tuple[np.ndarray, np.nd
     low, high = np.minimum.reduceat(rs, start), np.maximum.reduceat(rs, start)
     shared = np.zeros(h.size, bool)
     shared[order] = np.repeat(low != high, size)
+    least = np.empty(h.size, np.int64)
+    least[order] = np.repeat(low, size)
     pick = np.flatnonzero(rs == np.repeat(low, size))
     run = np.repeat(np.arange(start.size), size)
     first = pick[np.unique(run[pick], return_index=True)[1]]
     pick = np.flatnonzero((rs == np.repeat(high, size)) & np.repeat(low != high, size))
     last = pick[np.unique(run[pick], return_index=True)[1]]
-    return shared, h, order[first], order[last]
+    return shared, h, order[first], order[last], least
 
 
 def _spans(shared: np.ndarray, rec: np.ndarray, pos: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,10 +155,10 @@ def _send(min_len: int, k: int, n_buckets: int, full: np.ndarray):
             if hot.any():
                 at = ranges(start[hot], n_par[hot])
                 r = np.repeat(rec[hot], n_par[hot])
-                shared, h, first, last = _settle(_paragraph_words(codes, at, min_len), ids[r])
+                shared, h, first, last, least = _settle(_paragraph_words(codes, at, min_len), ids[r])
                 i, lo, hi = _spans(shared, r, at - off[r], min_len)
                 if i.size:
-                    yield rows([-1], [dump(ids[i], lo, hi)])
+                    yield rows([-1], [dump(ids[i], lo, hi, *_stars(shared, ids[r], least))])
                 go = np.concatenate([first, last])
                 put(codes, ids, r[go], off, at[go], np.ones(go.size, np.int64), n_buckets + (mix64(h[go] + np.uint64(1)) % np.uint64(n_buckets)).astype(np.int64))
                 start, n_par, bucket, rec = start[~hot], n_par[~hot], bucket[~hot], rec[~hot]
@@ -167,28 +171,56 @@ def _send(min_len: int, k: int, n_buckets: int, full: np.ndarray):
     return run
 
 
+def _unpack(table: pa.Table, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of a bucket; of each paragraph its place in them, its record and its position there."""
+    got = [load(v.as_py(), np.int64, np.int64, np.int32, np.uint8) for v in table.column("blob")]
+    ids, first = (np.concatenate([g[i] for g in got]) for i in range(2))
+    length = np.concatenate([g[2] for g in got]).astype(np.int64)
+    codes = np.concatenate([unpack_bits(g[3], int(g[2].sum())) for g in got])
+    n_par = length - min_len + 1
+    return codes, ranges(np.cumsum(length) - length, n_par), np.repeat(ids, n_par), ranges(first, n_par)
+
+
+def _stars(shared: np.ndarray, rec: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keep = shared & (rec != least)
+    if not keep.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = np.unique(np.stack([rec[keep], least[keep]]), axis=1)
+    return a, b
+
+
 def _verify(min_len: int):
     def run(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() == -1:
-            got = [load(v.as_py(), np.int64, np.int64, np.int64) for v in table.column("blob")]
+            got = [load(v.as_py(), np.int64, np.int64, np.int64, np.int64, np.int64) for v in table.column("blob")]
             rec, lo, hi = (np.concatenate([g[i] for g in got]) for i in range(3))
         else:
-            got = [load(v.as_py(), np.int64, np.int64, np.int32, np.uint8) for v in table.column("blob")]
-            ids, first = (np.concatenate([g[i] for g in got]) for i in range(2))
-            length = np.concatenate([g[2] for g in got]).astype(np.int64)
-            codes = np.concatenate([unpack_bits(g[3], int(g[2].sum())) for g in got])
-            n_par = length - min_len + 1
-            at = ranges(np.cumsum(length) - length, n_par)
-            rec = np.repeat(ids, n_par)
+            codes, at, rec, pos = _unpack(table, min_len)
             shared = _settle(_paragraph_words(codes, at, min_len), rec)[0]
-            rec, lo, hi = _spans(shared, rec, ranges(first, n_par), min_len)
+            rec, lo, hi = _spans(shared, rec, pos, min_len)
         return pa.table({"id": rec, "lo": lo, "hi": hi})
 
     return run
 
 
-def _shared_in(recs: DataFrame, min_len: int, k: int) -> DataFrame:
-    """(id, lo, hi): shared stretches, they may overlap."""
+def _links(min_len: int):
+    """Each record of a shared paragraph with the least record that holds it: stars, no pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() == -1:  # settled inside blocks, whose least records go on and meet
+            got = [load(v.as_py(), np.int64, np.int64, np.int64, np.int64, np.int64) for v in table.column("blob")]
+            a, b = (np.concatenate([g[i] for g in got]) for i in (3, 4))
+        else:
+            codes, at, rec, _ = _unpack(table, min_len)
+            shared, _, _, _, least = _settle(_paragraph_words(codes, at, min_len), rec)
+            a, b = _stars(shared, rec, least)
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
+def _shared_in(recs: DataFrame, min_len: int, k: int, out=None, schema: str = "id bigint, lo bigint, hi bigint") -> DataFrame:
+    """(id, lo, hi): shared stretches, they may overlap; or what `out` makes of a bucket."""
     letters = recs.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
     n_buckets = int(letters * 2 // ((min_len - k + 2) * _PER_BUCKET)) + 16
     counts = recs.mapInArrow(_count(min_len, k, n_buckets), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -196,7 +228,7 @@ def _shared_in(recs: DataFrame, min_len: int, k: int) -> DataFrame:
     sent = recs.mapInArrow(_send(min_len, k, n_buckets, full), "bucket bigint, blob binary")
     salt = F.when(F.col("bucket") == -1, (F.rand(3) * n_buckets).cast("int")).otherwise(0)
     sent = sent.withColumn("salt", salt).repartition(max(parts(recs.sparkSession), n_buckets // _PER_TASK), "bucket", "salt")
-    return sent.groupBy("bucket", "salt").applyInArrow(_verify(min_len), "id bigint, lo bigint, hi bigint")
+    return sent.groupBy("bucket", "salt").applyInArrow((out or _verify)(min_len), schema)
 
 
 def records(df: DataFrame, rec_id: str, seq: str, merge_equal: bool) -> DataFrame:
@@ -228,3 +260,11 @@ def shared_portion(df: DataFrame, rec_id: str, seq: str, min_len: int, merge_equ
     recs = records(df, rec_id, seq, merge_equal).select(F.col("id").alias("rec_id"), F.length("seq").cast("bigint").alias("n_letters"))
     out = recs.join(spans, "rec_id", "left").fillna(0, ["n_shared", "n_spans"])
     return out.withColumn("share", F.when(F.col("n_letters") > 0, F.col("n_shared") / F.col("n_letters")).otherwise(0.0))
+
+
+def span_classes(df: DataFrame, rec_id: str, seq: str, min_len: int, merge_equal: bool = False, k: int = 16) -> DataFrame:
+    """One row a record that shares a span of at least min_len with another one: rec_id and class_id, the least id of all
+    records it is linked to by such spans. Records as in shared_spans."""
+    recs = written(records(df, rec_id, seq, merge_equal), "span-records")
+    links = _shared_in(recs, min_len, min(k, 16, min_len), _links, "a bigint, b bigint").distinct()
+    return components(links).select(F.col("node").alias("rec_id"), F.col("component").alias("class_id"))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from loomseq.llm import neardup
-from loomseq.llm.neardup import near_pairs
+from loomseq.llm.neardup import near_groups, near_pairs
 
 TURN = str.maketrans("ACGT", "TGCA")
 
@@ -77,3 +77,16 @@ def test_empty_and_repeats(spark):
     df = spark.createDataFrame([(5, s), (3, s.lower()), (3, s), (None, s), (8, s[:79])], "id bigint, seq string")
     assert [(r.id_a, r.id_b) for r in near_pairs(df, "id", "seq", merge_equal=True).collect()] == [(3, 8)]
     assert {(r.id_a, r.id_b) for r in near_pairs(df, "id", "seq").collect()} == {(3, 5), (3, 8), (5, 8)}
+
+
+def test_groups(spark):
+    rows = sample(9, 60, 120, 4) + [(500, "ACGT" * 3), (501, ""), (502, None), (503, sample(9, 60, 120, 4)[0][1])]
+    df = spark.createDataFrame(rows, "id bigint, seq string")
+    pairs = {(r.id_a, r.id_b) for r in near_pairs(df, "id", "seq", merge_equal=True).collect()}
+    got = {r.rec_id: r for r in near_groups(df, "id", "seq", merge_equal=True).collect()}
+    assert set(got) == {i for i, s in rows if s is not None}
+    assert got[503].class_id == got[1].class_id and got[500].class_id == 500 and got[500].n_links == 0
+    for a, b in pairs:
+        assert got[a].class_id == got[b].class_id <= min(a, b)
+    n = sum(r.n_links for i, r in got.items() if i != 503)
+    assert n == 2 * len(pairs)

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 
 from loomseq.llm import spans
-from loomseq.llm.spans import shared_portion, shared_spans
+from loomseq.llm.spans import shared_portion, shared_spans, span_classes
 
 
 def brute(recs, m):
@@ -54,6 +54,23 @@ def test_spans(spark, monkeypatch, min_len, full):
     assert {tuple(r) for r in got.collect()} == want
     portion = {r.rec_id: r.n_shared for r in shared_portion(df, "id", "seq", min_len).collect()}
     assert portion == {i: sum(b - a + 1 for j, a, b in want if j == i) for i, s in rows if s is not None}
+    up = {}
+    for s in range(len(rows)):
+        for t in range(s):
+            a, b = (rows[i][1].upper() if rows[i][1] else "" for i in (s, t))
+            wa, wb = ({x[p : p + min_len] for p in range(len(x) - min_len + 1) if set(x[p : p + min_len]) <= set("ACGT")} for x in (a, b))
+            if wa & wb:
+                up.setdefault(rows[s][0], set()).add(rows[t][0])
+                up.setdefault(rows[t][0], set()).add(rows[s][0])
+    classes = {}
+    for i in sorted(up):
+        todo = [i] if i not in classes else []
+        while todo:
+            j = todo.pop()
+            if j not in classes:
+                classes[j] = i
+                todo += up[j]
+    assert {r.rec_id: r.class_id for r in span_classes(df, "id", "seq", min_len).collect()} == classes
 
 
 def test_equal_texts_are_one(spark):
