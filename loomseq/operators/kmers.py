@@ -26,8 +26,15 @@ def explode_kmers(reads: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return x.select(F.substring("seq", F.col("pos"), F.lit(p.k)).alias("kmer"), "rid", "pos")
 
 
-def counts(kmers: DataFrame) -> DataFrame:
-    return kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rid").alias("n_reads"))
+def table(reads: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Per k-mer: n postings, n_reads, most copies in one read, whether it starts some read. `reads` has one row a read: repeats
+    within a read are counted before the explode, so one shuffle with map-side aggregation gives distinct reads too."""
+    pos = sampled_positions(F.length("seq"), p)
+    x = reads.select("seq", pos.alias("pos")).where(F.size("pos") > 0)
+    x = x.select("pos", F.transform("pos", lambda i: F.substring(F.col("seq"), i, F.lit(p.k))).alias("all"))
+    each = F.transform(F.array_distinct("all"), lambda w: F.struct(w.alias("kmer"), F.size(F.filter("all", lambda y: y == w)).alias("copies"), (F.col("all")[0] == w).alias("start")))
+    x = x.select(F.explode(each).alias("k")).select("k.*")
+    return x.groupBy("kmer").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("n_reads"), F.max("copies").alias("most_copies"), F.max("start").alias("at_start"))
 
 
 def postings(kmers: DataFrame, most: int | None = None) -> DataFrame:
@@ -38,53 +45,56 @@ def postings(kmers: DataFrame, most: int | None = None) -> DataFrame:
     return kmers.withColumn("chunk", F.floor(n / most).cast("int")).groupBy("kmer", "chunk").agg(F.array_sort(F.collect_list(F.struct("rid", "pos"))).alias("postings"))
 
 
-def seed_bounds(kmers: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """One row: mean occurrence of a k-mer, and the least and greatest multiplicity of a seed."""
+def seed_bounds(per: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """One row from a k-mer table: mean occurrence of a k-mer, and the least and greatest multiplicity of a seed."""
     n = p.read_len - p.k + 1
     sampled = -(-p.read_len * p.head_sample_pct // 100) + -(-p.read_len * p.tail_sample_pct // 100)
-    per = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
     mean = F.greatest(F.sum("n") / F.count(F.lit(1)) * n / sampled / 1.6, F.lit(1.0))
     x = per.agg(F.coalesce(mean, F.lit(1.0)).alias("avg_occ"))
     lower = F.greatest(F.least(F.col("avg_occ") * p.lower_factor, F.lit(float(p.lower_max))), F.lit(float(p.lower_min)))
     return x.withColumn("lower", lower).withColumn("upper", F.col("avg_occ") * p.upper_factor)
 
 
-def seeds(kmers: DataFrame, p: Params = DEFAULT, consumed: DataFrame | None = None) -> DataFrame:
+def seeds(reads: DataFrame, p: Params = DEFAULT, consumed: DataFrame | None = None) -> DataFrame:
     """k-mers fit to start a contig: multiplicity within the bounds and mostly unconsumed, not one letter only, at the start
-    of some read, never twice in one read. `consumed` (rid): reads already used, left out by an anti join."""
-    live = kmers.join(consumed.select("rid").distinct(), "rid", "left_anti") if consumed is not None else kmers
-    size = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("arraysize"))
-    per = live.groupBy("kmer").agg(F.count(F.lit(1)).alias("multiplicity"), F.count_distinct("rid").alias("n_reads"), F.max(F.when(F.col("pos") == 1, 1).otherwise(0)).alias("at_start"))
+    of some read, never twice in one read. `consumed` (rid): reads already used; they are taken out before their k-mers are."""
+    whole = table(reads, p)
+    per = whole.withColumnRenamed("n", "arraysize").withColumn("multiplicity", F.col("arraysize"))
     if consumed is not None:
-        per = per.join(size, "kmer")
-    else:
-        per = per.withColumn("arraysize", F.col("multiplicity"))
-    per = per.crossJoin(F.broadcast(seed_bounds(kmers, p)))  # one row
+        live = table(reads.join(consumed.select("rid").distinct(), "rid", "left_anti"), p).withColumnRenamed("n", "multiplicity")
+        per = live.join(whole.select("kmer", F.col("n").alias("arraysize")), "kmer")
+    per = per.crossJoin(F.broadcast(seed_bounds(whole, p)))  # one row
     ok = F.col("multiplicity").between(F.col("lower"), F.col("upper")) & (F.col("multiplicity") >= F.col("arraysize") * p.fresh_share)
-    return per.where(ok & ~is_homopolymer(F.col("kmer")) & (F.col("at_start") == 1) & (F.col("n_reads") == F.col("multiplicity"))).select("kmer", "multiplicity", "arraysize")
+    return per.where(ok & ~is_homopolymer(F.col("kmer")) & F.col("at_start") & (F.col("most_copies") == 1)).select("kmer", "multiplicity", "arraysize")
 
 
-def multi_copy(kmers: DataFrame) -> DataFrame:
-    """k-mers that stand twice in one read, and the reads."""
-    return kmers.groupBy("kmer", "rid").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+def multi_copy(reads: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """k-mers that stand twice in one read, and the reads: settled within each row, without a shuffle."""
+    x = reads.select("rid", "seq", sampled_positions(F.length("seq"), p).alias("pos"))
+    x = x.select("rid", F.transform("pos", lambda i: F.substring(F.col("seq"), i, F.lit(p.k))).alias("all")).where(F.size(F.array_distinct("all")) < F.size("all"))
+    each = F.transform(F.array_distinct("all"), lambda w: F.struct(w.alias("kmer"), F.size(F.filter("all", lambda y: y == w)).cast("bigint").alias("copies")))
+    return x.select("rid", F.explode(each).alias("k")).select("k.kmer", "rid", "k.copies").where("copies > 1")
 
 
-def at_read_end(kmers: DataFrame, reads: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """k-mers at the last place of some read."""
-    last = kmers.join(reads.select("rid", F.length("seq").alias("seqlen")), "rid").where(F.col("pos") == F.col("seqlen") - p.k + 1)
-    return last.select("kmer").distinct()
+def at_read_end(reads: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Sampled k-mers at the last place of some read."""
+    n = F.length("seq") - p.k + 1
+    x = reads.where(n >= 1).where(F.array_contains(sampled_positions(F.length("seq"), p), n))
+    return x.select(F.substring(F.col("seq"), n, F.lit(p.k)).alias("kmer")).distinct()
 
 
-def strand_lookup(kmers: DataFrame) -> DataFrame:
-    """k-mers whose reverse complement is a k-mer too: both counts."""
-    c = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+def strand_lookup(per: DataFrame) -> DataFrame:
+    """k-mers of a table whose reverse complement is a k-mer too: both counts."""
+    c = per.select("kmer", "n")
     other = c.select(revcomp(F.col("kmer")).alias("kmer"), F.col("n").alias("n_reverse"))
     return c.join(other, "kmer")
 
 
-def consume(kmers: DataFrame, consumed: DataFrame) -> DataFrame:
-    """Multiplicity after the postings of consumed reads are taken out (the postings themselves are never changed)."""
-    live = kmers.join(consumed.select("rid").distinct(), "rid", "left_anti")
-    a = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("arraysize"))
-    b = live.groupBy("kmer").agg(F.count(F.lit(1)).alias("multiplicity"))
-    return a.join(b, "kmer", "left").fillna(0, ["multiplicity"])
+def consume(reads: DataFrame, consumed: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Multiplicity after the postings of consumed reads are taken out (the postings themselves are never changed).
+
+    Reads are marked before the explode, so both counts come out of one aggregation."""
+    x = reads.join(consumed.select("rid").distinct().withColumn("gone", F.lit(True)), "rid", "left")
+    x = x.select("gone", "seq", F.explode(sampled_positions(F.length("seq"), p)).alias("pos"))
+    x = x.select(F.substring("seq", F.col("pos"), F.lit(p.k)).alias("kmer"), F.col("gone").isNull().cast("bigint").alias("live"))
+    return x.groupBy("kmer").agg(F.count(F.lit(1)).alias("arraysize"), F.sum("live").alias("multiplicity"))

@@ -27,10 +27,11 @@ def placement_groups(match_info: DataFrame) -> DataFrame:
 
 
 def unique_placements(match_info: DataFrame) -> DataFrame:
-    """Reads placed exactly once."""
-    p = placed(match_info)
+    """Reads placed exactly once, however often the row is repeated: least and greatest placement are the same. One shuffle
+    with map-side aggregation, no distinct."""
     one = F.struct(*[F.col(c) for c in COLS if c != "rid"])
-    return p.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("p")).where("n = 1").select("rid", "p.*")
+    x = match_info.where("contig_id > 0 and rid is not null").groupBy("rid").agg(F.min(one).alias("p"), F.max(one).alias("q"))
+    return x.where("p <=> q").select("rid", "p.*")
 
 
 def last_placement(match_info: DataFrame, order: str) -> DataFrame:
@@ -40,12 +41,13 @@ def last_placement(match_info: DataFrame, order: str) -> DataFrame:
 
 
 def mates(placements: DataFrame) -> DataFrame:
-    """Both mates in one row: pair_id and the columns of the odd (_1) and even (_2) read. One shuffle on pair_id."""
+    """Both mates in one row: pair_id and the columns of the odd (_1) and even (_2) read. `placements` has one row a read, so a
+    pair is an aggregation of two rows: one shuffle on pair_id and no join."""
     cols = [c for c in placements.columns if c != "pair_id"]
-    x = placements.withColumn("pair_id", pair_of(F.col("rid")))
-    a = x.where("rid % 2 = 1").select("pair_id", *[F.col(c).alias(f"{c}_1") for c in cols])
-    b = x.where("rid % 2 = 0").select("pair_id", *[F.col(c).alias(f"{c}_2") for c in cols])
-    return a.join(b, "pair_id")
+    row, odd = F.struct(*cols), F.col("rid") % 2 == 1
+    x = placements.groupBy(pair_of(F.col("rid")).alias("pair_id")).agg(F.max(F.when(odd, row)).alias("a"), F.max(F.when(~odd, row)).alias("b"))
+    x = x.where("a is not null and b is not null")
+    return x.select("pair_id", *[F.col(f"a.{c}").alias(f"{c}_1") for c in cols], *[F.col(f"b.{c}").alias(f"{c}_2") for c in cols])
 
 
 def fragments(placements: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def kmer_positions(spark, d):
 
 @_query(f"WITH {v.KMERS} SELECT kmer, count(*) AS n, count(DISTINCT rid) AS n_reads FROM kmers GROUP BY kmer")
 def kmer_counts(spark, d):
-    return kmers.counts(v.sampled(spark, d))
+    return kmers.table(v.valid(spark, d)).select("kmer", "n", "n_reads")
 
 
 @_query(f"WITH {v.KMERS} SELECT kmer, CAST(chunk AS INT) AS chunk, string_agg(rid || ':' || pos, ',' ORDER BY rid, pos) AS postings FROM (SELECT *, (row_number() OVER (PARTITION BY kmer ORDER BY rid, pos) - 1) // 1000 AS chunk FROM kmers) GROUP BY ALL")
@@ -134,32 +134,32 @@ bounds AS (SELECT avg_occ, greatest(least(avg_occ * 0.5, 6), 3) AS lower, avg_oc
 
 @_query(f"WITH {v.KMERS}, {_BOUNDS} SELECT round(avg_occ, 6) AS avg_occ, round(lower, 6) AS lower, round(upper, 6) AS upper FROM bounds")
 def kmer_bounds(spark, d):
-    return kmers.seed_bounds(v.sampled(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("avg_occ", "lower", "upper")])
+    return kmers.seed_bounds(kmers.table(v.valid(spark, d))).select(*[F.round(c, 6).alias(c) for c in ("avg_occ", "lower", "upper")])
 
 
 @_query(f"WITH {v.KMERS}, {_BOUNDS} SELECT kmer, n AS multiplicity, n AS arraysize FROM per, bounds WHERE n BETWEEN lower AND upper AND length(replace(kmer, kmer[1], '')) > 0 AND at_start = 1 AND n_reads = n")
 def kmer_seeds(spark, d):
-    return kmers.seeds(v.sampled(spark, d))
+    return kmers.seeds(v.valid(spark, d))
 
 
 @_query(f"WITH {v.KMERS} SELECT kmer, rid, count(*) AS copies FROM kmers GROUP BY kmer, rid HAVING count(*) > 1")
 def kmer_multi_copy(spark, d):
-    return kmers.multi_copy(v.sampled(spark, d))
+    return kmers.multi_copy(v.valid(spark, d))
 
 
 @_query(f"WITH {v.KMERS} SELECT DISTINCT kmer FROM kmers JOIN good USING (rid) WHERE pos = length(seq) - 24")
 def kmer_at_read_end(spark, d):
-    return kmers.at_read_end(v.sampled(spark, d), v.valid(spark, d))
+    return kmers.at_read_end(v.valid(spark, d))
 
 
 @_query(f"WITH {v.KMERS}, c AS (SELECT kmer, count(*) AS n FROM kmers GROUP BY kmer) SELECT a.kmer, a.n, b.n AS n_reverse FROM c a JOIN c b ON b.kmer = reverse(translate(a.kmer, 'ACGT', 'TGCA'))")
 def kmer_strands(spark, d):
-    return kmers.strand_lookup(v.sampled(spark, d))
+    return kmers.strand_lookup(kmers.table(v.valid(spark, d)))
 
 
 @_query(f"WITH {v.KMERS}, {v.UNIQUE} SELECT kmer, count(*) AS arraysize, count(*) FILTER (rid NOT IN (SELECT rid FROM uniq)) AS multiplicity FROM kmers GROUP BY kmer")
 def kmer_consumed(spark, d):
-    return kmers.consume(v.sampled(spark, d), v.unique(spark, d))
+    return kmers.consume(v.valid(spark, d), v.unique(spark, d))
 
 
 # --- placements and mates ---
@@ -354,31 +354,35 @@ def _placed_seqs(spark, d):
     return votes.oriented(v.unique(spark, d), v.reads(spark, d))
 
 
+def _votes(seqs, mated=None):
+    return votes.next_base_votes(seqs, mated, one_row_a_read=True)
+
+
 @_query(f"WITH {v.PILE} SELECT * FROM votes")
 def base_votes(spark, d):
-    return votes.next_base_votes(_placed_seqs(spark, d))
+    return _votes(_placed_seqs(spark, d))
 
 
 @_query(f"WITH {v.PILE}, mated AS (SELECT a.rid FROM uniq a JOIN uniq b ON b.rid = a.rid + CASE WHEN a.rid % 2 = 1 THEN 1 ELSE -1 END AND a.contig_id = b.contig_id) SELECT contig_id, pos, count(*) FILTER (base = 'A') AS n_A, count(*) FILTER (base = 'C') AS n_C, count(*) FILTER (base = 'G') AS n_G, count(*) FILTER (base = 'T') AS n_T FROM bases WHERE rid IN (SELECT rid FROM mated) GROUP BY contig_id, pos")
 def base_votes_paired(spark, d):
     m = pairs.mates(v.unique(spark, d)).where("contig_id_1 = contig_id_2").select(F.explode(F.array("rid_1", "rid_2")).alias("rid"))
-    return votes.next_base_votes(_placed_seqs(spark, d), m)
+    return _votes(_placed_seqs(spark, d), m)
 
 
 @_query(f"WITH {v.PILE} SELECT * FROM winners")
 def base_winners(spark, d):
-    return votes.winners(votes.next_base_votes(_placed_seqs(spark, d)))
+    return votes.winners(_votes(_placed_seqs(spark, d)))
 
 
 @_query(f"WITH {v.PILE} SELECT contig_id, count(*) AS n_columns, count(*) FILTER ((total >= 10 AND n_max / total < 0.9) OR (total < 10 AND n_second > 0 AND n_max / n_second < 4)) AS n_incorrect FROM winners GROUP BY contig_id")
 def incorrect_columns(spark, d):
-    return votes.incorrect_columns(votes.winners(votes.next_base_votes(_placed_seqs(spark, d))))
+    return votes.incorrect_columns(votes.winners(_votes(_placed_seqs(spark, d))))
 
 
 @_query(f"WITH {v.PILE} SELECT rid, contig_id, CAST(pos AS INT) AS pos, second AS base, w.base AS corrected FROM bases b JOIN winners w USING (contig_id, pos) WHERE total >= 3 AND n_second = 1 AND b.base = second")
 def corrected_bases(spark, d):
     s = _placed_seqs(spark, d)
-    return votes.corrected(s, votes.winners(votes.next_base_votes(s)), 3)
+    return votes.corrected(s, votes.winners(_votes(s)), 3)
 
 
 _HAM = "len([1 FOR i IN range(1, {n} + 1) IF substr({a}, CAST(i AS INT), 1) <> substr({b}, CAST(i AS INT), 1)])"
@@ -395,14 +399,14 @@ def shift_distances(spark, d):
     f"""WITH {v.PILE} SELECT contig_id, pos, CASE WHEN n_max = 0 THEN false WHEN n_second > 0 AND (n_max - n_second < 2 OR n_second > 4 OR (n_second >= 2 AND n_second / n_max >= 0.6)) THEN false ELSE true END AS extend FROM winners"""
 )
 def extension_gate(spark, d):
-    w = votes.winners(votes.next_base_votes(_placed_seqs(spark, d)))
+    w = votes.winners(_votes(_placed_seqs(spark, d)))
     x = w.withColumns({"navi": F.lit(0), "tail": F.lit(0), "ratio": F.lit(1.0), "length": F.lit(1000), "n_paths": F.lit(1), "path_max": F.lit(1), "path_second": F.lit(0), "score": F.lit(-1.0)})
     return x.select("contig_id", "pos", votes.single_end_gate(100, 4.0).alias("extend"))
 
 
 @_query(f"WITH {v.PILE}, x AS (SELECT *, pos % 5 AS i FROM winners) SELECT contig_id, pos, CASE WHEN i > 3 THEN false WHEN n_max = 0 THEN false WHEN (n_second / n_max > 0.7 AND i > 1 AND total > 10) OR (n_max / total < 0.6 AND i > 2) THEN false ELSE true END AS by_paths, CASE WHEN i > 3 THEN false WHEN n_second / nullif(n_max, 0) > 0.8 AND i > 1 AND total > 10 THEN false WHEN n_second / nullif(n_max, 0) > 0.7 AND i > 2 THEN false ELSE true END AS by_tandem FROM x")
 def path_decisions(spark, d):
-    w = votes.winners(votes.next_base_votes(_placed_seqs(spark, d))).where("n_max > 0 or true").withColumn("n_incorrect", F.col("pos") % 5).withColumn("n_paths", F.lit(2))
+    w = votes.winners(_votes(_placed_seqs(spark, d))).where("n_max > 0 or true").withColumn("n_incorrect", F.col("pos") % 5).withColumn("n_paths", F.lit(2))
     safe = w.withColumn("n_max", F.when(F.col("n_max") > 0, F.col("n_max")))
     return safe.select("contig_id", "pos", F.when((F.col("n_incorrect") <= 3) & F.col("n_max").isNull(), False).otherwise(votes.path_decision()).alias("by_paths"), votes.tandem_decision().alias("by_tandem"))
 
@@ -463,7 +467,7 @@ SELECT contig_id, pos, count(*) FILTER (n_max = 1) OVER (PARTITION BY contig_id
  FROM x WINDOW w AS (PARTITION BY contig_id ORDER BY pos RANGE BETWEEN 99 PRECEDING AND CURRENT ROW)"""
 )
 def tail_guards(spark, d):
-    w = votes.winners(votes.next_base_votes(_placed_seqs(spark, d)))
+    w = votes.winners(_votes(_placed_seqs(spark, d)))
     return stats.tail_guards(w.select("contig_id", "pos", F.lit(0).alias("pe_max"), F.lit(0).alias("pe_sec"), F.col("n_max").alias("se_max"), F.col("n_second").alias("se_sec")))
 
 
@@ -600,7 +604,7 @@ def end_placements(spark, d):
 def ordered_support(spark, d):
     from pyspark.sql import Window
 
-    w = votes.winners(votes.next_base_votes(_placed_seqs(spark, d))).where("n_max > 0").groupBy("contig_id", "base").agg(F.sum("n_max").alias("support"))
+    w = votes.winners(_votes(_placed_seqs(spark, d))).where("n_max > 0").groupBy("contig_id", "base").agg(F.sum("n_max").alias("support"))
     return w.withColumn("rank", F.row_number().over(Window.partitionBy("contig_id").orderBy(F.desc("support"), "base"))).where("rank <= 20")
 
 
@@ -629,8 +633,8 @@ def stop_rules(spark, d):
     """The guard rules at every position of the pile-up: mate votes and all votes, with placed read ends as support."""
     seqs = _placed_seqs(spark, d)
     mated = pairs.mates(v.unique(spark, d)).where("contig_id_1 = contig_id_2").select(F.explode(F.array("rid_1", "rid_2")).alias("rid"))
-    se = votes.winners(votes.next_base_votes(seqs)).select("contig_id", "pos", F.col("n_max").alias("se_max"), F.col("n_second").alias("se_sec"))
-    pe = votes.winners(votes.next_base_votes(seqs, mated)).select("contig_id", "pos", F.col("n_max").alias("pe_max"), F.col("n_second").alias("pe_sec"))
+    se = votes.winners(_votes(seqs)).select("contig_id", "pos", F.col("n_max").alias("se_max"), F.col("n_second").alias("se_sec"))
+    pe = votes.winners(_votes(seqs, mated)).select("contig_id", "pos", F.col("n_max").alias("pe_max"), F.col("n_second").alias("pe_sec"))
     ends = v.unique(spark, d).select("contig_id", (F.col("contig_pos") + F.col("seqlen") - 1).alias("pos")).distinct().withColumn("covered", F.lit(True))
     x = se.join(pe, ["contig_id", "pos"], "left").join(ends, ["contig_id", "pos"], "left").fillna(0, ["pe_max", "pe_sec"]).fillna(False, ["covered"])
     x = active.with_state(active.window_counts(x, 100).withColumn("length", F.col("pos")))
