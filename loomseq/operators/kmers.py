@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import is_homopolymer, revcomp
+from ..functions.scratch import written
 from ..params import DEFAULT, Params
 
 
@@ -58,7 +59,7 @@ def seed_bounds(per: DataFrame, p: Params = DEFAULT) -> DataFrame:
 def seeds(reads: DataFrame, p: Params = DEFAULT, consumed: DataFrame | None = None) -> DataFrame:
     """k-mers fit to start a contig: multiplicity within the bounds and mostly unconsumed, not one letter only, at the start
     of some read, never twice in one read. `consumed` (rid): reads already used; they are taken out before their k-mers are."""
-    whole = table(reads, p)
+    whole = written(table(reads, p), "kmers")  # used twice: for the bounds and for the seeds
     per = whole.withColumnRenamed("n", "arraysize").withColumn("multiplicity", F.col("arraysize"))
     if consumed is not None:
         live = table(reads.join(consumed.select("rid").distinct(), "rid", "left_anti"), p).withColumnRenamed("n", "multiplicity")

@@ -9,11 +9,11 @@ from ..functions.bases import mean_phred, share_of, unknown_bases
 from ..params import DEFAULT, Params
 
 
-def first_delivery(read_buf: DataFrame) -> DataFrame:
-    """One row a read: its first delivery with bases (rid, pair_id, mate, run_id, seq, qual, seqlen). Null rids are dropped."""
-    row = F.struct(F.col("pair_id"), F.col("mate"), F.col("run_id"), F.col("seq"), F.col("qual"))
+def first_delivery(read_buf: DataFrame, columns: tuple[str, ...] = ("pair_id", "mate", "run_id", "seq", "qual")) -> DataFrame:
+    """One row a read: its first delivery with bases (rid and `columns`; only these are read). Null rids are dropped."""
+    row = F.struct(*columns)
     x = read_buf.where("rid is not null and seq is not null").select("rid", "arrival_no", row.alias("row"))
-    return x.groupBy("rid").agg(F.min_by("row", "arrival_no").alias("row")).select("rid", "row.*", F.length("row.seq").alias("seqlen"))
+    return x.groupBy("rid").agg(F.min_by("row", "arrival_no").alias("row")).select("rid", "row.*")
 
 
 def valid(seq: Column, qual: Column, p: Params = DEFAULT) -> Column:

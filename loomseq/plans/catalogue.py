@@ -66,7 +66,7 @@ _PROFILE = "SELECT run_id, count(*) AS n_reads, CAST(sum(length(seq)) AS BIGINT)
 
 def _profile(spark, d, kind):
     runs = v.table(spark, d, "runs").where(F.col("file_format") == kind).select("run_id")
-    return quality.profile(v.reads(spark, d).join(runs, "run_id"), "run_id", "rid", fastq=kind == "fastq")
+    return quality.profile(v.reads(spark, d, "run_id", "seq").join(runs, "run_id"), "run_id", "rid", fastq=kind == "fastq")
 
 
 @_query(f"WITH {v.READS} " + _PROFILE.format("round", "fasta"))
@@ -105,7 +105,7 @@ def sequence_scalars(spark, d):
 @_query(f"WITH {v.READS} SELECT rid, length(seq) - length(translate(seq, 'Nn.', '')) AS n_unknown, translate(seq, 'Nn.', 'CCC') AS replaced, round((length(seq) - length(replace(seq, 'A', ''))) / length(seq), 6) AS share_a FROM reads WHERE seq <> ''")
 def unknown_bases(spark, d):
     s = F.col("seq")
-    return v.reads(spark, d).where("seq <> ''").select("rid", bases.unknown_bases(s).cast("bigint").alias("n_unknown"), bases.replace_unknown(s).alias("replaced"), F.round(bases.share_of(s, "A"), 6).alias("share_a"))
+    return v.reads(spark, d, "seq").where("seq <> ''").select("rid", bases.unknown_bases(s).cast("bigint").alias("n_unknown"), bases.replace_unknown(s).alias("replaced"), F.round(bases.share_of(s, "A"), 6).alias("share_a"))
 
 
 # --- k-mers ---
@@ -351,7 +351,7 @@ def qualified_pairs(spark, d):
 
 
 def _placed_seqs(spark, d):
-    return votes.oriented(v.unique(spark, d), v.reads(spark, d))
+    return votes.oriented(v.unique(spark, d), v.reads(spark, d, "seq"))
 
 
 def _votes(seqs, mated=None):

@@ -12,8 +12,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def reads(spark: SparkSession, d: str) -> DataFrame:
-    return quality.first_delivery(table(spark, d, "read_buf"))
+def reads(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return quality.first_delivery(table(spark, d, "read_buf"), columns or ("seq", "qual"))
 
 
 def valid(spark: SparkSession, d: str) -> DataFrame:
