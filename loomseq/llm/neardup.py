@@ -8,8 +8,8 @@ any. Two records of similarity 0.6 miss each other with a chance of about 0.08 %
 less. Candidates are verified by the exact similarity of their whole word sets.
 
 A first pass counts the entries of the buckets. Entries of a bucket too full for one task (a hot a_i) are sent by their
-whole table keys (a_i, b_j) instead. Records that still meet in a crowd are not paired off: within the crowd an exact
-prefix-filter join on their rarest words finds every pair.
+whole table keys (a_i, b_j) instead. Where more than 512 records meet in one key they are a crowd and not paired off: an
+exact prefix-filter join on their rarest words finds every pair of crowd members.
 """
 
 from __future__ import annotations
@@ -33,8 +33,7 @@ _PER_BUCKET = 50_000
 _PER_TASK = 8  # buckets
 _FULL = 4 * _PER_BUCKET
 _DIRECT = 32  # records of one a_i that are compared by their B values one with another
-_WIDE = 2048  # beyond that the tables within a_i take two B values
-_CROWD = 256
+_CROWD = 512  # beyond that they are a crowd
 _LEAST_B, _LEAST = 3, 5  # equal values of B, and of A and B together, that make a candidate
 _RNG = np.random.default_rng(20)
 _ODD = (_RNG.integers(0, 1 << 31, (2, 64), dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -144,7 +143,7 @@ def _distinct(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 
 
 def _meet(m: int):
-    """Candidate pairs of a bucket (crowd null) with their equal B values, and the members of crowds (id_b null)."""
+    """Candidate pairs of a bucket with their equal B values, and the members of crowds (id_b null)."""
 
     def run(table: pa.Table) -> pa.Table:
         got = [load(v.as_py(), np.uint8, np.uint32, np.int64, np.uint8) for v in table.column("blob")]
@@ -155,7 +154,6 @@ def _meet(m: int):
         edge = runs(key[order])
         size = np.diff(edge)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        crowd, member = [], []
 
         def take(x: np.ndarray, y: np.ndarray) -> None:
             for lo in range(0, x.size, 1 << 20):
@@ -164,42 +162,26 @@ def _meet(m: int):
                 found.append((i[ok], j[ok]))
 
         take(*_pairs_of(order, edge, size, (size > 1) & (size <= _DIRECT)))
-        for wide, pick in ((False, (size > _DIRECT) & (size <= _WIDE)), (True, size > _WIDE)):
-            rest = order[ranges(edge[:-1][pick], size[pick])]
-            if not rest.size:
-                continue
-            pairs_x, pairs_y = [], []
+        mid = (size > _DIRECT) & (size <= _CROWD)
+        rest = order[ranges(edge[:-1][mid], size[mid])]
+        if rest.size:
+            tables = []
             for j in range(2 * m):
-                for k in range(j + 1, 2 * m) if wide else (j,):
-                    t = mix64(key[rest] ^ mix64(low[rest, j].astype(np.uint64) | (low[rest, k].astype(np.uint64) << np.uint64(8)) | np.uint64((j << 16) + (k << 24))))
-                    o = np.argsort(t)
-                    e = runs(t[o])
-                    n = np.diff(e)
-                    x, y = _pairs_of(rest[o], e, n, (n > 1) & (n <= _CROWD))
-                    x, y = _distinct(x, y, ids.size)
-                    ok = np.count_nonzero(low[x] == low[y], axis=1) >= _LEAST_B
-                    pairs_x.append(x[ok])
-                    pairs_y.append(y[ok])
-                    for s in np.flatnonzero(n > _CROWD):
-                        who = np.unique(ids[rest[o[e[s] : e[s + 1]]]])
-                        crowd.append(np.full(who.size, t[o[e[s]]].astype(np.int64)))
-                        member.append(who)
-            found.append(_distinct(np.concatenate(pairs_x), np.concatenate(pairs_y), ids.size))
+                t = key[rest] ^ mix64(low[rest, j].astype(np.uint64) | np.uint64((j + 1) << 8))
+                o = np.argsort(t)
+                e = runs(t[o])
+                n = np.diff(e)
+                tables.append(_distinct(*_pairs_of(rest[o], e, n, n > 1), ids.size))
+            take(*_distinct(*(np.concatenate([t[c] for t in tables]) for c in (0, 1)), ids.size))
         none = np.empty(0, np.int64)
         i, j = (np.concatenate([none, *(f[c] for f in found)]) for c in (0, 1))
         n_b = np.count_nonzero(low[i] == low[j], axis=1)
         x, y = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         two = x != y
         x, y, n_b = x[two], y[two], n_b[two]
-        c, w = np.concatenate([none, *crowd]), np.concatenate([none, *member])
-        return pa.table(
-            {
-                "crowd": pa.concat_arrays([pa.nulls(x.size, pa.int64()), pa.array(c)]),
-                "id_a": np.concatenate([x, w]),
-                "id_b": pa.concat_arrays([pa.array(y), pa.nulls(w.size, pa.int64())]),
-                "n_b": np.concatenate([n_b, np.zeros(w.size, np.int64)]).astype(np.int32),
-            }
-        )
+        many = size > _CROWD
+        w = np.unique(ids[order[ranges(edge[:-1][many], size[many])]])
+        return pa.table({"id_a": np.concatenate([x, w]), "id_b": pa.concat_arrays([pa.array(y), pa.nulls(w.size, pa.int64())]), "n_b": np.concatenate([n_b, np.zeros(w.size, np.int64)]).astype(np.int32)})
 
     return run
 
@@ -235,21 +217,23 @@ def _all_words(k: int):
             key = np.unique((rec.astype(np.uint64) << np.uint64(32)) | w)
             rec = (key >> np.uint64(32)).astype(np.int64)
             n = np.bincount(rec, minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("crowd").take(pa.array(rec)), b.column("id").take(pa.array(rec)), pa.array(n[rec]), pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64))], ["crowd", "id", "n", "word"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rec)), pa.array(n[rec]), pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64))], ["id", "n", "word"])
 
     return run
 
 
 def _crowd_pairs(members: DataFrame, recs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Exact prefix filter within each crowd: pairs that share one of their rarest n - ceil(n num / den) + 1 words."""
-    w = members.distinct().join(recs, "id").select("crowd", "id", "seq").mapInArrow(_all_words(k), "crowd bigint, id bigint, n bigint, word bigint")
+    """Exact prefix filter among all members of crowds: pairs that share one of their rarest n - ceil(n num / den) + 1 words.
+
+    What made the crowd (an adapter, a motif) is frequent among them and so comes last in the order of words."""
+    w = members.distinct().hint("shuffle_hash").join(recs, "id").select("id", "seq").mapInArrow(_all_words(k), "id bigint, n bigint, word bigint")
     w = written(w, "crowd-words")
-    often = w.groupBy("crowd", "word").agg(F.count(F.lit(1)).alias("often"))
-    rank = F.row_number().over(Window.partitionBy("crowd", "id").orderBy("often", "word"))
-    rare = w.join(often, ["crowd", "word"]).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).where("often > 1")
-    rare = written(rare.select("crowd", "word", "id", "n"), "crowd-rare")
-    x, y = (rare.select("crowd", "word", F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    return x.join(y, ["crowd", "word"]).where("id_a < id_b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num).select("id_a", "id_b")
+    often = w.groupBy("word").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "word"))
+    rare = w.join(often, "word", "left").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).where("often is not null")
+    rare = written(rare.select("word", "id", "n"), "crowd-rare")
+    x, y = (rare.select("word", F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    return x.join(y, "word").where("id_a < id_b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num).select("id_a", "id_b")
 
 
 def near_pairs(df: DataFrame, rec_id: str, seq: str, merge_equal: bool = False, k: int = 12, num: int = 3, den: int = 5, m: int = 8) -> DataFrame:
@@ -267,11 +251,11 @@ def near_pairs(df: DataFrame, rec_id: str, seq: str, merge_equal: bool = False,
     counts = recs.mapInArrow(_count(k, m, n_buckets), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     full = np.array([r[0] for r in counts.where(F.col("n") > _FULL).collect()], np.int64)  # at most records x m / _FULL rows
     sent = recs.mapInArrow(_send(k, m, n_buckets, full), "bucket bigint, blob binary").repartition(max(parts(df.sparkSession), n_buckets // _PER_TASK), "bucket")
-    met = sent.groupBy("bucket").applyInArrow(_meet(m), "crowd bigint, id_a bigint, id_b bigint, n_b int")
+    met = sent.groupBy("bucket").applyInArrow(_meet(m), "id_a bigint, id_b bigint, n_b int")
     met = written(met, "near-candidates")
-    pairs = met.where("crowd is null").groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n_a"), F.max("n_b").alias("n_b"))
+    pairs = met.where("id_b is not null").groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n_a"), F.max("n_b").alias("n_b"))
     pairs = pairs.where(F.col("n_a") + F.col("n_b") >= _LEAST).select("id_a", "id_b")
-    crowds = met.where("crowd is not null").select("crowd", F.col("id_a").alias("id"))
+    crowds = met.where("id_b is null").select(F.col("id_a").alias("id"))
     if not crowds.isEmpty():
         pairs = pairs.unionByName(_crowd_pairs(crowds, recs, k, num, den))
     pairs = written(pairs.distinct(), "near-pairs")
@@ -291,10 +275,11 @@ def near_groups(df: DataFrame, rec_id: str, seq: str, merge_equal: bool = False,
     pairs = written(near_pairs(df, rec_id, seq, merge_equal, **how).select("id_a", "id_b"), "near-links")
     both = pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
     linked = both.groupBy(F.col("id_a").alias("id")).agg(F.count(F.lit(1)).alias("n_links")).join(components(pairs, "id_a", "id_b").withColumnRenamed("node", "id"), "id")
-    ids = df.where(F.col(rec_id).isNotNull() & F.col(seq).isNotNull()).select(F.col(rec_id).cast("bigint").alias("rec_id"), F.upper(F.col(seq)).alias("seq")).distinct()
-    if merge_equal:
-        ids = ids.join(records(df, rec_id, seq, True), "seq").select("rec_id", "id").distinct()
+    text = F.substring(F.unhex(F.sha2(F.upper(F.col(seq)), 256)), 1, 16) if merge_equal else F.lit(None).cast("binary")
+    ids = df.where(F.col(rec_id).isNotNull() & F.col(seq).isNotNull()).select(F.col(rec_id).cast("bigint").alias("rec_id"), text.alias("text")).distinct()
+    if merge_equal:  # members find the record that stands for them by a digest of the text, not by the text
+        ids = ids.join(ids.groupBy("text").agg(F.min("rec_id").alias("id")), "text").select("rec_id", "id").distinct()
     else:
-        ids = ids.select("rec_id", F.col("rec_id").alias("id")).distinct()
+        ids = ids.select("rec_id", F.col("rec_id").alias("id"))
     out = ids.join(linked, "id", "left")
     return out.select("rec_id", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

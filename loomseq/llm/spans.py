@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.flat import flat_codes, kmers, mix64, ranges, runs, slices, sliding_min, window_ok
+from ..functions.flat import flat_codes, kmers, mix64, ranges, slices, sliding_min, window_ok
 from ..functions.scratch import parts, written
 from ..operators.components import components
 from .blobs import by_bucket, dump, load, pack_bits, rows, unpack_bits

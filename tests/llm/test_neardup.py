@@ -52,9 +52,9 @@ def test_pairs(spark, monkeypatch, crowd, full, direct):
     assert all(r.n_both * 5 >= r.n_either * 3 for r in got)
 
 
-def test_wide_groups(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "_DIRECT", 2)
-    monkeypatch.setattr(neardup, "_WIDE", 4)
+def test_crowds_only(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_DIRECT", 1)
+    monkeypatch.setattr(neardup, "_CROWD", 1)
     rows = sample(5, 80, 100, 6)
     want = brute({i: s.upper() for i, s in rows}, 12, 3, 5)
     found = {(r.id_a, r.id_b) for r in near_pairs(spark.createDataFrame(rows, "id bigint, seq string"), "id", "seq").collect()}
@@ -88,5 +88,7 @@ def test_groups(spark):
     assert got[503].class_id == got[1].class_id and got[500].class_id == 500 and got[500].n_links == 0
     for a, b in pairs:
         assert got[a].class_id == got[b].class_id <= min(a, b)
-    n = sum(r.n_links for i, r in got.items() if i != 503)
-    assert n == 2 * len(pairs)
+    first = {}
+    for i, t in sorted((i, t.upper()) for i, t in rows if t is not None):
+        assert (got[i].class_id, got[i].n_links) == (got[first.setdefault(t, i)].class_id, got[first[t]].n_links)
+    assert sum(got[i].n_links for i in first.values()) == 2 * len(pairs)
