@@ -8,8 +8,9 @@ any. Two records of similarity 0.6 miss each other with a chance of about 0.08 %
 less. Candidates are verified by the exact similarity of their whole word sets.
 
 A first pass counts the entries of the buckets. Entries of a bucket too full for one task (a hot a_i) are sent by their
-whole table keys (a_i, b_j) instead. Where more than 512 records meet in one key they are a crowd and not paired off: an
-exact prefix-filter join on their rarest words finds every pair of crowd members.
+whole table keys (a_i, b_j) instead. Where more than 512 records share an a_i, the meetings in its tables (a_i, b_j), then (a_i, b_j, b_k), are counted first: if
+they are too many a record, these are a crowd and not paired off: an exact prefix-filter join on their rarest words finds
+every pair of crowd members.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ _PER_BUCKET = 50_000
 _PER_TASK = 8  # buckets
 _FULL = 4 * _PER_BUCKET
 _DIRECT = 32  # records of one a_i that are compared by their B values one with another
-_CROWD = 512  # beyond that they are a crowd
+_PAIRS = 4 << 20
+_CROWD = 512  # larger groups are a crowd if their tables would make more meetings a record than that
 _LEAST_B, _LEAST = 3, 5  # equal values of B, and of A and B together, that make a candidate
 _RNG = np.random.default_rng(20)
 _ODD = (_RNG.integers(0, 1 << 31, (2, 64), dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -142,6 +144,24 @@ def _distinct(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return key // n, key % n
 
 
+def _by_tables(rest: np.ndarray, key: np.ndarray, low: np.ndarray, level: list[tuple[int, ...]], most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Distinct pairs of entries that share their key and the B values of some table of the level; None: more than `most` meetings."""
+    tables, total = [], 0
+    for js in level:
+        t = key[rest]
+        for j in js:
+            t = mix64(t ^ mix64(low[rest, j].astype(np.uint64) | np.uint64((j + 1) << 8)))
+        o = np.argsort(t)
+        e = runs(t[o])
+        n = np.diff(e)
+        total += int((n * (n - 1) // 2).sum())
+        if most is not None and total > most:
+            return None
+        tables.append((o, e, n))
+    got = [_distinct(*_pairs_of(rest[o], e, n, n > 1), key.size) for o, e, n in tables]
+    return _distinct(*(np.concatenate([g[c] for g in got]) for c in (0, 1)), key.size)
+
+
 def _meet(m: int):
     """Candidate pairs of a bucket with their equal B values, and the members of crowds (id_b null)."""
 
@@ -162,25 +182,29 @@ def _meet(m: int):
                 found.append((i[ok], j[ok]))
 
         take(*_pairs_of(order, edge, size, (size > 1) & (size <= _DIRECT)))
-        mid = (size > _DIRECT) & (size <= _CROWD)
-        rest = order[ranges(edge[:-1][mid], size[mid])]
-        if rest.size:
-            tables = []
-            for j in range(2 * m):
-                t = key[rest] ^ mix64(low[rest, j].astype(np.uint64) | np.uint64((j + 1) << 8))
-                o = np.argsort(t)
-                e = runs(t[o])
-                n = np.diff(e)
-                tables.append(_distinct(*_pairs_of(rest[o], e, n, n > 1), ids.size))
-            take(*_distinct(*(np.concatenate([t[c] for t in tables]) for c in (0, 1)), ids.size))
+        mid = np.flatnonzero((size > _DIRECT) & (size <= _CROWD))
+        block = np.cumsum(size[mid] ** 2) // _PAIRS  # so many pairs at once
+        for b in np.unique(block):
+            at = mid[block == b]
+            rest = order[ranges(edge[at], size[at])]
+            take(*_by_tables(rest, key, low, [(j,) for j in range(2 * m)]))
+        member = [np.empty(0, np.int64)]
+        for at in np.flatnonzero(size > _CROWD):  # a few at most: each has over _CROWD entries
+            rest = order[edge[at] : edge[at + 1]]
+            for level in ([(j,) for j in range(2 * m)], [(j, k) for k in range(2 * m) for j in range(k)]):
+                pairs = _by_tables(rest, key, low, level, _CROWD * rest.size)
+                if pairs is not None:
+                    take(*pairs)
+                    break
+            else:
+                member.append(ids[rest])
         none = np.empty(0, np.int64)
         i, j = (np.concatenate([none, *(f[c] for f in found)]) for c in (0, 1))
         n_b = np.count_nonzero(low[i] == low[j], axis=1)
         x, y = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         two = x != y
         x, y, n_b = x[two], y[two], n_b[two]
-        many = size > _CROWD
-        w = np.unique(ids[order[ranges(edge[:-1][many], size[many])]])
+        w = np.unique(np.concatenate(member))
         return pa.table({"id_a": np.concatenate([x, w]), "id_b": pa.concat_arrays([pa.array(y), pa.nulls(w.size, pa.int64())]), "n_b": np.concatenate([n_b, np.zeros(w.size, np.int64)]).astype(np.int32)})
 
     return run
