@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import revcomp
+from ..functions.flat import flat_codes, kmers, ranges, rc_kmers, slices, window_ok
 from ..params import DEFAULT, Params
 
+_BLOCK = 1 << 20
+
 
 def end_regions(contigs: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(contig_id, end, first, last, seq): 5' and 3' regions of the region size, halves of a shorter contig, or the whole (end 2)."""
@@ -21,37 +27,61 @@ def end_regions(contigs: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def end_kmers(contigs: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Every k-mer of the end regions: (kmer, contig_id, pos, end)."""
-    r = end_regions(contigs, p).where(F.expr(f"last - first + 1 >= {p.k}"))
-    x = r.select("contig_id", "end", "seq", F.explode(F.sequence(F.col("first"), F.col("last") - p.k + 1)).alias("pos"))
-    return x.select(F.upper(F.substring("seq", F.col("pos"), F.lit(p.k))).alias("kmer"), "contig_id", "pos", "end").where("kmer rlike '^[ACGT]*$'")
-
-
-def _tiles(reads: DataFrame, p: Params, orient: int) -> DataFrame:
-    n = F.length("s")
-    offs = F.array_union(F.sequence(F.lit(0), n - p.k, F.lit(p.k)), F.array(n - p.k))
-    seq = revcomp(F.col("seq")) if orient else F.col("seq")
-    x = reads.select("rid", seq.alias("s")).where(n >= p.k)
-    x = x.select("rid", F.length("s").alias("seqlen"), F.size(offs).alias("n_tiles"), "s", F.explode(offs).alias("off"))
-    return x.select("rid", "seqlen", "n_tiles", "off", F.lit(orient).alias("orient"), F.substring("s", F.col("off") + 1, F.lit(p.k)).alias("kmer"))
+    """Every k-mer of A, C, G, T in the end regions: (code, contig_id, pos, end); code has two bits a base (k <= 31).
+
+    Regions go through NumPy as flat arrays, so a region is never copied once a k-mer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "piece", _BLOCK):
+            codes, off = flat_codes(b.column("piece"))
+            at = np.flatnonzero(window_ok(codes, off, p.k))
+            rec = np.searchsorted(off, at, side="right") - 1
+            take = pa.array(rec)
+            pos = b.column("first").to_numpy()[rec] + (at - off[rec])
+            yield pa.RecordBatch.from_arrays([pa.array(kmers(codes, p.k)[at].astype(np.int64)), b.column("contig_id").take(take), pa.array(pos.astype(np.int32)), b.column("end").take(take)], ["code", "contig_id", "pos", "end"])
+
+    r = end_regions(contigs, p).select(F.col("contig_id").cast("bigint").alias("contig_id"), F.col("end").cast("int").alias("end"), F.col("first").cast("int").alias("first"), F.expr("substring(seq, first, last - first + 1)").alias("piece"))
+    return r.mapInArrow(run, "code bigint, contig_id bigint, pos int, end int")
+
+
+def tiles(reads: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Tiles of both strands at 0, k, 2k, .. and length - k: (code, rid, seqlen, n_tiles, orient, off). Tiles with other letters are missing."""
+    k = p.k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "seq", _BLOCK):
+            codes, start = flat_codes(b.column("seq"))
+            n = np.diff(start)
+            use = np.flatnonzero(n >= k)
+            if not use.size:
+                continue
+            rest = n[use] - k
+            n_tiles = rest // k + 1 + (rest % k > 0)
+            rec = np.repeat(use, n_tiles)
+            off = np.minimum(ranges(np.zeros(use.size, np.int64), n_tiles) * k, np.repeat(rest, n_tiles))
+            ok, plus, minus = window_ok(codes, start, k), kmers(codes, k), rc_kmers(codes, k)
+            for orient, code, at in ((0, plus, start[rec] + off), (1, minus, start[rec] + np.repeat(rest, n_tiles) - off)):
+                good = ok[at]
+                r = rec[good]
+                yield pa.RecordBatch.from_arrays([pa.array(code[at][good].astype(np.int64)), b.column("rid").take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array(np.repeat(n_tiles, n_tiles)[good].astype(np.int32)), pa.array(np.full(r.size, orient, np.int32)), pa.array(off[good].astype(np.int32))], ["code", "rid", "seqlen", "n_tiles", "orient", "off"])
+
+    return reads.select(F.col("rid").cast("bigint").alias("rid"), "seq").mapInArrow(run, "code bigint, rid bigint, seqlen int, n_tiles int, orient int, off int")
 
 
 def map_unique(reads: DataFrame, contigs: DataFrame, p: Params = DEFAULT, most_hits: int | None = None) -> DataFrame:
     """(rid, contig_id, pos, orient, end, seqlen): reads with exactly one place where all their tiles match.
 
-    Tiles at 0, k, 2k, .. and length - k are joined to the k-mers of contig ends; a place counts when every tile hits the
-    same contig at its offset. The other strand counts only if the first one has at most one hit. `most_hits` leaves out
-    k-mers that stand in more places than that before the join (a repeat can't place a read on its own tile)."""
+    Tiles of both strands are joined to the k-mers of contig ends; a place counts when every tile hits the same contig at
+    its offset (relational division by counting: a tile meets a place once). `most_hits` leaves out k-mers that stand in
+    more places than that before the join (a repeat can't place a read on its own tile)."""
     ends = end_kmers(contigs, p)
     if most_hits is not None:
-        rare = ends.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_hits).select("kmer")
-        ends = ends.join(rare, "kmer", "left_semi")
-    tiles = _tiles(reads, p, 0).unionByName(_tiles(reads, p, 1))
-    hits = tiles.join(ends, "kmer").groupBy("rid", "seqlen", "n_tiles", "orient", "contig_id", (F.col("pos") - F.col("off")).alias("pos")).agg(F.count_distinct("off").alias("n"), F.max(F.when(F.col("off") == 0, F.col("end"))).alias("end"))
-    hits = hits.where("n = n_tiles")
-    w = Window.partitionBy("rid")
-    hits = hits.withColumn("forward", F.sum(F.when(F.col("orient") == 0, 1).otherwise(0)).over(w)).withColumn("total", F.count(F.lit(1)).over(w))
-    return hits.where("forward <= 1 and total = 1").select("rid", "contig_id", "pos", "orient", "end", "seqlen")
+        rare = ends.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_hits).select("code")
+        ends = ends.join(rare, "code", "left_semi")
+    hits = tiles(reads, p).join(ends, "code").groupBy("rid", "orient", "contig_id", (F.col("pos") - F.col("off")).alias("pos"))
+    hits = hits.agg(F.count(F.lit(1)).alias("n"), F.max("n_tiles").alias("n_tiles"), F.max("seqlen").alias("seqlen"), F.max(F.when(F.col("off") == 0, F.col("end"))).alias("end")).where("n = n_tiles")
+    one = hits.groupBy("rid").agg(F.count(F.lit(1)).alias("total"), F.min(F.struct("contig_id", "pos", "orient", "end", "seqlen")).alias("p"))
+    return one.where("total = 1").select("rid", "p.*")
 
 
 def classify_end(placements: DataFrame, contigs: DataFrame, p: Params = DEFAULT) -> DataFrame:

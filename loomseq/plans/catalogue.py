@@ -216,7 +216,9 @@ ends AS (SELECT * FROM (SELECT contig_id, "end", pos, upper(substr(seq, CAST(pos
 
 @_query(f"WITH {_REGIONS} SELECT kmer, count(*) AS n, count(DISTINCT contig_id) AS n_contigs FROM ends GROUP BY kmer")
 def contig_end_kmers(spark, d):
-    return mapping.end_kmers(v.contigs(spark, d)).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("contig_id").alias("n_contigs"))
+    per = mapping.end_kmers(v.contigs(spark, d)).groupBy("code", "contig_id").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("code").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_contigs"))
+    return per.select(bases.unpack2(F.col("code"), DEFAULT.k).alias("kmer"), "n", "n_contigs")
 
 
 @_query(
