@@ -5,11 +5,12 @@ Files are cut into byte ranges that are read in parallel; a reader moves on to t
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -21,7 +22,7 @@ _BATCH = 10_000
 
 
 def _open(path: str):
-    fs, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + __import__("os").path.abspath(path))
+    fs, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
     return fs.open_input_file(p)
 
 
@@ -212,10 +213,11 @@ def contigs(spark: SparkSession, paths: list[str], least_len: int = 0) -> DataFr
 def truth(reads_named: DataFrame, name: str = "name") -> DataFrame:
     """Strand and position that simulated reads carry as the last two fields of their names."""
     parts = F.split(name, "_")
-    return reads_named.withColumn("true_strand", F.element_at(parts, -2)).withColumn("true_pos", F.expr("try_cast(element_at(split(" + name + ", '_'), -1) AS int)"))
+    strand = F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(-2)))
+    return reads_named.withColumn("true_strand", strand).withColumn("true_pos", F.try_element_at(parts, F.lit(-1)).try_cast("int"))
 
 
 def min_lengths(recs: DataFrame) -> DataFrame:
     """Per file the shortest read and the length of its first one."""
-    w = Window.partitionBy("file_no").orderBy("offset")
-    return recs.withColumn("first", F.first(F.length("seq")).over(w)).groupBy("file_no").agg(F.min(F.length("seq")).alias("min_len"), F.first("first").alias("first_len"))
+    n = F.length("seq")
+    return recs.groupBy("file_no").agg(F.min(n).alias("min_len"), F.min_by(n, F.col("offset")).alias("first_len"))

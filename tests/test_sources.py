@@ -66,6 +66,14 @@ def test_bad_files(spark, tmp_path):
     assert c.first().asDict() == {"contig_id": 1, "title": "x", "seq": "ACGT", "len": 4}
 
 
+def test_truth_and_lengths(spark, tmp_path):
+    a = fastq(tmp_path / "a.fq", [("g_x_1_250", "ACGTA", "IIIII"), ("g_x_2_7", "ACG", "III"), ("plain", "ACGT", "IIII")])
+    recs = fastx.records(spark, [a])
+    got = {r.name: (r.true_strand, r.true_pos) for r in fastx.truth(recs).select("name", "true_strand", "true_pos").collect()}
+    assert got["g_x_1_250"] == ("1", 250) and got["g_x_2_7"] == ("2", 7) and got["plain"] == (None, None)
+    assert [tuple(r) for r in fastx.min_lengths(recs).collect()] == [(0, 3, 5)]
+
+
 def test_quality(spark):
     good = "I" * 50
     rows = [("ACGT" * 10, None, True), ("ACGN" * 10, None, False), ("A" * 50, None, False), ("A" * 44 + "C" * 6, None, True), ("A" * 45 + "C" * 5, None, False), ("ACGTA" * 10, good, True), ("ACGTA" * 10, good[:20] + '"' + good[21:], False), ("ACGTA" * 10, good[:40] + "#" * 10, False), ("ACGTA" * 10, "*" * 40 + "I" * 10, False), ("ACGTA" * 10, "+" * 40 + "$" * 10, True), ("", None, False), (None, None, False)]
