@@ -59,7 +59,11 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     names = [t.source for t in goals]
     no = F.array_position(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col(source)).cast("int")
     d = docs.where(F.col(text).isNotNull() & F.col(source).isNotNull()).select(no.alias("no"), F.col(doc_id).alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("n_tokens"))
-    d = written(d.where("no > 0"), "mix-docs")
+    # repeated rows get copy numbers, so that they are shuffled apart; in two steps, as a row may be repeated without limit
+    d = d.where("no > 0").groupBy("no", "doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
+    d = d.withColumn("block", F.explode(F.expr(f"sequence(0, (n - 1) div {_SLOT_RANGE})")))
+    d = d.withColumn("copy", F.explode(F.expr(f"sequence(block * {_SLOT_RANGE}, least(n, (block + 1) * {_SLOT_RANGE}) - 1)"))).drop("n", "block")
+    d = written(d, "mix-docs")
     sizes = {r[0]: (r[1], r[2]) for r in d.groupBy("no").agg(F.sum("n_tokens"), F.count(F.lit(1))).collect()}  # a row a target
     size = [sizes.get(i + 1, (0, 0))[0] for i in range(len(goals))]
     count = [sizes.get(i + 1, (0, 0))[1] for i in range(len(goals))]
@@ -87,11 +91,11 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     if not goals:
         passes = [0]
     d = d.withColumn("pass_no", F.explode(F.sequence(F.lit(1), F.greatest(_pick(passes, F.col("no"), "int"), F.lit(1))))).where(F.col("pass_no") <= _pick(passes, F.col("no"), "int"))
-    d = d.withColumn("h", F.xxhash64("doc_id", "pass_no", F.lit(seed))).withColumn("range", F.expr(f"shiftrightunsigned(h, {64 - (n_ranges.bit_length() - 1)})"))
+    d = d.withColumn("h", F.xxhash64("doc_id", "copy", "pass_no", F.lit(seed))).withColumn("range", F.expr(f"shiftrightunsigned(h, {64 - (n_ranges.bit_length() - 1)})"))
     key = ["no", "pass_no", "range"]
     sums = d.groupBy(*key).agg(F.sum("n_tokens").alias("n"))
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("no", "pass_no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.sum("n_tokens").over(Window.partitionBy(*key).orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
+    within = F.sum("n_tokens").over(Window.partitionBy(*key).orderBy("h", "doc_id", "n_tokens", "copy").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     d = d.withColumn("within", within).join(sums.withColumn("earlier", earlier).drop("n"), key)
     start = (F.col("pass_no") - 1) * _pick(size or [0], F.col("no"), "bigint") + F.col("earlier") + F.col("within")
     d = d.withColumn("block", F.floor(start / F.lit(block)).cast("bigint"))
