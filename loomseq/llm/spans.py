@@ -7,8 +7,9 @@ the paragraphs are compared letter for letter (32 letters a machine word); those
 shared. No pairs are made: a run of equal paragraphs is settled by its least and greatest record.
 
 A first pass counts the stretches of each bucket. The stretches of a bucket that is too full for one task (a hot MinHash)
-are cut into their paragraphs, settled among themselves inside each block, and only two paragraphs of each distinct kind
-go on, spread by their own hash.
+are cut into their paragraphs and settled among themselves inside each block. What goes on, spread by their own hash, is
+every place of a paragraph that only one record of the block holds, as its verdict is still open, and of a paragraph that
+is shared in the block, whose places are all marked there, two places.
 """
 
 from __future__ import annotations
@@ -159,8 +160,14 @@ def _send(min_len: int, k: int, n_buckets: int, full: np.ndarray):
                 i, lo, hi = _spans(shared, r, at - off[r], min_len)
                 if i.size:
                     yield rows([-1], [dump(ids[i], lo, hi, *_stars(shared, ids[r], least))])
-                go = np.concatenate([first, last])
-                put(codes, ids, r[go], off, at[go], np.ones(go.size, np.int64), n_buckets + (mix64(h[go] + np.uint64(1)) % np.uint64(n_buckets)).astype(np.int64))
+                pending = ~shared
+                pending[first] = pending[last] = True
+                go = np.flatnonzero(pending)
+                to = n_buckets + (mix64(h[go] + np.uint64(1)) % np.uint64(n_buckets)).astype(np.int64)
+                new = np.ones(go.size, bool)  # neighbours for one bucket, as in a run of one letter, are one stretch
+                new[1:] = (at[go[1:]] != at[go[:-1]] + 1) | (r[go[1:]] != r[go[:-1]]) | (to[1:] != to[:-1])
+                s = np.flatnonzero(new)
+                put(codes, ids, r[go[s]], off, at[go[s]], np.diff(np.append(s, go.size)), to[s])
                 start, n_par, bucket, rec = start[~hot], n_par[~hot], bucket[~hot], rec[~hot]
             put(codes, ids, rec, off, start, n_par, bucket)
             if size > _HOLD:

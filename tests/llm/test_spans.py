@@ -86,3 +86,19 @@ def test_empty_and_long(spark):
     s = "".join(random.Random(4).choices("ACGT", k=2_500_000))
     df = spark.createDataFrame([(1, s), (2, s[1_000_000:1_000_100]), (3, s[2_400_000:] + "N" + s[:60])], "id bigint, seq string")
     assert {tuple(r) for r in shared_spans(df, "id", "seq", 60).collect()} == {(1, 1, 60), (1, 1_000_001, 1_000_100), (1, 2_400_001, 2_500_000), (2, 1, 100), (3, 1, 100_000), (3, 100_002, 100_061)}
+
+
+@pytest.mark.parametrize("min_len", [16, 40])
+def test_full_bucket_repeats_in_own_block(spark, monkeypatch, min_len):
+    """Each record is a block of its own, every bucket too full: all places of a repeat count, not the first alone."""
+    monkeypatch.setattr(spans, "_FULL", 0)
+    r = random.Random(5)
+    rep, *other = ("".join(r.choices("ACGT", k=90)) for _ in range(7))
+    rows = [(1, other[0] + rep + other[1] + rep + other[2] + rep), (2, rep[5:80] + other[3] + rep[:60]), (3, "A" * 150 + other[4]), (4, "A" * 60 + "C" + "A" * 70), (5, other[5] * 2)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        df = spark.createDataFrame(rows, "id bigint, seq string")
+        assert {tuple(x) for x in shared_spans(df, "id", "seq", min_len).collect()} == brute(dict(rows), min_len)
+        assert {x.rec_id: x.class_id for x in span_classes(df, "id", "seq", min_len).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
