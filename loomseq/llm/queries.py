@@ -28,6 +28,10 @@ def _both(reads: DataFrame, contigs: DataFrame, id_cols: dict[str, str]) -> Data
     return out[0].unionByName(out[1])
 
 
+def _kinds(reads: DataFrame, contigs: DataFrame) -> DataFrame:
+    return reads.select(F.lit("read").alias("rec_kind"), "*").unionByName(contigs.select(F.lit("contig").alias("rec_kind"), "*"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     reads = spans.shared_spans(_t(spark, d, "read_buf"), "rid", "seq", 40, merge_equal=True)
     contigs = spans.shared_spans(_t(spark, d, "contigs"), "contig_id", "contigseq", 100)
@@ -39,8 +43,16 @@ def p2_portion(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("share", F.round("share", 6))
 
 
+def p2_portions(spark: SparkSession, d: str) -> DataFrame:
+    """p2_portion over reads and contigs."""
+    reads = spans.shared_portion(_t(spark, d, "read_buf"), "rid", "seq", 40, merge_equal=True)
+    contigs = spans.shared_portion(_t(spark, d, "contigs"), "contig_id", "contigseq", 100)
+    return _kinds(reads, contigs).withColumn("share", F.round("share", 6))
+
+
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:
-    return spans.span_classes(_t(spark, d, "contigs"), "contig_id", "contigseq", 100)
+    reads = spans.span_classes(_t(spark, d, "read_buf"), "rid", "seq", 40, merge_equal=True)
+    return _kinds(reads, spans.span_classes(_t(spark, d, "contigs"), "contig_id", "contigseq", 100))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +70,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_groups(_t(spark, d, "read_buf"), "rid", "seq", merge_equal=True)
+    reads = neardup.near_groups(_t(spark, d, "read_buf"), "rid", "seq", merge_equal=True)
+    return _kinds(reads, neardup.near_groups(_t(spark, d, "contigs"), "contig_id", "contigseq"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -98,4 +111,4 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_portion, p2_classes, p4_found, p4_counts, p5_found, p5_classes, p6_found, p6_rate, p7_found, p7_fill, p8_found, p8_shares, p8_mix, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_portion, p2_portions, p2_classes, p4_found, p4_counts, p5_found, p5_classes, p6_found, p6_rate, p7_found, p7_fill, p8_found, p8_shares, p8_mix, p9_found, p9_forms)}
