@@ -126,7 +126,7 @@ class Assembler:
                 hit[1] += 1
             else:
                 merged.append([t, 1])
-        return sorted(((t, n) for t, n in merged), key=lambda m: (-m[1], m[0]))[:20]
+        return sorted(((t, n) for t, n in merged), key=lambda m: (-m[1], m[0]))
 
     def by_paths(self, active: list[list]) -> str | None:
         """Majority base of the candidate paths, unless too many of their columns are doubtful."""

@@ -1,6 +1,7 @@
 """Look-ahead paths: what the reads at a tail say comes next, merged, cleaned, pruned and followed.
 
-A key (a contig tail) has at most a few hundred active reads and twenty paths, so each key is one small pandas group.
+A key (a contig tail) has at most a few hundred active reads, so each key is one small pandas group. Candidate paths are not
+limited; followed and tandem paths are at most twenty.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def candidate_paths(tails: DataFrame, key: str = "key", tail: str = "tail") -> D
     Equal tails are counted before the groups are formed, so a deep tail sends no more rows than it has different texts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        paths = by_prefix(corrected(list(zip(pdf["tail"], pdf["n"].astype(int)))))[:MOST]
+        paths = by_prefix(corrected(list(zip(pdf["tail"], pdf["n"].astype(int)))))
         base, wrong, ok = decide(paths)
         return pd.DataFrame([(int(pdf["key"].iloc[0]), i + 1, t, n, wrong, base, ok) for i, (t, n) in enumerate(paths)], columns=["key", "path_no", "seq", "support", "n_incorrect", "first_base", "decision"])
 

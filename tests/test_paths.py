@@ -1,10 +1,13 @@
+import itertools
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomseq.operators import active, paths, votes
+from loomseq.operators import active, assemble, paths, votes
 from loomseq.operators.paths import Followed, Path, Tandem
+from loomseq.params import DEFAULT
 
 
 @settings(max_examples=80, deadline=None)
@@ -83,3 +86,15 @@ def test_kernel_fit(spark):
     df = spark.createDataFrame([(r[0], r[1]) for r in rows], "f array<double>, want int")
     wrong = df.where((votes.decision_score(F.col("f"), m, "linear") >= 0) != (F.col("want") > 0)).count()
     assert wrong <= 4
+
+
+def test_more_than_twenty_candidate_paths(spark):
+    """20 tails of two reads say A, 45 of one read say C: all of them vote, in the query and in the assembly."""
+    codes = ["".join(x) for x in itertools.product("ACGT", repeat=4)]
+    tails = [("A" + c, 2) for c in codes[::12][:20]] + [("C" + c, 1) for c in codes[::5][:45]]
+    rows = [(1, t) for t, n in tails for _ in range(n)]
+    got = paths.candidate_paths(spark.createDataFrame(rows, "key bigint, tail string")).collect()
+    assert len(got) == 65 and sum(r.support for r in got) == 85 and {r.first_base for r in got} == {"C"}
+    whole = assemble.Assembler(list(range(1, 86)), ["ACGT" * 9 + t for _, t in rows], DEFAULT)
+    found = whole.paths([[i, 0, 36, 0, 36, 0] for i in range(85)])
+    assert len(found) == 65 and sum(n for _, n in found) == 85
