@@ -6,6 +6,7 @@ from loomseq.llm import neardup
 from loomseq.llm.neardup import near_groups, near_pairs
 
 TURN = str.maketrans("ACGT", "TGCA")
+TURN_ONE = dict(zip("ACGT", "CGTA"))
 
 
 def words(s, k):
@@ -37,38 +38,57 @@ def sample(seed, n, size, edits):
     return rows
 
 
-@pytest.mark.parametrize("crowd,full,direct", [(256, 200_000, 32), (4, 200_000, 2), (256, 5, 2), (4, 5, 2)])
-def test_pairs(spark, monkeypatch, crowd, full, direct):
-    monkeypatch.setattr(neardup, "_CROWD", crowd)
-    monkeypatch.setattr(neardup, "_FULL", full)
-    monkeypatch.setattr(neardup, "_DIRECT", direct)
+@pytest.mark.parametrize("meet,hot", [((128, 240), 4096), ((1, 240), 4096), ((0, 0), 4096), ((128, 240), 3)])
+def test_pairs(spark, monkeypatch, meet, hot):
+    """By the tables of two values, of three, by the exact join, and by it for frequent values alone."""
+    monkeypatch.setattr(neardup, "_MEET", meet)
+    monkeypatch.setattr(neardup, "_HOT", hot)
     rows = [*sample(1, 120, 120, 5), (900, "A" * 60), (901, "T" * 30), (902, ""), (903, None), (904, "ACG"), (905, "N" * 50)]
     want = brute({i: s.upper() for i, s in rows if s is not None}, 12, 3, 5)
     df = spark.createDataFrame([(i, s, 1, 2) for i, s in rows], "id bigint, seq string, id_a int, n int")
     got = near_pairs(df, "id", "seq").collect()
     found = {(r.id_a, r.id_b) for r in got}
     assert len(found) == len(got) and found <= want
-    assert len(found) >= 0.998 * len(want) and (900, 901) in found
+    assert len(found) >= 0.999 * len(want) and (900, 901) in found
     assert all(r.n_both * 5 >= r.n_either * 3 for r in got)
 
 
-def test_crowds_only(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "_DIRECT", 1)
-    monkeypatch.setattr(neardup, "_CROWD", 1)
-    rows = sample(5, 80, 100, 6)
-    want = brute({i: s.upper() for i, s in rows}, 12, 3, 5)
-    found = {(r.id_a, r.id_b) for r in near_pairs(spark.createDataFrame(rows, "id bigint, seq string"), "id", "seq").collect()}
-    assert found <= want and len(found) >= 0.998 * len(want)
-
-
-def test_a_third_share_an_adapter(spark):
-    r = random.Random(8)
-    ad = "".join(r.choices("ACGT", k=40))
-    rows = [(i, ad + "".join(r.choices("ACGT", k=60))) for i in range(1, 1500)]
-    rows += [(5000 + i, rows[i][1][:99] + "A") for i in range(50)]
-    want = brute(dict(rows), 12, 3, 5)
-    found = {(x.id_a, x.id_b) for x in near_pairs(spark.createDataFrame(rows, "id bigint, seq string"), "id", "seq").collect()}
-    assert found <= want and len(found) >= 0.99 * len(want)
+@pytest.mark.parametrize("num,den,per_word,pairs", [(3, 5, 100_000, 2 << 20), (4, 5, 7, 50), (1, 2, 3, 2 << 20)])
+def test_exact_join(spark, monkeypatch, num, den, per_word, pairs):
+    """With every record in the exact join no pair is lost, in blocks of a word too."""
+    monkeypatch.setattr(neardup, "_MEET", (-1, -1))
+    monkeypatch.setattr(neardup, "_HOT", 0)
+    monkeypatch.setattr(neardup, "_PER_WORD", per_word)
+    monkeypatch.setattr(neardup, "_PAIRS", pairs)
+    rows = sample(5, 150, 100, 8) + [(1000 + i, s[: 40 + i]) for i, s in sample(6, 40, 90, 3)]
+    want = brute({i: s.upper() for i, s in rows}, 12, num, den)
+    recs = spark.createDataFrame([(i, s.upper()) for i, s in rows], "id bigint, seq string")
+    pairs = {(r.id_a, r.id_b) for r in neardup._exact_join(recs.select("id"), recs, 12, num, den).collect()}
+    assert want <= pairs
+    assert {(r.id_a, r.id_b) for r in near_pairs(recs, "id", "seq", num=num, den=den).collect()} == want
+
+
+@pytest.mark.parametrize("adapter", [45, 65, 68, 75])
+def test_reads_that_share_an_adapter(spark, adapter):
+    """No pairs are made of reads that share the adapter only, however much of them it is."""
+    r = random.Random(adapter)
+    ad = "".join(r.choices("ACGT", k=adapter))
+    n = 6_000
+    rows = [(i, ad + "".join(r.choices("ACGT", k=100 - adapter))) for i in range(1, n)]
+    want = set()
+    for i in range(300):
+        s = rows[7 * i][1]
+        p = r.randrange(100)
+        t = s[:p] + TURN_ONE[s[p]] + s[p + 1 :]
+        a, b = words(s, 12), words(t, 12)
+        if len(a & b) * 5 >= len(a | b) * 3:
+            want.add((rows[7 * i][0], 100_000 + i))
+        rows.append((100_000 + i, t))
+    df = spark.createDataFrame(rows, "id bigint, seq string")
+    got = {(x.id_a, x.id_b) for x in neardup.candidates(neardup.records(df, "id", "seq", True)).collect()}
+    assert len(want & got) >= 0.99 * len(want) > 100
+    alike = {(x.id_a, x.id_b) for x in near_pairs(df, "id", "seq", True).collect()}  # with 75 letters those with 3 more in common
+    assert want & got <= alike <= got and len(got - alike) < 20 * n
 
 
 def test_empty_and_repeats(spark):
