@@ -110,5 +110,9 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.one_form(_t(spark, d, "documents"), _t(spark, d, "look_alikes")).select("doc_id", "form")
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_classes(_t(spark, d, "documents"), _t(spark, d, "look_alikes"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_portion, p2_portions, p2_classes, p4_found, p4_counts, p5_found, p5_classes, p6_found, p6_rate, p7_found, p7_fill, p8_found, p8_shares, p8_mix, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_portion, p2_portions, p2_classes, p4_found, p4_counts, p5_found, p5_classes, p6_found, p6_rate, p7_found, p7_fill, p8_found, p8_shares, p8_mix, p9_found, p9_forms, p9_classes)}

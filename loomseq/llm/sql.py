@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 _RECS = "recs AS (SELECT rid, arg_min(seq, arrival_no) AS seq, arg_min(hashcode, arrival_no) AS hashcode FROM read_buf WHERE seq IS NOT NULL GROUP BY rid)"
 _GRAMS = "grams AS (SELECT rid, n, substr(upper(seq), CAST(p AS INT), CAST(n AS INT)) AS term FROM (SELECT rid, seq, n, unnest(range(1, length(seq) - n + 2)) AS p FROM recs, (SELECT unnest(range({lo}, 9)) AS n)))"
 _COUNTS = """total AS (SELECT count(*) AS total FROM recs),
@@ -26,8 +29,42 @@ _PAIRS = """SELECT rec_kind, id_a, id_b FROM (
  WHERE o * 5 >= (na + nb - o) * 3"""
 
 
+
+
+def _characters() -> list[tuple[str, str]]:
+    """Characters and what they are written as, by the rules of Unicode: blanks of Zs, full-width forms, format characters, and
+    each of several characters (a letter and its marks) as these."""
+    out = []
+    for cp in range(128, sys.maxunicode + 1):
+        ch = chr(cp)
+        kind, dec = unicodedata.category(ch), unicodedata.decomposition(ch)
+        if kind == "Cf":
+            out.append((ch, ""))
+        elif kind == "Zs":
+            out.append((ch, " "))
+        elif dec.startswith("<wide>"):
+            out.append((ch, "".join(chr(int(x, 16)) for x in dec.split()[1:])))
+        elif dec and not dec.startswith("<") and not 0xF900 <= cp <= 0xFAFF and cp < 0x2F800:  # no ideographs
+            out.append((ch, unicodedata.normalize("NFD", ch)))
+    return out
+
+
+def _looks() -> str:
+    """documents with their form: every character is written out, then each glyph as its plain letters, then all is composed."""
+    chars = ", ".join("(" + str(ord(a)) + ", '" + b.replace("'", "''") + "')" for a, b in _characters())
+    return f"""letters AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents WHERE text IS NOT NULL),
+written AS (SELECT c, coalesce(w, c) AS w FROM letters LEFT JOIN (VALUES {chars}) v(cp, w) ON unicode(c) = cp),
+plains AS (SELECT c, unnest(string_split(w, '')) AS x, generate_subscripts(string_split(w, ''), 1) AS i FROM written WHERE w <> ''),
+spelt AS (SELECT c, string_agg(coalesce(plain, x), '' ORDER BY i) AS s FROM plains LEFT JOIN (SELECT glyph, any_value(plain) AS plain FROM look_alikes GROUP BY glyph) g ON x = glyph GROUP BY c),
+places AS (SELECT doc_id, text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+forms AS (SELECT doc_id, text, nfc_normalize(coalesce(string_agg(s, '' ORDER BY i), '')) AS form FROM places LEFT JOIN spelt USING (c) GROUP BY doc_id, text)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    looks = _looks()
     return {
+        "p9_found": f"WITH {looks} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM forms a JOIN forms b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
+        "p9_classes": f"WITH {looks} SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_id FROM forms",
         "p1_found": f"WITH {_RECS}, {_GRAMS.format(lo=8)}, {_COUNTS} SELECT field, term, mark FROM marked WHERE (field = 'seq' AND mark IS NOT NULL) OR (field = 'hashcode' AND mark = 'common')",
         "p1_terms": f"WITH {_RECS}, {_GRAMS.format(lo=1)}, {_COUNTS} SELECT field, term, CAST(n AS INT) AS n, n_occ, n_records, mark FROM marked",
         "p2_found": f"WITH recs AS ({_READS} UNION ALL {_CONTIGS}), {_SPANS} SELECT rec_kind, rec_id, from_pos, to_pos FROM spans",

@@ -1,9 +1,10 @@
 import unicodedata
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomseq.llm.lookalike import _rewrite, build, one_form, same_look
+from loomseq.llm.lookalike import _code_points, _rewrite, build, look_classes, one_form, same_look, touched
 
 DOC = "doc_id bigint, text string, form string, own string"
 
@@ -42,17 +43,25 @@ def test_documents(spark, sf):
     assert partition([r.form for r in rows]) == partition(want)
     pairs = {(a.doc_id, b.doc_id) for i, (a, x) in enumerate(zip(rows, want)) for b, y in zip(rows[i + 1 :], want[i + 1 :]) if x == y and a.text != b.text}
     assert {tuple(r) for r in same_look(docs, look).collect()} == pairs and pairs
+    least = {}
+    for r, w in zip(rows, want):
+        least.setdefault(w, r.doc_id)  # in order of id
+    assert {tuple(r) for r in look_classes(docs, look).collect()} == {(r.doc_id, least[w]) for r, w in zip(rows, want)}
 
 
-def run(texts, pairs):
+def run(texts, pairs, every=False):
     import pyarrow as pa
 
     counts = {}
     for t in texts:
-        for c in unicodedata.normalize("NFD", t):
+        for c in t:
             counts[ord(c)] = counts.get(ord(c), 0) + 1
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "text"])
-    return next(iter(_rewrite(build(pairs, counts))(iter([batch])))).column("form").to_pylist()
+    counted = next(iter(_code_points(iter([batch]))))
+    assert dict(zip(counted.column("cp").to_pylist(), counted.column("n").to_pylist())) == counts
+    rules = build(pairs, counts)
+    pattern = "(?s)^" if every else touched(rules, counts)
+    return next(iter(_rewrite(rules, pattern)(iter([batch])))).column("form").to_pylist()
 
 
 @settings(max_examples=60, deadline=None)
@@ -61,6 +70,18 @@ def test_any_text(sf_texts):
     table = dict(glyphs("/root/testdata/sf0.001"))
     got = run(sf_texts, list(table.items()))
     assert partition(got) == partition([brute(t, table) for t in sf_texts])
+    assert got == run(sf_texts, list(table.items()), every=True)  # what the pattern leaves out is its own form
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=6), min_size=1, max_size=8))
+def test_untouched_texts(texts):
+    assert run(texts, [("а", "a"), ("ﬁ", "fi")]) == run(texts, [("а", "a"), ("ﬁ", "fi")], every=True)
+
+
+def test_circle():
+    with pytest.raises(ValueError):
+        run(["x"], [("x", "yz"), ("y", "xz")])
 
 
 def test_classes_are_transitive():
