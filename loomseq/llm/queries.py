@@ -18,6 +18,11 @@ def p1_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_counts(_t(spark, d, "read_buf")).select("field", "term", "n", "n_occ", "n_records", "mark")
 
 
+def p1_words(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the words of the documents, phrases of up to three words."""
+    return terms.word_counts(_t(spark, d, "documents")).select("term", "n", "n_occ", "n_records", "mark")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     t = terms.term_counts(_t(spark, d, "read_buf"))
     return t.where("(field = 'seq' and n = 8 and mark is not null) or (field = 'hashcode' and mark = 'common')").select("field", "term", "mark")
@@ -115,4 +120,4 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_portion, p2_portions, p2_classes, p4_found, p4_counts, p5_found, p5_classes, p6_found, p6_rate, p7_found, p7_fill, p8_found, p8_shares, p8_mix, p9_found, p9_forms, p9_classes)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p1_words, p2_found, p2_portion, p2_portions, p2_classes, p4_found, p4_counts, p5_found, p5_classes, p6_found, p6_rate, p7_found, p7_fill, p8_found, p8_shares, p8_mix, p9_found, p9_forms, p9_classes)}

@@ -67,6 +67,11 @@ def oracle_sql() -> dict[str, str]:
         "p9_classes": f"WITH {looks} SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_id FROM forms",
         "p1_found": f"WITH {_RECS}, {_GRAMS.format(lo=8)}, {_COUNTS} SELECT field, term, mark FROM marked WHERE (field = 'seq' AND mark IS NOT NULL) OR (field = 'hashcode' AND mark = 'common')",
         "p1_terms": f"WITH {_RECS}, {_GRAMS.format(lo=1)}, {_COUNTS} SELECT field, term, CAST(n AS INT) AS n, n_occ, n_records, mark FROM marked",
+        "p1_words": r"""WITH docs AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\f\x0b]+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL),
+ total AS (SELECT count(*) AS total FROM docs),
+ grams AS (SELECT doc_id, n, array_to_string(ws[p:p + n - 1], ' ') AS term FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM docs, (SELECT unnest([1, 2, 3]) AS n))),
+ counts AS (SELECT term, CAST(n AS INT) AS n, count(*) AS n_occ, count(DISTINCT doc_id) AS n_records FROM grams GROUP BY term, n)
+ SELECT term, n, n_occ, n_records, CASE WHEN n_records * 100 > total THEN 'common' WHEN n_records = 1 OR n_records * 5000 < total THEN 'rare' END AS mark FROM counts, total""",
         "p2_found": f"WITH recs AS ({_READS} UNION ALL {_CONTIGS}), {_SPANS} SELECT rec_kind, rec_id, from_pos, to_pos FROM spans",
         "p2_portion": f"""WITH recs AS ({_CONTIGS}), {_SPANS},
  per AS (SELECT rec_id, CAST(sum(to_pos - from_pos + 1) AS BIGINT) AS n_shared, count(*) AS n_spans FROM spans GROUP BY rec_id)

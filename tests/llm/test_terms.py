@@ -52,6 +52,31 @@ def test_marks(spark):
     assert got["hashcode", "1"] is None and got["hashcode", "77"] == "rare"
 
 
+@pytest.mark.parametrize("held,per_route", [(1 << 21, 1 << 21), (3, 1)])
+def test_words(spark, monkeypatch, held, per_route):
+    """Phrases of words; with many groups and small blocks too."""
+    import random
+
+    from loomseq.llm import terms
+
+    monkeypatch.setattr(terms, "_HELD", held)
+    monkeypatch.setattr(terms, "_PER_ROUTE", per_route)
+    r = random.Random(4)
+    texts = [" ".join(r.choices(["the", "cat", "sat", "Ünïcode", "x", "a"], k=r.randrange(9))) for _ in range(60)] + ["", "  ", " a\n\tb  the ", "the " * 300, None]
+    occ, held_by = Counter(), defaultdict(set)
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        for n in range(1, 4):
+            for p in range(len(w) - n + 1):
+                occ[" ".join(w[p : p + n])] += 1
+                held_by[" ".join(w[p : p + n])].add(i)
+    df = spark.createDataFrame([(i, t, 1, "q") for i, t in enumerate(texts)], "doc_id bigint, text string, n int, term string").repartition(3)
+    got = terms.word_counts(df).collect()
+    assert {x.term: (x.n_occ, x.n_records) for x in got} == {t: (n, len(held_by[t])) for t, n in occ.items()}
+    assert len(got) == len(occ) and all(x.total == 64 and x.n == len(x.term.split(" ")) for x in got)
+    assert terms.word_counts(df.limit(0)).count() == 0
+
+
 def test_empty(spark):
     assert term_counts(spark.createDataFrame([], SCHEMA)).count() == 0
 
