@@ -49,8 +49,10 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
 
     mix: slot, source, block, pass_no, doc_id, n_tokens - documents in the order of slots (UTF-8 bytes + 1 tokens each).
     report: per target source weight, max_repeats, n_docs, n_tokens, target_tokens (weight x all tokens of documents whose
-    source has a target), limit_tokens (n_tokens x max_repeats), used_tokens, share (of all used tokens) and `short`:
-    limit_tokens < target_tokens. A short source is used as often as it may and its other slots stay empty.
+    source has a target), limit_tokens (n_tokens x max_repeats), n_slots (its slots in the schedule), unfilled (slots for which
+    its documents, each used as often as it may, have no block), used_tokens, share (of all used tokens) and `short`: slots
+    stay empty, or nearly so, and the sizes confirm limit_tokens < target_tokens (a schedule tells shares but for a few blocks).
+    A short source is used as often as it may and its other slots stay empty.
     Documents with null text, null source or a source without target are left out; a target source without documents has
     size 0; a null weight is 0, a null max_repeats 1. Repeated rows are documents of their own. Empty tables give an empty
     mix. Targets: columns source, weight, max_repeats (at most 10,000 rows, no source twice).
@@ -104,8 +106,16 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     made = written(mixed, "mix")
     used = made.groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"))
     all_used = made.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    rows = [(t.source, t.weight, t.max_repeats, c, s, t.weight * total, s * t.max_repeats, s * t.max_repeats < t.weight * total) for t, c, s in zip(goals, count, size)]
-    report = spark.createDataFrame(rows, "source string, weight double, max_repeats int, n_docs bigint, n_tokens bigint, target_tokens double, limit_tokens bigint, short boolean")
-    report = report.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
+    # what the schedule asks of each source and what its documents, laid end to end, can fill
+    asked = per.groupBy("no").agg(F.sum("n").alias("n_slots"))
+    laid = d.groupBy("no").agg(F.max(start + F.col("n_tokens")).alias("laid_tokens"))
+    slack = 8 + n_slots.bit_length()  # the sequence gives a source as many slots as its weight says, but for so many
+    rows = [(i + 1, t.source, t.weight, t.max_repeats, c, s, t.weight * total, s * t.max_repeats) for i, (t, c, s) in enumerate(zip(goals, count, size))]
+    report = spark.createDataFrame(rows, "no int, source string, weight double, max_repeats int, n_docs bigint, n_tokens bigint, target_tokens double, limit_tokens bigint")
+    report = report.join(used, "source", "left").join(asked, "no", "left").join(laid, "no", "left").fillna(0, ["used_tokens", "n_slots", "laid_tokens"])
+    full = F.floor(F.col("laid_tokens") / F.lit(block))
+    report = report.withColumn("unfilled", F.greatest(F.col("n_slots") - full, F.lit(0)))
+    tight = F.col("n_slots") + F.lit(slack) > full  # slots stay empty, or so few blocks are left that the sizes must tell
     share = F.col("used_tokens") / F.lit(all_used) if all_used else F.lit(0.0)
-    return made, report.withColumn("share", share).select("source", "weight", "max_repeats", "n_docs", "n_tokens", "target_tokens", "limit_tokens", "used_tokens", "share", "short")
+    report = report.withColumn("share", share).withColumn("short", tight & (F.col("limit_tokens") < F.col("target_tokens")))
+    return made, report.select("source", "weight", "max_repeats", "n_docs", "n_tokens", "target_tokens", "limit_tokens", "n_slots", "unfilled", "used_tokens", "share", "short")

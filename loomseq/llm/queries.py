@@ -44,12 +44,6 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_portion(spark: SparkSession, d: str) -> DataFrame:
-    c = spans.shared_portion(_t(spark, d, "contigs"), "contig_id", "contigseq", 100)
-    return c.withColumn("share", F.round("share", 6))
-
-
-def p2_portions(spark: SparkSession, d: str) -> DataFrame:
-    """p2_portion over reads and contigs."""
     reads = spans.shared_portion(_t(spark, d, "read_buf"), "rid", "seq", 40, merge_equal=True)
     contigs = spans.shared_portion(_t(spark, d, "contigs"), "contig_id", "contigseq", 100)
     return _kinds(reads, contigs).withColumn("share", F.round("share", 6))
@@ -95,6 +89,27 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(_t(spark, d, "documents")))
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for any packing: all tokens are there, no container is overfull, only larger items are split, little is left."""
+    x = packing.pack(_t(spark, d, "documents"))
+    n = F.count(F.lit(1))
+    boxes = x.groupBy("container").agg(F.sum("n_tokens").alias("t")).agg(F.count_if(F.col("t") > 2048).alias("n_overfull"), n.alias("n"), F.sum("t").alias("all"))
+    boxes = boxes.select("n_overfull", (F.col("n") <= 1.05 * F.ceil(F.col("all") / 2048) + 1).alias("tight"))
+    items = x.agg(F.count_if(F.col("piece") == 1).alias("n_items"), F.sum("n_tokens").alias("n_tokens"), n.alias("n_pieces"), F.count_if((F.col("n_pieces") > 1) & (F.col("piece") < F.col("n_pieces")) & (F.col("n_tokens") < 2048)).alias("n_early_cuts"))
+    return items.crossJoin(F.broadcast(boxes))  # one row each
+
+
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for any mix: no document is used too often, a short source is used up, the others come near their share."""
+    made, report = mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
+    uses = made.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    uses = uses.groupBy("source").agg(F.max("n").alias("most"))
+    x = report.join(uses, "source", "left")
+    left = F.when(F.col("short"), F.col("limit_tokens") - F.col("used_tokens")).otherwise(0)
+    near = F.col("short") | (F.abs(F.col("used_tokens") - F.col("target_tokens")) <= F.col("target_tokens") * 0.05 + 4 * 2048)
+    return x.select("source", "n_docs", "n_tokens", F.round("target_tokens", 3).alias("target_tokens"), "limit_tokens", "short", (F.coalesce("most", F.lit(0)) > F.col("max_repeats")).alias("too_often"), left.alias("left_over"), near.alias("near"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[1].where("short").select("source")
 
@@ -120,4 +135,4 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_terms, p1_words, p2_found, p2_portion, p2_portions, p2_classes, p4_found, p4_counts, p5_found, p5_classes, p6_found, p6_rate, p7_found, p7_fill, p8_found, p8_shares, p8_mix, p9_found, p9_forms, p9_classes)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p1_words, p2_found, p2_portion, p2_classes, p4_found, p4_counts, p5_found, p5_classes, p6_found, p6_rate, p7_found, p7_fill, p7_limits, p8_found, p8_shares, p8_limits, p8_mix, p9_found, p9_forms, p9_classes)}

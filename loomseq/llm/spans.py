@@ -1,10 +1,13 @@
 """Long exact spans shared between records: paragraph MinHash banding with exact verification.
 
-A paragraph is a window of `min_len` letters; its MinHash is the least hash among its k-letter words. Equal paragraphs
-have equal word sets and so always collide: one band of one row has full recall for them, and as neighbouring paragraphs
-mostly share their MinHash, a record falls into few stretches, each sent once to the bucket of its MinHash. In a bucket
-the paragraphs are compared letter for letter (32 letters a machine word); those that stand in two different records are
-shared. No pairs are made: a run of equal paragraphs is settled by its least and greatest record.
+A paragraph is a window of `min_len` letters; each of its MinHash values is the least of one hash function over its
+k-letter words. Values are tuned into bands of rows (`tune_bands`): of all bands that find a pair of the similarity wanted
+with the recall wanted, the cheapest ones, counted in what is sent and in what meets by chance. A span must be the same
+letter for letter, so paragraphs have a similarity of 1: one band has full recall, and rows are added only while they save
+more chance meetings than they cut stretches. Neighbouring paragraphs mostly share their values, so a record falls into few
+stretches, each sent once to the bucket of its band. In a bucket the paragraphs are verified at edit distance 0: compared
+letter for letter (32 letters a machine word), those that stand in two different records are shared. No pairs are made: a
+run of equal paragraphs is settled by its least and greatest record, and records are clustered by components of stars.
 
 A first pass counts the stretches of each bucket. The stretches of a bucket that is too full for one task (a hot MinHash)
 are cut into their paragraphs and settled among themselves inside each block. What goes on, spread by their own hash, is
@@ -14,6 +17,7 @@ is shared in the block, whose places are all marked there, two places.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,24 +37,60 @@ _PER_TASK = 8  # buckets
 _FULL = 4 * _PER_BUCKET
 
 
-def _stretches(codes: np.ndarray, off: np.ndarray, min_len: int, k: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, numbers of paragraphs and buckets of the runs of paragraphs with one MinHash."""
-    ok = window_ok(codes, off, min_len)
-    if not ok.any():
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+def tune_bands(letters: int, min_len: int, k: int, similarity: float = 1.0, recall: float = 0.9999, most: int = 16) -> tuple[int, int]:
+    """(bands, rows) with 1 - (1 - similarity^rows)^bands >= recall at the least cost a paragraph.
+
+    Cost: stretches sent (a value changes every (w + 1) / 2 paragraphs of w words, each of the rows by itself) and paragraphs
+    of other texts met by chance (letters / 4^k for one row, a 4^k-th of that for each row more)."""
+    w = min_len - k + 1
+    options = []
+    for rows in range(1, most + 1):
+        hit = similarity**rows
+        if hit >= recall:
+            bands = 1
+        elif hit > 0:
+            bands = math.ceil(math.log(1 - recall) / math.log(1 - hit))
+        else:
+            continue
+        stretches = bands * min(1.0, 2 * rows / (w + 1))
+        options.append((stretches * (min_len / w + letters * (4.0**-k) ** rows), rows, bands))
+    if not options:
+        raise ValueError("no bands reach the recall")
+    _, rows, bands = min(options)
+    return bands, rows
+
+
+def _min_hash(codes: np.ndarray, min_len: int, k: int, no: int) -> np.ndarray:
+    """MinHash value of function `no` of the paragraph at each place."""
     h = kmers(codes, k)
     h = (h * np.uint32(0x9E3779B1)) if h.dtype == np.uint32 else mix64(h)
+    if no:
+        h = (mix64(h.astype(np.uint64) + np.uint64(no << 40)) >> np.uint64(32)).astype(np.uint32)
     if h.dtype == np.uint32:
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA77)
         h ^= h >> np.uint32(13)
-    least = sliding_min(h, min_len - k + 1)
-    new = ok.copy()
-    new[1:] &= ~ok[:-1] | (least[1:] != least[:-1])
-    start = np.flatnonzero(new)
-    stop = ok.copy()
-    stop[:-1] &= ~ok[1:] | new[1:]
-    return start, np.flatnonzero(stop) - start + 1, (mix64(least[start]) % np.uint64(n_buckets)).astype(np.int64)
+    return sliding_min(h, min_len - k + 1)
+
+
+def _stretches(codes: np.ndarray, off: np.ndarray, min_len: int, k: int, bands: tuple[int, int], n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, numbers of paragraphs and buckets of the runs of paragraphs with one band, of all bands."""
+    ok = window_ok(codes, off, min_len)
+    none = np.empty(0, np.int64)
+    if not ok.any():
+        return none, none, none
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for band in range(bands[0]):
+        key = mix64(_min_hash(codes, min_len, k, band * bands[1]).astype(np.uint64) + np.uint64(band << 40))
+        for row in range(1, bands[1]):
+            key = mix64(key ^ _min_hash(codes, min_len, k, band * bands[1] + row).astype(np.uint64))
+        new = ok.copy()
+        new[1:] &= ~ok[:-1] | (key[1:] != key[:-1])
+        start = np.flatnonzero(new)
+        stop = ok.copy()
+        stop[:-1] &= ~ok[1:] | new[1:]
+        out.append((start, np.flatnonzero(stop) - start + 1, (key[start] % np.uint64(n_buckets)).astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _paragraph_words(codes: np.ndarray, at: np.ndarray, min_len: int) -> list[np.ndarray]:
@@ -114,18 +154,18 @@ def _spans(shared: np.ndarray, rec: np.ndarray, pos: np.ndarray, min_len: int) -
     return r[s], p[s] + 1, p[e] + min_len
 
 
-def _count(min_len: int, k: int, n_buckets: int):
+def _count(min_len: int, k: int, bands: tuple[int, int], n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(n_buckets, np.int64)
         for b in slices(batches, "seq", _BLOCK):
-            n += np.bincount(_stretches(*flat_codes(b.column("seq")), min_len, k, n_buckets)[2], minlength=n_buckets)
+            n += np.bincount(_stretches(*flat_codes(b.column("seq")), min_len, k, bands, n_buckets)[2], minlength=n_buckets)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
 
     return run
 
 
-def _send(min_len: int, k: int, n_buckets: int, full: np.ndarray):
+def _send(min_len: int, k: int, bands: tuple[int, int], n_buckets: int, full: np.ndarray):
     """Stretches by bucket; what is settled in here (full buckets only) goes out with bucket -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +190,7 @@ def _send(min_len: int, k: int, n_buckets: int, full: np.ndarray):
         for b in slices(batches, "seq", _BLOCK):
             codes, off = flat_codes(b.column("seq"))
             ids = b.column("id").to_numpy().astype(np.int64)
-            start, n_par, bucket = _stretches(codes, off, min_len, k, n_buckets)
+            start, n_par, bucket = _stretches(codes, off, min_len, k, bands, n_buckets)
             rec = np.searchsorted(off, start, side="right") - 1
             hot = np.isin(bucket, full)
             if hot.any():
@@ -229,10 +269,11 @@ def _links(min_len: int):
 def _shared_in(recs: DataFrame, min_len: int, k: int, out=None, schema: str = "id bigint, lo bigint, hi bigint") -> DataFrame:
     """(id, lo, hi): shared stretches, they may overlap; or what `out` makes of a bucket."""
     letters = recs.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
-    n_buckets = int(letters * 2 // ((min_len - k + 2) * _PER_BUCKET)) + 16
-    counts = recs.mapInArrow(_count(min_len, k, n_buckets), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    bands = tune_bands(letters, min_len, k)
+    n_buckets = int(letters * 2 * bands[0] * bands[1] // ((min_len - k + 2) * _PER_BUCKET)) + 16
+    counts = recs.mapInArrow(_count(min_len, k, bands, n_buckets), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     full = np.array([r[0] for r in counts.where(F.col("n") > _FULL).collect()], np.int64)  # at most letters / _FULL rows
-    sent = recs.mapInArrow(_send(min_len, k, n_buckets, full), "bucket bigint, blob binary")
+    sent = recs.mapInArrow(_send(min_len, k, bands, n_buckets, full), "bucket bigint, blob binary")
     salt = F.when(F.col("bucket") == -1, (F.rand(3) * n_buckets).cast("int")).otherwise(0)
     sent = sent.withColumn("salt", salt).repartition(max(parts(recs.sparkSession), n_buckets // _PER_TASK), "bucket", "salt")
     return sent.groupBy("bucket", "salt").applyInArrow((out or _verify)(min_len), schema)

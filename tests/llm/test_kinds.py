@@ -10,7 +10,7 @@ def test_portions_and_classes_of_spans(spark, sf):
     for r in queries.p2_found(spark, sf).collect():
         n[r.rec_kind, r.rec_id] += r.to_pos - r.from_pos + 1
     assert {k for k, _ in n} == {"read", "contig"}
-    got = queries.p2_portions(spark, sf).collect()
+    got = queries.p2_portion(spark, sf).collect()
     assert {(r.rec_kind, r.rec_id): r.n_shared for r in got if r.n_shared} == n
     reads = spark.read.parquet(f"{sf}/read_buf.parquet").where("seq is not null").selectExpr("upper(seq)").distinct().count()
     contigs = spark.read.parquet(f"{sf}/contigs.parquet").where("contigseq is not null").count()

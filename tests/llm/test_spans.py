@@ -73,6 +73,24 @@ def test_spans(spark, monkeypatch, min_len, full):
     assert {r.rec_id: r.class_id for r in span_classes(df, "id", "seq", min_len).collect()} == classes
 
 
+def test_bands():
+    """Whole equality needs one band; less similarity needs more bands for the same recall, or fewer rows."""
+    assert spans.tune_bands(10**9, 40, 16)[0] == 1
+    assert spans.tune_bands(10**6, 40, 16) == (1, 1)
+    assert spans.tune_bands(10**12, 40, 16) == (1, 2)  # words meet by chance: a row is added
+    for sim, recall in ((0.9, 0.99), (0.8, 0.999), (0.5, 0.9)):
+        b, r = spans.tune_bands(10**9, 40, 16, sim, recall)
+        assert 1 - (1 - sim**r) ** b >= recall
+
+
+@pytest.mark.parametrize("bands", [(1, 3), (2, 2)])
+def test_any_bands(spark, monkeypatch, bands):
+    monkeypatch.setattr(spans, "tune_bands", lambda *a: bands)
+    rows = sample(3, 50, 130)
+    df = spark.createDataFrame(rows, "id bigint, seq string")
+    assert {tuple(r) for r in shared_spans(df, "id", "seq", 40).collect()} == brute({i: s.upper() for i, s in rows}, 40)
+
+
 def test_equal_texts_are_one(spark):
     s = "".join(random.Random(3).choices("ACGT", k=80))
     df = spark.createDataFrame([(5, s), (3, s.lower()), (9, s), (None, s)], "id bigint, seq string")
