@@ -7,6 +7,9 @@ and its new keys are merged in sequence. With fewer bits than 64 the store is sm
 word. The rate of that is reported.
 
 A hot key can't burden one task: a task that reads rows decides all rows of a block but the first of each key by itself.
+
+The store outlives a run: `save_store` writes a partition's set as one row, `seen_before(..., store=...)` asks it without the
+earlier keys being sent again, and `save_store(..., store=...)` merges a new batch into it, partition by partition.
 """
 
 from __future__ import annotations
@@ -15,11 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.flat import mix64
 from ..functions.scratch import parts
+from .blobs import dump, load
 
 _BLOCK = 1 << 18
 _PER_TASK = 4_000_000
@@ -117,6 +123,16 @@ class EliasFano:
     def nbytes(self) -> int:
         return self.upper.nbytes + self.zeros.nbytes + self.packed.nbytes
 
+    def dump(self) -> bytes:
+        return dump(np.array([self.n, self.bits, self.low, self.last_high]), self.upper, self.zeros, self.packed)
+
+    @staticmethod
+    def load(raw: bytes) -> EliasFano:
+        out = EliasFano.__new__(EliasFano)
+        head, out.upper, out.zeros, out.packed = load(raw, np.int64, np.uint64, np.int64, np.uint64)
+        out.n, out.bits, out.low, out.last_high = (int(x) for x in head)
+        return out
+
 
 class Store:
     """An Elias-Fano set and the newest words, still plain; these are merged in when a quarter is new."""
@@ -173,11 +189,16 @@ def _first_in_block(n_parts: int):
 
 
 def _probe(bits: int):
-    """Rows of one partition in order of arrival -> the answer of the store for each; `known` keys come first."""
+    """Rows of one partition in order of arrival -> the answer of the store for each; the saved set, then `known` keys come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store(bits)
         for b in batches:
+            for raw in b.column("saved").drop_null():
+                store.old = EliasFano.load(raw.as_py())
+            b = b.filter(pc.is_null(b.column("saved")))
+            if not b.num_rows:
+                continue
             key, no = b.column("key").to_numpy().astype(np.int64), b.column("no").to_numpy(zero_copy_only=False).astype(np.int64)
             known, seen = b.column("known").to_numpy(zero_copy_only=False), b.column("decided").to_numpy(zero_copy_only=False).astype(bool)
             ask = np.flatnonzero(~seen)
@@ -197,8 +218,38 @@ def _probe(bits: int):
     return run
 
 
-def seen_before(df: DataFrame, known: DataFrame | None = None, key: str = "hashcode", order: str = "arrival_no", known_key: str = "hashcode", bits: int = 64) -> DataFrame:
-    """For each row with a non-null key: (order, key, seen) - whether the key is in `known` or in a row of smaller `order`.
+_ROWS = "part int, no bigint, key bigint, decided boolean"
+
+
+def _spread(df: DataFrame, n_parts: int) -> DataFrame:
+    """Rows by partition of their key: partition p is task p, in order of arrival."""
+    return df.repartitionById(n_parts, F.col("part")).sortWithinPartitions(F.col("known").desc(), "no")
+
+
+def _blocks(rows: DataFrame, n_parts: int, known: bool) -> DataFrame:
+    return rows.mapInArrow(_first_in_block(n_parts), _ROWS).withColumn("known", F.lit(known)).withColumn("saved", F.lit(None).cast("binary"))
+
+
+def _keys(df: DataFrame, key: str) -> DataFrame:
+    return df.where(F.col(key).isNotNull()).select(F.lit(-(1 << 63) + 1).cast("bigint").alias("no"), F.col(key).cast("bigint").alias("key")).distinct()
+
+
+def _saved(spark: SparkSession, store: str, bits: int) -> tuple[DataFrame, int]:
+    s = spark.read.parquet(store)
+    head = s.agg(F.max("n_parts"), F.max("bits"), F.min("bits"), F.count(F.lit(1))).first()
+    if head[3] != head[0] or head[1] != bits or head[2] != bits:
+        raise ValueError(f"{store} is no whole store of {bits} bits")
+    rows = s.select("part", F.lit(-(1 << 63)).cast("bigint").alias("no"), F.lit(0).cast("bigint").alias("key"), F.lit(False).alias("decided"), F.lit(True).alias("known"), "saved")
+    return rows, int(head[0])
+
+
+def _size(df: DataFrame, known: DataFrame | None) -> int:
+    return df.count() + (known.count() if known is not None else 0)
+
+
+def seen_before(df: DataFrame, known: DataFrame | None = None, key: str = "hashcode", order: str = "arrival_no", known_key: str = "hashcode", bits: int = 64, store: str | None = None) -> DataFrame:
+    """For each row with a non-null key: (order, key, seen) - whether the key is in `known`, in the saved `store` (a folder
+    written by save_store with as many bits) or in a row of smaller `order`.
 
     `key` and `order` are integers; rows with a null key or a null `order` get no answer. bits=64 is exact; fewer bits
     save memory at a rate of wrong answers of about keys / 2^bits, all of them "seen" (see error_rate). Rows with equal
@@ -207,15 +258,44 @@ def seen_before(df: DataFrame, known: DataFrame | None = None, key: str = "hashc
     if not 8 <= bits <= 64:
         raise ValueError("bits must be 8 to 64")
     spark = df.sparkSession
-    n_parts = max(parts(spark), df.count() // _PER_TASK)
+    saved, n_parts = _saved(spark, store, bits) if store else (None, max(parts(spark), _size(df, known) // _PER_TASK))
     rows = df.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(F.col(order).cast("bigint").alias("no"), F.col(key).cast("bigint").alias("key"))
-    rows = rows.mapInArrow(_first_in_block(n_parts), "part int, no bigint, key bigint, decided boolean").withColumn("known", F.lit(False))
+    rows = _blocks(rows, n_parts, False)
     if known is not None:
-        k = known.where(F.col(known_key).isNotNull()).select(F.lit(-(1 << 63)).cast("bigint").alias("no"), F.col(known_key).cast("bigint").alias("key")).distinct()
-        k = k.mapInArrow(_first_in_block(n_parts), "part int, no bigint, key bigint, decided boolean").withColumn("known", F.lit(True))
-        rows = rows.unionByName(k)
-    rows = rows.repartition(n_parts, F.col("part")).sortWithinPartitions(F.col("known").desc(), "no")
-    return rows.select("no", "key", "decided", "known").mapInArrow(_probe(bits), f"no bigint, key bigint, seen boolean").select(F.col("no").alias(order), F.col("key").alias(key), "seen")
+        rows = rows.unionByName(_blocks(_keys(known, known_key), n_parts, True))
+    if saved is not None:
+        rows = rows.unionByName(saved)
+    rows = _spread(rows, n_parts).select("no", "key", "decided", "known", "saved")
+    return rows.mapInArrow(_probe(bits), "no bigint, key bigint, seen boolean").select(F.col("no").alias(order), F.col("key").alias(key), "seen")
+
+
+def _merge(bits: int, n_parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, part = Store(bits), TaskContext.get().partitionId()
+        for b in batches:
+            for raw in b.column("saved").drop_null():
+                store.old = EliasFano.load(raw.as_py())
+            key = b.filter(pc.and_(pc.is_null(b.column("saved")), pc.invert(b.column("decided")))).column("key")
+            word = np.unique(_words(key.to_numpy().astype(np.int64), bits))
+            store.add(word[~store.has(word)])
+        whole = EliasFano(np.sort(np.concatenate([store.old.all(), store.new]), kind="stable"), bits)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n_parts], pa.int32()), pa.array([bits], pa.int32()), pa.array([whole.n], pa.int64()), pa.array([whole.dump()], pa.binary())], ["part", "n_parts", "bits", "n_keys", "saved"])
+
+    return run
+
+
+def save_store(keys: DataFrame, path: str, key: str = "hashcode", bits: int = 64, store: str | None = None, n_parts: int | None = None) -> None:
+    """Write the keys (with those of an earlier `store`, which is left as it is) as a store at `path`: a row a partition.
+
+    A store keeps the number of its partitions; choose n_parts for the keys that are to come (4,000,000 a partition). Null keys
+    are left out; an empty table gives an empty store. `path` must not be the folder of `store`."""
+    spark = keys.sparkSession
+    saved, n = _saved(spark, store, bits) if store else (None, n_parts or max(parts(spark), keys.count() // _PER_TASK))
+    rows = _blocks(_keys(keys, key), n, False)
+    if saved is not None:
+        rows = rows.unionByName(saved)
+    merged = _spread(rows, n).select("key", "decided", "saved").mapInArrow(_merge(bits, n), "part int, n_parts int, bits int, n_keys bigint, saved binary")
+    merged.write.mode("errorifexists").parquet(path)
 
 
 def error_rate(df: DataFrame, known: DataFrame | None = None, key: str = "hashcode", order: str = "arrival_no", known_key: str = "hashcode", bits: int = 32) -> DataFrame:

@@ -62,3 +62,30 @@ def test_rate_and_empty(spark):
     assert 0 < rough.wrong_rate < 0.05
     none = spark.createDataFrame([], "arrival_no bigint, hashcode bigint")
     assert seen_before(none).count() == 0 and error_rate(none).first().n_rows == 0
+
+
+@pytest.mark.parametrize("bits", [64, 24])
+def test_store_outlives_a_run(spark, tmp_path, bits):
+    """Two batches against a store that was saved after the first one give what one run over both gives."""
+    r = random.Random(9)
+    rows = [(i, r.choice([1, r.randrange(300), r.getrandbits(60), None])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "arrival_no bigint, hashcode bigint")
+    first, second = df.where("arrival_no < 1500"), df.where("arrival_no >= 1500")
+    a, b, c = (str(tmp_path / x) for x in "abc")
+    seen.save_store(first, a, bits=bits, n_parts=7)
+    whole = {x.arrival_no: x.seen for x in seen_before(df, bits=bits).collect()}
+    got = {x.arrival_no: x.seen for x in seen_before(second, bits=bits, store=a).collect()}
+    assert got == {i: s for i, s in whole.items() if i >= 1500} and any(got.values())
+    seen.save_store(second, b, bits=bits, store=a)
+    seen.save_store(df, c, bits=bits, n_parts=7)
+    assert [tuple(x) for x in spark.read.parquet(b).orderBy("part").collect()] == [tuple(x) for x in spark.read.parquet(c).orderBy("part").collect()]
+    assert spark.read.parquet(a).count() == 7
+    with pytest.raises(ValueError):
+        seen_before(second, bits=32, store=a)
+
+
+def test_partitions_are_spread(spark):
+    """Partition p is task p: none is empty while another holds several."""
+    rows = spark.range(6_000).selectExpr("id as arrival_no", "id as hashcode", "id % 17 as part", "false as known", "id as no")
+    sizes = [x["count"] for x in seen._spread(rows.withColumn("part", rows["part"].cast("int")), 17).selectExpr("spark_partition_id() as p").groupBy("p").count().collect()]
+    assert len(sizes) == 17 and max(sizes) - min(sizes) <= 1
