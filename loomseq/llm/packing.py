@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.flat import flat_bytes, slices
+from ..functions.scratch import written
 
 _DIMS, _BITS = 3, 10
 _BLOCK = 4 << 20
-_WINDOW = 4096  # neighbours that are packed together
-_OPEN = 512  # containers left open for the next window
+_WINDOW = 256  # neighbours that are packed together
+_OPEN = 32  # containers left open for the next window, those with the most room
 _PER_TASK = 2000  # containers a task fills, about
 
 
@@ -134,9 +135,10 @@ def pack(df: DataFrame, item: str = "doc_id", text: str = "text", capacity: int
     if capacity < 1:
         raise ValueError("capacity must be positive")
     rows = df.where(F.col(text).isNotNull()).select(F.col(item).cast("bigint").alias("item"), F.col(text).alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    n = max(1, min(1 << 20, total // (capacity * _PER_TASK)))
     keyed = rows.mapInArrow(_keys, "item bigint, size bigint, curve bigint").withColumn("salt", F.rand(5))  # repeated rows spread too
+    keyed = written(keyed, "pack-keys")  # three numbers an item: the range sort reads them twice, the texts are read once
+    total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    n = max(1, min(1 << 20, total // (capacity * _PER_TASK)))
     lined = keyed.repartitionByRange(n, "curve", "item", "salt").sortWithinPartitions("curve", "item", "salt").drop("salt")
     return lined.mapInArrow(_pack(capacity), "container bigint, item bigint, piece int, n_pieces int, from_token bigint, n_tokens bigint").withColumnRenamed("item", item)
 

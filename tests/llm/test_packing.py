@@ -47,3 +47,16 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert pack(df).count() == 0
     assert fill_report(pack(df)).first().n_containers == 0
+
+
+def test_neighbours_share_containers(spark):
+    """Texts of one kind lie together along the curve: they share containers more often than chance has it."""
+    r = random.Random(3)
+    kinds = [r.choices("abcdefghijklmnopqrstuvwxyz ", k=30) for _ in range(8)]
+    rows = [(i, "".join(r.choice(kinds[i % 8]) if r.random() < 0.02 else kinds[i % 8][j % 30] for j in range(r.randrange(80, 300)))) for i in range(3000)]
+    got = pack(spark.createDataFrame(rows, "doc_id bigint, text string"), capacity=2048).collect()
+    boxes = {}
+    for x in got:
+        boxes.setdefault(x.container, []).append(x.doc_id % 8)
+    pairs = [(a == b) for ks in boxes.values() for i, a in enumerate(ks) for b in ks[i + 1 :]]
+    assert sum(pairs) / len(pairs) > 2 / 8
