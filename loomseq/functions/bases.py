@@ -57,9 +57,3 @@ def hamming(a: Column, b: Column) -> Column:
     n = F.least(F.length(a), F.length(b))
     pairs = F.zip_with(F.split(F.substring(a, F.lit(1), n), ""), F.split(F.substring(b, F.lit(1), n), ""), lambda x, y: F.when(x == y, 0).otherwise(1))
     return F.when(n > 0, F.aggregate(pairs, F.lit(0), lambda s, x: s + x)).otherwise(0)
-
-
-def mean_phred(qual: Column) -> Column:
-    """Mean Phred+33 quality of a string; null when empty."""
-    total = F.aggregate(F.split(qual, ""), F.lit(0), lambda s, c: s + F.ascii(c) - 33)
-    return F.when(F.length(qual) > 0, total / F.length(qual))

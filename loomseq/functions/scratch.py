@@ -14,9 +14,12 @@ _tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, one of our own (tests, one machine)."""
+    """The folder named in spark.checkpoint.dir; only where that is unset and all runs on one machine, one of our own."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "local")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="loomseq-"))
             atexit.register(shutil.rmtree, _own[0], True)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.flat import flat_codes, kmers, mix64, rc_kmers, slices, sliding_min, window_ok
 from ..params import DEFAULT, Params
 from .components import components
+from .overlap import close_gap
 from .pairs import fragments, insert_stats
 from .paths import Followed
 
@@ -170,7 +171,7 @@ class Assembler:
                 return n[0][0]
         return None
 
-    def extend(self, contig: str, placed: dict[int, tuple[int, int, int]]) -> str:
+    def extend(self, contig: str, placed: dict[int, tuple[int, int, int]], most: int | None = None) -> str:
         known: set[tuple[int, int]] = set()
         active = self.active_at(contig, known)
         ids = {r: i for i, r in enumerate(self.rids)}
@@ -216,7 +217,7 @@ class Assembler:
                 a[4] = a[4] + 1 if hit else 0
             active += self.admit(contig, len(contig) - self.p.k, known)
             settle()
-            if bare > self.p.read_len - 7:
+            if bare > self.p.read_len - 7 or (most is not None and len(contig) >= most):
                 return contig
 
     def build(self, least_len: int) -> list[tuple[str, list[tuple[int, int, int, int]]]]:
@@ -278,26 +279,54 @@ def pilot_insert(reads: DataFrame, p: Params = DEFAULT, most_contigs: int = 100)
     return insert_stats(fragments(placed), p)
 
 
-def fill_gaps(gaps: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Gaps (gap_id, left_end, right_end, gap, reads array<struct<rid, seq>>) closed by local assembly from the left end.
+def fill_gaps(gaps: DataFrame, p: Params = DEFAULT, sdev: float = 0.0) -> DataFrame:
+    """Gaps (gap_id, left_end, right_end, gap, reads array<struct<rid, seq>>) closed by local assembly, from the left end and from
+    the right one, each up to the other end and a read beyond.
 
-    Returns gap_id, new_bases (beyond the left end), overlap with the right end and state `merged` or `open`. Gaps are
-    independent: one row each."""
+    Returns gap_id, state (merged, gap or break), fill (bases between the two ends, or behind what is dropped), drop (letters of the left end given
+    up), overlap (letters of the right end that the fill has already), n_left and n_right (bases won on either side) and rest (the
+    gap that is left). A gap is closed where the right end's first k letters (or the left end's last ones) are met, else where the two
+    extended ends overlap (overlap.close_gap). What was won on both sides of an open gap stays. Gaps are independent: one row each;
+    a gap's reads are those of its two ends."""
+
+    def one(ends: tuple[str, str], gap: float, reads: list) -> tuple[str, str]:
+        """(left end and what follows, what precedes and right end), each extended."""
+        out = []
+        for left, right in (ends, (revcomp(ends[1]), revcomp(ends[0]))):
+            a = Assembler([r["rid"] for r in reads], [r["seq"] for r in reads], p)
+            most = len(left) + max(0, int(gap)) + int(3 * sdev) + len(right) + p.read_len
+            out.append(a.extend(left, {}, most) if left and reads else left)
+        return out[0], revcomp(out[1])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for g in pdf.itertuples(index=False):
                 reads = list(g.reads) if g.reads is not None else []
-                a = Assembler([r["rid"] for r in reads], [r["seq"] for r in reads], p)
-                made = a.extend(g.left_end, {}) if g.left_end else ""
-                new, state, over = made[len(g.left_end or "") :], "open", 0
-                probe = (g.right_end or "")[: p.k]
-                at = made.find(probe, max(0, len(g.left_end or "") - p.k)) if len(probe) == p.k else -1
-                if at >= 0:
-                    over = len(made) - at
-                    state = "merged"
-                out.append((g.gap_id, new, over, state))
-            yield pd.DataFrame(out, columns=["gap_id", "new_bases", "overlap", "state"])
-
-    return gaps.select("gap_id", "left_end", "right_end", "gap", "reads").mapInPandas(run, "gap_id bigint, new_bases string, overlap int, state string")
+                left, right = g.left_end or "", g.right_end or ""
+                made, back = one((left, right), 0.0 if g.gap is None or g.gap != g.gap else g.gap, reads)
+                met = made.find(right[: p.k], max(0, len(left) - p.k)) if len(right) >= p.k else -1
+                if met >= 0 and right.startswith(made[met:]) | made[met:].startswith(right):
+                    out.append((g.gap_id, made, right, met, None))
+                    continue
+                met = back.rfind(left[-p.k :], 0, len(back) - len(right) + p.k) if len(left) >= p.k else -1
+                if met >= 0:
+                    out.append((g.gap_id, left, back[met:], len(left) - p.k, None))
+                    continue
+                out.append((g.gap_id, made, back, -1, back))
+            yield pd.DataFrame(out, columns=["gap_id", "made", "back", "met", "open"])
+
+    got = gaps.select("gap_id", "left_end", "right_end", "gap", "reads").mapInPandas(run, "gap_id bigint, made string, back string, met int, open string")
+    got = gaps.select("gap_id", "left_end", "right_end", "gap").join(got, "gap_id")
+    n1, n2, nl, nr = F.length("made"), F.length("back"), F.length(F.coalesce("left_end", F.lit(""))), F.length(F.coalesce("right_end", F.lit("")))
+    closed = F.col("met") >= 0
+    gap = F.coalesce(F.when(~F.isnan("gap"), F.col("gap")), F.lit(0.0))
+    got = got.withColumn("c", close_gap(gap, F.col("made"), F.col("back"), n1 - nl, n2 - nr, 2 * p.read_len, sdev, p))
+    state = F.when(closed, "merged").otherwise(F.col("c.state"))
+    # the joined text: left end and fill and right end
+    whole = F.when(closed, F.concat(F.expr("left(made, met)"), F.col("back"))).when(F.col("c.state") == "merged", F.concat(F.col("made"), F.expr("substring(back, c.overlap + 1)")))
+    got = got.withColumns({"state": state, "whole": whole, "n_left": n1 - nl, "n_right": n2 - nr})
+    size = F.length("whole")
+    over = F.when(size - nl < nr, nr - (size - nl)).otherwise(0)  # the ends themselves overlap by so much
+    fill = F.when(F.col("whole").isNotNull(), F.expr("substring(whole, length(left_end) + 1, greatest(length(whole) - length(left_end) - length(right_end), 0))"))
+    return got.select("gap_id", "state", fill.alias("fill"), F.lit(0).alias("drop"), F.when(F.col("whole").isNotNull(), over).otherwise(0).cast("int").alias("overlap"), "n_left", "n_right", F.when(F.col("whole").isNull(), F.col("c.gap")).alias("rest"), F.expr("substring(made, length(left_end) + 1)").alias("won_left"), F.expr("left(back, length(back) - length(right_end))").alias("won_right"))

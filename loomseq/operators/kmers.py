@@ -1,41 +1,105 @@
-"""k-mers of reads: sampled positions, counts, postings, seeds, lookups."""
+"""k-mers of reads: sampled positions, counts, postings, seeds, lookups.
+
+k-mers are packed numbers (two bits a base, k <= 31) from the reads to the last step; they are written out as text at the end.
+Only words of A, C, G, T are k-mers."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import is_homopolymer, revcomp
+from ..functions.bases import revcomp
+from ..functions.flat import flat_codes, kmers, ranges, slices, window_ok
 from ..functions.scratch import written
 from ..params import DEFAULT, Params
 
+_BLOCK = 1 << 20
+_LETTERS = np.frombuffer(b"ACGT", np.uint8)
+
 
-def sampled_positions(seqlen: Column, p: Params = DEFAULT) -> Column:
-    """1-based starts: every second place of a short head and tail block, or of the whole read (and its last place) if they meet."""
+def sampled_positions(seqlen: np.ndarray, p: Params = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
+    """(read, 1-based start): every second place of a short head and tail block, or of the whole read (and its last place) if they meet."""
     n = seqlen - p.k + 1
-    head = F.ceil(seqlen * p.head_sample_pct / 100).cast("int")
-    tail = F.ceil(seqlen * p.tail_sample_pct / 100).cast("int")
-    step = F.lit(p.sample_step)
-    whole = F.array_union(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), step), F.array(n))
-    ends = F.concat(F.sequence(F.lit(1), head, step), F.sequence(F.greatest(n - tail + 1, F.lit(1)), F.greatest(n, F.lit(1)), step))
-    return F.when(n < 1, F.array().cast("array<int>")).when(head + tail >= n, whole).otherwise(ends)
+    head, tail = -(-seqlen * p.head_sample_pct // 100), -(-seqlen * p.tail_sample_pct // 100)
+    step, meet = p.sample_step, head + tail >= n
+    n1 = np.where(n < 1, 0, np.where(meet, -(-n // step), -(-head // step)))
+    n2 = np.where(n < 1, 0, np.where(meet, (n - 1) % step > 0, -(-tail // step)))
+    rec = np.repeat(np.arange(n.size), n1 + n2)
+    at = ranges(np.zeros(n.size, np.int64), n1 + n2)
+    behind = at >= n1[rec]
+    pos = np.where(behind, np.where(meet, n, n - tail + 1)[rec] + (at - n1[rec]) * step, 1 + at * step)
+    return rec, pos
+
+
+def kmer_text(k: int):
+    """Packed k-mers as text."""
+
+    @F.arrow_udf("string")
+    def text(code: pa.Array) -> pa.Array:
+        c = code.to_numpy(zero_copy_only=False).astype(np.int64)
+        letters = _LETTERS[(c[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3]
+        return pa.StringArray.from_buffers(c.size, pa.py_buffer(np.arange(0, k * (c.size + 1), k, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(letters)))
+
+    return text
+
+
+def _sampled(b: pa.RecordBatch, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(read, pos, code, places of the read) of the sampled k-mers of a batch."""
+    codes, off = flat_codes(b.column("seq"))
+    n = np.diff(off)
+    rec, pos = sampled_positions(n, p)
+    at = off[rec] + pos - 1
+    ok = window_ok(codes, off, p.k)[at] if at.size else np.zeros(0, bool)
+    rec, pos, at = rec[ok], pos[ok], at[ok]
+    return rec, pos, kmers(codes, p.k)[at].astype(np.int64), n - p.k + 1
+
+
+def codes_at(reads: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(code, rid, pos, last) at the sampled positions; `last`: the last place of the read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "seq", _BLOCK):
+            rec, pos, code, n = _sampled(b, p)
+            yield pa.RecordBatch.from_arrays([pa.array(code), b.column("rid").take(pa.array(rec)), pa.array(pos.astype(np.int32)), pa.array(pos == n[rec])], ["code", "rid", "pos", "last"])
+
+    return reads.select(F.col("rid").cast("bigint").alias("rid"), "seq").mapInArrow(run, "code bigint, rid bigint, pos int, last boolean")
 
 
 def explode_kmers(reads: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(kmer, rid, pos) at the sampled positions, forward strand; reads shorter than k give none."""
-    x = reads.select("rid", "seq", F.explode(sampled_positions(F.length("seq"), p)).alias("pos"))
-    return x.select(F.substring("seq", F.col("pos"), F.lit(p.k)).alias("kmer"), "rid", "pos")
+    return codes_at(reads, p).select(kmer_text(p.k)(F.col("code")).alias("kmer"), "rid", "pos")
+
+
+def _per_read(p: Params):
+    """Distinct k-mers of each read: code, rid, copies in the read, whether it starts the read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "seq", _BLOCK):
+            rec, pos, code, _ = _sampled(b, p)
+            order = np.lexsort((pos, code, rec))
+            rec, pos, code = rec[order], pos[order], code[order]
+            new = np.ones(rec.size, bool)
+            new[1:] = (rec[1:] != rec[:-1]) | (code[1:] != code[:-1])
+            start = np.flatnonzero(new)
+            copies = np.diff(np.append(start, rec.size))
+            yield pa.RecordBatch.from_arrays([pa.array(code[start]), b.column("rid").take(pa.array(rec[start])), pa.array(copies.astype(np.int64)), pa.array(pos[start] == 1)], ["code", "rid", "copies", "start"])
+
+    return run
+
+
+def _codes(reads: DataFrame, p: Params) -> DataFrame:
+    x = reads.select(F.col("rid").cast("bigint").alias("rid"), "seq").mapInArrow(_per_read(p), "code bigint, rid bigint, copies bigint, start boolean")
+    return x.groupBy("code").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("n_reads"), F.max("copies").alias("most_copies"), F.max("start").alias("at_start"))
 
 
 def table(reads: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Per k-mer: n postings, n_reads, most copies in one read, whether it starts some read. `reads` has one row a read: repeats
-    within a read are counted before the explode, so one shuffle with map-side aggregation gives distinct reads too."""
-    pos = sampled_positions(F.length("seq"), p)
-    x = reads.select("seq", pos.alias("pos")).where(F.size("pos") > 0)
-    x = x.select("pos", F.transform("pos", lambda i: F.substring(F.col("seq"), i, F.lit(p.k))).alias("all"))
-    each = F.transform(F.array_distinct("all"), lambda w: F.struct(w.alias("kmer"), F.size(F.filter("all", lambda y: y == w)).alias("copies"), (F.col("all")[0] == w).alias("start")))
-    x = x.select(F.explode(each).alias("k")).select("k.*")
-    return x.groupBy("kmer").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("n_reads"), F.max("copies").alias("most_copies"), F.max("start").alias("at_start"))
+    within a read are counted before the shuffle, so one shuffle with map-side aggregation gives distinct reads too."""
+    return _codes(reads, p).select(kmer_text(p.k)(F.col("code")).alias("kmer"), "n", "n_reads", "most_copies", "at_start")
 
 
 def postings(kmers: DataFrame, most: int | None = None) -> DataFrame:
@@ -59,29 +123,26 @@ def seed_bounds(per: DataFrame, p: Params = DEFAULT) -> DataFrame:
 def seeds(reads: DataFrame, p: Params = DEFAULT, consumed: DataFrame | None = None) -> DataFrame:
     """k-mers fit to start a contig: multiplicity within the bounds and mostly unconsumed, not one letter only, at the start
     of some read, never twice in one read. `consumed` (rid): reads already used; they are taken out before their k-mers are."""
-    whole = written(table(reads, p), "kmers")  # used twice: for the bounds and for the seeds
+    whole = written(_codes(reads, p), "kmers")  # used twice: for the bounds and for the seeds
     per = whole.withColumnRenamed("n", "arraysize").withColumn("multiplicity", F.col("arraysize"))
     if consumed is not None:
-        live = table(reads.join(consumed.select("rid").distinct(), "rid", "left_anti"), p).withColumnRenamed("n", "multiplicity")
-        per = live.join(whole.select("kmer", F.col("n").alias("arraysize")), "kmer")
+        live = _codes(reads.join(consumed.select("rid").distinct(), "rid", "left_anti"), p).withColumnRenamed("n", "multiplicity")
+        per = live.join(whole.select("code", F.col("n").alias("arraysize")), "code")
     per = per.crossJoin(F.broadcast(seed_bounds(whole, p)))  # one row
+    one_letter = [sum(base << (2 * i) for i in range(p.k)) for base in range(4)]
     ok = F.col("multiplicity").between(F.col("lower"), F.col("upper")) & (F.col("multiplicity") >= F.col("arraysize") * p.fresh_share)
-    return per.where(ok & ~is_homopolymer(F.col("kmer")) & F.col("at_start") & (F.col("most_copies") == 1)).select("kmer", "multiplicity", "arraysize")
+    return per.where(ok & ~F.col("code").isin(one_letter) & F.col("at_start") & (F.col("most_copies") == 1)).select(kmer_text(p.k)(F.col("code")).alias("kmer"), "multiplicity", "arraysize")
 
 
 def multi_copy(reads: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """k-mers that stand twice in one read, and the reads: settled within each row, without a shuffle."""
-    x = reads.select("rid", "seq", sampled_positions(F.length("seq"), p).alias("pos"))
-    x = x.select("rid", F.transform("pos", lambda i: F.substring(F.col("seq"), i, F.lit(p.k))).alias("all")).where(F.size(F.array_distinct("all")) < F.size("all"))
-    each = F.transform(F.array_distinct("all"), lambda w: F.struct(w.alias("kmer"), F.size(F.filter("all", lambda y: y == w)).cast("bigint").alias("copies")))
-    return x.select("rid", F.explode(each).alias("k")).select("k.kmer", "rid", "k.copies").where("copies > 1")
+    x = reads.select(F.col("rid").cast("bigint").alias("rid"), "seq").mapInArrow(_per_read(p), "code bigint, rid bigint, copies bigint, start boolean")
+    return x.where("copies > 1").select(kmer_text(p.k)(F.col("code")).alias("kmer"), "rid", "copies")
 
 
 def at_read_end(reads: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Sampled k-mers at the last place of some read."""
-    n = F.length("seq") - p.k + 1
-    x = reads.where(n >= 1).where(F.array_contains(sampled_positions(F.length("seq"), p), n))
-    return x.select(F.substring(F.col("seq"), n, F.lit(p.k)).alias("kmer")).distinct()
+    return codes_at(reads, p).where("last").select("code").distinct().select(kmer_text(p.k)(F.col("code")).alias("kmer"))
 
 
 def strand_lookup(per: DataFrame) -> DataFrame:
@@ -95,7 +156,7 @@ def consume(reads: DataFrame, consumed: DataFrame, p: Params = DEFAULT) -> DataF
     """Multiplicity after the postings of consumed reads are taken out (the postings themselves are never changed).
 
     Reads are marked before the explode, so both counts come out of one aggregation."""
-    x = reads.join(consumed.select("rid").distinct().withColumn("gone", F.lit(True)), "rid", "left")
-    x = x.select("gone", "seq", F.explode(sampled_positions(F.length("seq"), p)).alias("pos"))
-    x = x.select(F.substring("seq", F.col("pos"), F.lit(p.k)).alias("kmer"), F.col("gone").isNull().cast("bigint").alias("live"))
-    return x.groupBy("kmer").agg(F.count(F.lit(1)).alias("arraysize"), F.sum("live").alias("multiplicity"))
+    x = reads.select("rid", "seq").join(consumed.select("rid").distinct().withColumn("gone", F.lit(1)), "rid", "left")
+    x = x.select(F.when(F.col("gone").isNull(), F.lit(1)).otherwise(0).cast("bigint").alias("rid"), "seq")  # the column carries the mark
+    x = codes_at(x, p).groupBy("code").agg(F.count(F.lit(1)).alias("arraysize"), F.sum("rid").alias("multiplicity"))
+    return x.select(kmer_text(p.k)(F.col("code")).alias("kmer"), "arraysize", "multiplicity")

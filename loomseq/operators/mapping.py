@@ -68,16 +68,12 @@ def tiles(reads: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return reads.select(F.col("rid").cast("bigint").alias("rid"), "seq").mapInArrow(run, "code bigint, rid bigint, seqlen int, n_tiles int, orient int, off int")
 
 
-def map_unique(reads: DataFrame, contigs: DataFrame, p: Params = DEFAULT, most_hits: int | None = None) -> DataFrame:
+def map_unique(reads: DataFrame, contigs: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(rid, contig_id, pos, orient, end, seqlen): reads with exactly one place where all their tiles match.
 
     Tiles of both strands are joined to the k-mers of contig ends; a place counts when every tile hits the same contig at
-    its offset (relational division by counting: a tile meets a place once). `most_hits` leaves out k-mers that stand in
-    more places than that before the join (a repeat can't place a read on its own tile)."""
+    its offset (relational division by counting: a tile meets a place once)."""
     ends = end_kmers(contigs, p)
-    if most_hits is not None:
-        rare = ends.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_hits).select("code")
-        ends = ends.join(rare, "code", "left_semi")
     hits = tiles(reads, p).join(ends, "code").groupBy("rid", "orient", "contig_id", (F.col("pos") - F.col("off")).alias("pos"))
     hits = hits.agg(F.count(F.lit(1)).alias("n"), F.max("n_tiles").alias("n_tiles"), F.max("seqlen").alias("seqlen"), F.max(F.when(F.col("off") == 0, F.col("end"))).alias("end")).where("n = n_tiles")
     one = hits.groupBy("rid").agg(F.count(F.lit(1)).alias("total"), F.min(F.struct("contig_id", "pos", "orient", "end", "seqlen")).alias("p"))
@@ -137,6 +133,22 @@ def filter_bins(bins: DataFrame, links: DataFrame, high: float = 3.0) -> DataFra
     return per.select("contig_id", "contig_end", F.explode(F.aggregate("steps", start, step)["dropped"]).alias("bin"))
 
 
+def bin_links(pairs: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Per bin of a contig end: contigs its mates lie on, and the share of the second against the first (links.end_pairs)."""
+    n = pairs.withColumn("bin", F.floor((F.col("pos1") - 1) / p.coverage_bin)).groupBy("c1", "e1", "bin", "c2").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("c1", "e1", "bin").orderBy(F.desc("n"), "c2")
+    n = n.withColumn("rn", F.row_number().over(w))
+    first, second = (F.max(F.when(F.col("rn") == i, F.col("n"))) for i in (1, 2))
+    n = n.groupBy("c1", "e1", "bin").agg(F.count(F.lit(1)).alias("n_links"), (F.coalesce(second, F.lit(0)) / first).alias("second_share"))
+    return n.select(F.col("c1").alias("contig_id"), F.col("e1").alias("contig_end"), "bin", "n_links", "second_share")
+
+
+def without_bins(placements: DataFrame, dropped: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Placements that start in none of the dropped bins."""
+    x = placements.withColumn("bin", F.floor((F.col("contig_pos") - 1) / p.coverage_bin))
+    return x.join(dropped.select("contig_id", "contig_end", "bin"), ["contig_id", "contig_end", "bin"], "left_anti").drop("bin")
+
+
 def uncovered_end(placements: DataFrame, contigs: DataFrame) -> DataFrame:
     """Distance from each end to the nearest read; the whole length of a contig without reads."""
     per = placements.groupBy("contig_id").agg(F.min("contig_pos").alias("lo"), F.max(F.col("contig_pos") + F.col("seqlen") - 1).alias("hi"))

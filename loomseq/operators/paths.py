@@ -70,11 +70,13 @@ def decide(paths: list[tuple[str, int]], most_incorrect: int = 3) -> tuple[str |
     return top[0][0], wrong, not bad
 
 
-def shift_of(a: str, b: str, most: int = 10, mismatches: int = 1) -> int | None:
-    """Least shift of either text that leaves at most `mismatches` differing letters."""
-    for s in range(most + 1):
-        if min(sum(x != y for x, y in zip(a[s:], b)), sum(x != y for x, y in zip(a, b[s:]))) <= mismatches:
-            return s
+def shift_of(a: str, b: str, most: int = 10, mismatches: int = 1) -> tuple[int, int, int] | None:
+    """(shift, kind, mismatches): the first shift of `a` (kind 1) that leaves at most `mismatches` differing letters, else of `b` (kind 2)."""
+    for kind, s in ((k, s) for k in (1, 2) for s in range(most + 1)):
+        x, y = (a[s:], b) if kind == 1 else (a, b[s:])
+        wrong = sum(c != d for c, d in zip(x, y))
+        if x and y and wrong <= mismatches:
+            return s, kind, wrong
     return None
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import mean_phred, share_of, unknown_bases
+from ..functions.bases import share_of, unknown_bases
+from ..functions.flat import flat_bytes
 from ..params import DEFAULT, Params
 
 
@@ -16,16 +19,31 @@ def first_delivery(read_buf: DataFrame, columns: tuple[str, ...] = ("pair_id", "
     return x.groupBy("rid").agg(F.min_by("row", "arrival_no").alias("row")).select("rid", "row.*")
 
 
+def _quality_ok(p: Params):
+    """Arrow function over whole batches: every quality high enough, tail and head good on average. A null passes."""
+
+    @F.arrow_udf("boolean")
+    def ok(qual: pa.Array) -> pa.Array:
+        raw, off = flat_bytes(qual)
+        n = np.diff(off)
+        score = raw.astype(np.int64) - 33
+        run = np.concatenate([[0], np.cumsum(score)])
+        low = np.concatenate([[0], np.cumsum(score < p.single_qual)])
+        tail = np.ceil(n * p.tail_share).astype(np.int64)
+        cut = off[1:] - tail
+        with np.errstate(invalid="ignore"):
+            tail_mean = (run[off[1:]] - run[cut]) / tail
+            head_mean = (run[cut] - run[off[:-1]]) / (n - tail)
+        good = (low[off[1:]] == low[off[:-1]]) & ((tail == 0) | (tail_mean >= p.tail_mean_qual)) & ((n == tail) | (head_mean >= p.head_mean_qual))
+        return pa.array(good | qual.is_null().to_numpy(zero_copy_only=False))
+
+    return ok
+
+
 def valid(seq: Column, qual: Column, p: Params = DEFAULT) -> Column:
     """No unknown base, not mostly A, every quality high enough, tail and head good on average. A null qual passes."""
-    n = F.length(qual)
-    tail = F.ceil(n * p.tail_share).cast("int")
-    low = "".join(chr(33 + i) for i in range(p.single_qual))
-    single = F.length(F.translate(qual, low, "")) == n
-    tail_ok = F.coalesce(mean_phred(F.substring(qual, n - tail + 1, tail)) >= p.tail_mean_qual, F.lit(True))
-    head_ok = F.coalesce(mean_phred(F.substring(qual, F.lit(1), n - tail)) >= p.head_mean_qual, F.lit(True))
     bases = (unknown_bases(seq) == 0) & (F.length(seq) > 0) & (share_of(seq, "A") < p.artefact_share_a)
-    return F.coalesce(bases & (qual.isNull() | (single & tail_ok & head_ok)), F.lit(False))
+    return F.coalesce(bases, F.lit(False)) & _quality_ok(p)(qual)
 
 
 def flagged(reads: DataFrame, p: Params = DEFAULT) -> DataFrame:

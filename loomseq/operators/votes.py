@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.bases import hamming, revcomp
 
 BASES = "ACGT"
+_BIN = 128
 
 
 def oriented(placements: DataFrame, reads: DataFrame) -> DataFrame:
@@ -58,19 +59,25 @@ def incorrect_columns(w: DataFrame) -> DataFrame:
 
 def corrected(placed_seqs: DataFrame, w: DataFrame, least_votes: int = 10) -> DataFrame:
     """Bases of reads in columns of least_votes votes or more where the read's base is the second one with a single vote: the winner
-    stands instead. (rid, contig_id, pos, base, corrected)."""
-    x = placed_seqs.select("rid", "contig_id", "contig_pos", F.posexplode(F.split("oseq", "")).alias("i", "b")).withColumn("pos", F.col("contig_pos") + F.col("i"))
-    odd = w.where(F.col("total") >= least_votes).where("n_second = 1").select("contig_id", "pos", "base", "second")
-    odd = odd.withColumnRenamed("base", "top")
-    return x.join(odd, ["contig_id", "pos"]).where("b = second").select("rid", "contig_id", "pos", F.col("b").alias("base"), F.col("top").alias("corrected"))
+    stands instead. (rid, contig_id, pos, base, corrected). The few odd columns meet reads by bins of positions; no base of
+    a read that lies on none is a row."""
+    odd = w.where(F.col("total") >= least_votes).where("n_second = 1").select("contig_id", "pos", "base", "second", F.floor(F.col("pos") / _BIN).alias("bin"))
+    last = F.col("contig_pos") + F.length("oseq") - 1
+    x = placed_seqs.where(F.length("oseq") > 0).select("rid", "contig_id", "contig_pos", "oseq", F.explode(F.sequence(F.floor(F.col("contig_pos") / _BIN), F.floor(last / _BIN))).alias("bin"))
+    x = x.join(odd, ["contig_id", "bin"]).where((F.col("pos") >= F.col("contig_pos")) & (F.col("pos") <= last))
+    x = x.withColumn("b", F.substring(F.col("oseq"), (F.col("pos") - F.col("contig_pos") + 1).cast("int"), F.lit(1)))
+    return x.where("b = second").select("rid", "contig_id", "pos", F.col("b").alias("base"), F.col("base").alias("corrected"))
 
 
 def shift_distance(a: Column, b: Column, most_shift: int = 10, most_mismatch: int = 1) -> Column:
-    """Least shift 0..most_shift of either string that leaves at most most_mismatch differing letters; null if none."""
-    out = F.lit(None).cast("int")
-    for s in range(most_shift, -1, -1):
-        rest_a, rest_b = F.substring(a, F.lit(s + 1), F.length(a)), F.substring(b, F.lit(s + 1), F.length(b))
-        out = F.when((hamming(rest_a, b) <= most_mismatch) | (hamming(a, rest_b) <= most_mismatch), s).otherwise(out)
+    """Struct of shift, kind and mismatches of the first shift 0..most_shift of `a` (kind 1) that leaves at most most_mismatch
+    differing letters, else of the first one of `b` (kind 2); null if there is none, or nothing is left to compare."""
+    out = F.lit(None).cast("struct<shift: int, kind: int, mismatches: int>")
+    for kind, s in reversed([(k, s) for k in (1, 2) for s in range(most_shift + 1)]):
+        x, y = (F.substring(a, F.lit(s + 1), F.length(a)), b) if kind == 1 else (a, F.substring(b, F.lit(s + 1), F.length(b)))
+        wrong = hamming(x, y)
+        hit = (F.length(x) > 0) & (F.length(y) > 0) & (wrong <= most_mismatch)
+        out = F.when(hit, F.struct(F.lit(s).alias("shift"), F.lit(kind).alias("kind"), wrong.cast("int").alias("mismatches"))).otherwise(out)
     return out
 
 

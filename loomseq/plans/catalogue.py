@@ -488,12 +488,16 @@ def exact_overlaps(spark, d):
     return _edge_seqs(spark, d).select("c1", "e1", "c2", "e2", overlap.exact_overlap(F.col("l"), F.col("r"), F.col("g"), 200).alias("overlap"))
 
 
-def _edge_seqs(spark, d):
-    c = v.contigs(spark, d)
-    a, b = (c.select(F.col("contig_id").alias(f"c{i}"), F.upper("seq").alias(f"s{i}")) for i in (1, 2))
+def _edge_seqs(spark, d, reach=200):
+    """Edges with the end of the left contig (l) and the start of the right one (r), both turned as they lie: `reach` bases each."""
+    c = v.contigs(spark, d).select("contig_id", F.upper("seq").alias("seq"))
+    tips = c.select("contig_id", F.expr(f"right(seq, {reach})").alias("last"), F.expr(f"left(seq, {reach})").alias("first"))
+    a, b = (tips.select(F.col("contig_id").alias(f"c{i}"), F.col("last").alias(f"last{i}"), F.col("first").alias(f"first{i}")) for i in (1, 2))
     x = _ranked(spark, d).join(a, "c1").join(b, "c2")
+    left = F.when(F.col("best").isin(2, 3), bases.revcomp(F.col("first1"))).otherwise(F.col("last1"))
+    right = F.when(F.col("best").isin(1, 2), bases.revcomp(F.col("last2"))).otherwise(F.col("first2"))
     g = F.coalesce(F.when(~F.isnan("gap"), F.col("gap")), F.lit(0.0))
-    return x.withColumn("l", overlap.orient(F.col("s1"), F.col("best").isin(2, 3))).withColumn("r", overlap.orient(F.col("s2"), F.col("best").isin(1, 2))).withColumn("g", g)
+    return x.withColumn("l", left).withColumn("r", right).withColumn("g", g)
 
 
 @_query()

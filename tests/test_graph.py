@@ -1,6 +1,7 @@
 import random
 
-from loomseq.operators import assemble, overlap, scaffold, stats
+from loomseq.operators import assemble, chains, mapping, overlap, scaffold, stats
+from loomseq.operators import components as components_module
 from loomseq.operators.components import components
 from loomseq.params import Params
 from pyspark.sql import functions as F
@@ -75,10 +76,69 @@ def test_assembly_outvotes_an_error(spark):
 
 def test_gap_filling(spark):
     g = genome(6, 400)
-    reads = [{"rid": r, "seq": s} for r, s in shred(g, 80, 100, 6)]
-    df = spark.createDataFrame([(1, g[:150], g[200:350], 50.0, reads), (2, g[:150], g[200:350], 50.0, None)], "gap_id bigint, left_end string, right_end string, gap double, reads array<struct<rid: bigint, seq: string>>")
-    got = {r.gap_id: r for r in assemble.fill_gaps(df).collect()}
-    assert got[1].state == "merged" and got[1].new_bases.startswith(g[150:200]) and got[2].state == "open"
+    all_reads = [{"rid": r, "seq": s} for r, s in shred(g, 80, 100, 6)]
+    at = {r["rid"]: min(i for i in (g.find(r["seq"]), g.find(r["seq"].translate(TURN)[::-1])) if i >= 0) for r in all_reads}
+    right_only = [r for r in all_reads if at[r["rid"]] > 130]  # the left end has no read that goes on
+    sides = [r for r in all_reads if at[r["rid"]] + 100 <= 230 or at[r["rid"]] >= 170]
+    few = [r for r in all_reads if at[r["rid"]] + 100 <= 170 or at[r["rid"]] >= 185]
+    schema = "gap_id bigint, left_end string, right_end string, gap double, reads array<struct<rid: bigint, seq: string>>"
+    rows = [(1, g[:150], g[200:350], 50.0, all_reads), (2, g[:150], g[200:350], 50.0, None), (3, g[:150], g[200:350], 50.0, right_only), (4, g[:150], g[200:350], 50.0, sides), (5, g[:150], g[200:350], 50.0, few), (6, g[:150], g[130:300], -20.0, all_reads), (7, None, g[:100], None, None)]
+    got = {r.gap_id: r for r in assemble.fill_gaps(spark.createDataFrame(rows, schema), sdev=10.0).collect()}
+    for i in (1, 3, 4):
+        assert (got[i].state, got[i].fill, got[i].overlap) == ("merged", g[150:200], 0)
+    assert got[2].state == "gap" and got[2].rest == 50.0 and got[7].state == "gap"
+    assert got[5].state == "gap" and g[150:200].startswith(got[5].won_left) and g[150:200].endswith(got[5].won_right) and got[5].n_left + got[5].n_right > 10
+    assert (got[6].state, got[6].fill, got[6].overlap) == ("merged", "", 20)
+
+
+def test_list_rank(spark, monkeypatch):
+    links = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (200, 201), (201, 202), (202, 200), (7000, 7001)]
+    want = {i: (1, i - 1) for i in range(1, 41)} | {100: (100, 0), 90: (100, 1), 95: (100, 2), 200: (200, 0), 201: (200, 1), 202: (200, 2), 7000: (7000, 0), 7001: (7000, 1)}
+    df = spark.createDataFrame([*links, (5, 5)], "src bigint, dst bigint")
+    for most in (4_000_000, 0):  # in one task, and by joins
+        monkeypatch.setattr(chains, "_ONE_TASK", most)
+        monkeypatch.setattr(components_module, "_ONE_TASK", most)
+        assert {r.node: (r.head, r["rank"]) for r in chains.list_rank(df).collect()} == want
+        assert chains.list_rank(df.limit(0)).count() == 0
+        edges = [(3, 9), (9, 4), (20, 21), (8, 8)]
+        assert {x.node: x.component for x in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()} == roots(edges)
+
+
+def test_cut_and_consensus_in_the_text(spark):
+    """An overlap hidden behind uncovered ends, and one with an error, come out right in the scaffold."""
+    g, junk = genome(20, 1200), genome(21, 30)
+    bad = list(g[560:860])
+    bad[2] = "A" if bad[2] != "A" else "C"
+    contigs = spark.createDataFrame([(1, g[:300] + junk[:7]), (2, junk[7:12] + g[260:600]), (3, "".join(bad)), (4, g[900:])], "contig_id bigint, seq string")
+    chain = spark.createDataFrame([(1, 1, 1, 0, None, 0), (1, 2, 2, 0, -40.0, 5), (1, 3, 3, 0, -40.0, 5), (1, 4, 4, 0, 40.0, 5)], scaffold.CHAIN)
+    bare = spark.createDataFrame([(1, 0, 7), (2, 5, 0), (3, 0, 0), (4, 0, 0)], "contig_id bigint, bare5 int, bare3 int")
+    rows = overlap.neighbour_overlaps(chain, contigs, 10.0, bare=bare)
+    got = {r.ord: r for r in rows.collect()}
+    assert [got[i].decision for i in (1, 2, 3, 4)] == ["start", "merge", "merge", "gap"]
+    assert (got[2].cut_left, got[2].cut_right, got[2].exact) == (7, 5, 40) and got[3].exact == 0 and got[3].aligned_left == 40
+    (s,) = scaffold.scaffold_seqs(rows, contigs).collect()
+    assert s.seq == g[:860] + "N" * 40 + g[900:]
+    weak = spark.createDataFrame([(1, 2)], "scaffold_id bigint, ord int")
+    assert [r.decision for r in scaffold.break_weak(rows, weak).orderBy("ord").collect()] == ["start", "break", "break", "gap"]
+    assert sorted(r.n_contigs for r in scaffold.scaffold_seqs(scaffold.break_weak(rows, weak), contigs).collect()) == [1, 1, 2]
+
+
+def test_weak_middle(spark):
+    contigs = spark.createDataFrame([(1, "A" * 500), (2, "C" * 200), (3, "G" * 500)], "contig_id bigint, seq string")
+    rows = spark.createDataFrame([(1, 1, 1, 0, 0), (1, 2, 2, 0, 80), (1, 3, 3, 0, 10)], "scaffold_id bigint, ord int, contig_id bigint, orient int, exact int")
+    none = spark.createDataFrame([], "c1 bigint, c2 bigint")
+    assert [(r.scaffold_id, r.ord) for r in scaffold.weak_links(rows, contigs, none).collect()] == [(1, 2)]
+    assert scaffold.weak_links(rows, contigs, spark.createDataFrame([(1, 3)], none.schema)).count() == 0
+
+
+def test_filter_bins(spark):
+    """A bin far over the mean falls when it links to many contigs, and so does the one behind it."""
+    reads = [(1, 0, 30 * b + 1, n) for b, n in enumerate([2, 2, 40, 10, 2, 2, 2, 2])]
+    x = spark.createDataFrame([(c, e, pos, i) for c, e, pos, n in reads for i in range(n)], "contig_id bigint, contig_end int, contig_pos int, rid bigint")
+    links = spark.createDataFrame([(1, 0, 2, 9, 0.9), (1, 0, 3, 3, 0.5), (1, 0, 4, 1, 0.0)], "contig_id bigint, contig_end int, bin bigint, n_links bigint, second_share double")
+    dropped = mapping.filter_bins(mapping.coverage_bins(x), links)
+    assert sorted(r.bin for r in dropped.collect()) == [2, 3]
+    assert mapping.without_bins(x, dropped).count() == x.count() - 50
 
 
 def test_overlaps(spark):
@@ -115,7 +175,7 @@ def test_linking(spark):
     contigs = spark.createDataFrame([(i, "A" * (1000 - i)) for i in range(1, 8)], "contig_id bigint, seq string")
     edges = [(1, 2, 0, 9, 0, 5.0), (2, 3, 1, 7, 0, 4.0), (5, 6, 0, 4, 0, 1.0), (5, 7, 0, 4, 0, 1.0)]
     got = scaffold.link(spark.createDataFrame(edges, "c1 bigint, c2 bigint, best int, n_best int, n_second int, gap double"), contigs)
-    assert [(r.ord, r.contig_id, r.orient) for r in got.where("scaffold_id = 1").orderBy("ord").collect()] == [(1, 1, 0), (2, 2, 0), (3, 3, 1)]
+    assert [(r["ord"], r.contig_id, r.orient) for r in got.where("scaffold_id = 1").orderBy("ord").collect()] == [(1, 1, 0), (2, 2, 0), (3, 3, 1)]
     assert got.where("contig_id in (5, 6, 7)").count() == 0
 
 

@@ -29,7 +29,9 @@ def test_correction_and_decision():
     assert paths.decide([("ACG", 11), ("ATG", 1)]) == ("A", 0, True)
     assert paths.decide([("ACGTA", 6), ("CATGC", 5)]) == ("A", 5, False)
     assert paths.decide([]) == (None, 0, False)
-    assert paths.shift_of("ACGTACGT", "GTACGTAA", mismatches=1) == 2
+    assert paths.shift_of("ACGTACGT", "GTACGTAA", mismatches=1) == (2, 1, 0)
+    assert paths.shift_of("GTACGTAA", "ACGTACGT") == (2, 1, 1) and paths.shift_of("GGGGTTTT", "ACGGGGTT", mismatches=0) == (2, 2, 0)
+    assert paths.shift_of("A", "CC", mismatches=0) is None and paths.shift_of("", "A") is None
 
 
 def test_followed_path():

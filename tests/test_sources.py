@@ -103,8 +103,17 @@ def test_whole_pipeline(spark, tmp_path):
     seqs = [r.seq for r in spark.read.parquet(f"{out}/contigs").collect()]
     assert all(s in g or s in g.translate(TURN)[::-1] for s in seqs)
     half = fastx_file(tmp_path, g)
-    s = pipeline.scaffolds(spark, out, [half], 240.0, 20.0).collect()
-    assert sorted(r.n_contigs for r in s) == [2]
+    whole = {g, g.translate(TURN)[::-1]}
+    (s,) = pipeline.scaffolds(spark, out, [half], 240.0, 20.0).collect()
+    assert s.n_contigs == 2 and s.seq in whole  # the 30 bases between are filled in
+    (s,) = pipeline.scaffolds(spark, out, [half], 240.0, 20.0, fill_gaps=False, name="open").collect()
+    assert s.n_contigs == 2 and "N" in s.seq and len(s.seq) == pytest.approx(1500, abs=20)
+    assert sum(1 for r in spark.read.text(f"{out}/open.fa").collect() if r.value.startswith(">")) == 1
+    assert spark.read.csv(f"{out}/overlaps.txt", sep="\t").count() == 2 and spark.read.text(f"{out}/layout.txt").count() > 100
+    with pytest.raises(SystemExit):
+        cli.main(["sf", "-g", str(tmp_path / "nowhere")])
+    again = cli.main(["sf", "-g", out, "-mf", f"{out}/match_info", "-gf", "n", "-s", "500", "-o", "again"])
+    assert again["scaffolds"]["max_len"] >= 1400 and (tmp_path / "out" / "again_scaffolds.fa").exists()
 
 
 def fastx_file(tmp_path, g):
