@@ -97,6 +97,20 @@ def window_counts(votes: DataFrame, read_len: int) -> DataFrame:
     return x.withColumns(counts).drop("_r", "_s", "_gap")
 
 
+def tail_state(votes: DataFrame, placements: DataFrame, contigs: DataFrame, read_len: int) -> DataFrame:
+    """votes (contig_id, pos, se_max, se_sec, pe_max, pe_sec) with what lies behind each position: covered (a placed read ends here), tail
+    (positions since the last such end) and ratio (read ends of the last read_len positions against the mean of the contig)."""
+    ends = placements.groupBy("contig_id", (F.col("contig_pos") + F.col("seqlen") - 1).alias("pos")).agg(F.count(F.lit(1)).alias("n_ends"))
+    total = placements.groupBy("contig_id").agg(F.count(F.lit(1)).alias("total"))
+    x = votes.join(ends, ["contig_id", "pos"], "left").fillna(0, ["n_ends"]).join(total, "contig_id").join(contigs.select("contig_id", F.length("seq").alias("clen")), "contig_id")
+    w = Window.partitionBy("contig_id").orderBy("pos")
+    covered = F.col("n_ends") > 0
+    last = F.last(F.when(covered, F.col("pos")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    near = F.sum("n_ends").over(w.rangeBetween(-(read_len - 1), 0))
+    ratio = near * F.col("clen") / (F.col("total") * F.least(F.lit(read_len), F.col("clen")))
+    return x.withColumns({"covered": covered, "tail": (F.col("pos") - F.coalesce(last, F.lit(0))).cast("bigint"), "ratio": ratio}).drop("n_ends", "total", "clen")
+
+
 #: State of the extension at a position, with the value it has when a caller doesn't track it.
 STATE = {"length": 0, "turn": 0, "tail": 0, "ratio": 1.0, "navi": 0, "pre_navi": 0, "n_paths": 1, "path_max": 1, "path_second": 0, "path_left": 1000, "tandem_ok": False, "tandem_sec": 0, "tandem_max": 1, "tandem_agrees": True, "navi_is_max": False, "single_pe": False, "path_agrees": True, "path_share": 1.0, "pe_known": True}
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..params import DEFAULT
 
 MOST = 20
-SCHEMA = "key bigint, path_no int, seq string, support int, n_incorrect int, first_base string, decision boolean"
+SCHEMA = "key bigint, path_no int, n_paths int, seq string, support bigint, n_incorrect int, first_base string, n_max bigint, n_second bigint, total bigint, decision boolean"
 
 
 def by_prefix(tails: list[tuple[str, int]], mismatches: int = 0, merge_equal: bool = True) -> list[tuple[str, int]]:
@@ -88,7 +88,9 @@ def candidate_paths(tails: DataFrame, key: str = "key", tail: str = "tail") -> D
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         paths = by_prefix(corrected(list(zip(pdf["tail"], pdf["n"].astype(int)))))
         base, wrong, ok = decide(paths)
-        return pd.DataFrame([(int(pdf["key"].iloc[0]), i + 1, t, n, wrong, base, ok) for i, (t, n) in enumerate(paths)], columns=["key", "path_no", "seq", "support", "n_incorrect", "first_base", "decision"])
+        votes = sorted(columns(paths)[0].values(), reverse=True)
+        rest = (wrong, base, votes[0], votes[1] if len(votes) > 1 else 0, sum(votes), ok)
+        return pd.DataFrame([(int(pdf["key"].iloc[0]), i + 1, len(paths), t, n, *rest) for i, (t, n) in enumerate(paths)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     per = tails.where(F.length(tail) > 0).groupBy(F.col(key).cast("bigint").alias("key"), F.col(tail).alias("tail")).agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("key").applyInPandas(run, SCHEMA)

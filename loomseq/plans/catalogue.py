@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases
-from ..operators import active, assemble, kmers, links, mapping, overlap, pairs, parse, paths, quality, scaffold, stats, votes
+from ..functions.scratch import written
+from ..operators import active, assemble, gaps, kmers, links, mapping, model, overlap, pairs, parse, paths, quality, scaffold, stats, votes
 from ..params import DEFAULT
 from ..sources import sinks
 from . import views as v
@@ -90,16 +91,20 @@ def read_dictionary(spark, d):
 
 
 @_query(
-    f"""WITH {v.VALID}, cut AS (SELECT rid, seq, substr(seq, 1, 25) AS w FROM good WHERE length(seq) >= 25)
-SELECT rid, reverse(translate(seq, 'ACGT', 'TGCA')) AS reverse_seq,
- CAST(list_sum([(strpos('ACGT', substr(w, CAST(i AS INT), 1)) - 1) * (1::BIGINT << CAST(2 * (25 - i) AS INT)) FOR i IN range(1, 26)]) AS BIGINT) AS packed,
+    f"""WITH {v.VALID}, cut AS (SELECT rid, seq, CAST(p AS INT) AS pos, substr(seq, CAST(p AS INT), 25) AS w FROM (SELECT *, unnest(range(1, length(seq) + 1, 25)) AS p FROM good))
+SELECT rid, pos, reverse(translate(w, 'ACGT', 'TGCA')) AS reverse_seq,
+ CAST(list_sum([(strpos('ACGT', substr(w, CAST(i AS INT), 1)) - 1) * (1::BIGINT << CAST(2 * (length(w) - i) AS INT)) FOR i IN range(1, length(w) + 1)]) AS BIGINT) AS packed,
  w AS unpacked,
  CAST(list_reduce([CAST(strpos('ACGT', c) - 1 AS HUGEINT) FOR c IN string_split(w, '')], lambda h, b: (h * 33 + b) % 18446744073709551616, CAST(5381 AS HUGEINT)) % 15728681 AS BIGINT) AS bucket FROM cut"""
 )
 def sequence_scalars(spark, d):
-    w = F.substring("seq", 1, 25)
-    code = bases.pack2(w)
-    return v.valid(spark, d).where("length(seq) >= 25").select("rid", bases.revcomp(F.col("seq")).alias("reverse_seq"), code.alias("packed"), bases.unpack2(code, 25).alias("unpacked"), bases.shift_hash(w, 15_728_681).alias("bucket"))
+    """Every read in pieces of 25 bases, the last one shorter."""
+    x = v.valid(spark, d).where("seq <> ''").select("rid", "seq", F.explode(F.sequence(F.lit(1), F.length("seq"), F.lit(25))).alias("pos"))
+    x = x.select("rid", "pos", F.substring(F.col("seq"), F.col("pos"), F.lit(25)).alias("w"))
+    code = bases.pack2(F.col("w"))
+    text = F.translate(F.expr("lpad(conv(cast(packed as string), 10, 4), length(w), '0')"), "0123", "ACGT")
+    x = x.withColumn("packed", code)
+    return x.select("rid", "pos", bases.revcomp(F.col("w")).alias("reverse_seq"), "packed", text.alias("unpacked"), bases.shift_hash(F.col("w"), 15_728_681).alias("bucket"))
 
 
 @_query(f"WITH {v.READS} SELECT rid, length(seq) - length(translate(seq, 'Nn.', '')) AS n_unknown, translate(seq, 'Nn.', 'CCC') AS replaced, round((length(seq) - length(replace(seq, 'A', ''))) / length(seq), 6) AS share_a FROM reads WHERE seq <> ''")
@@ -259,12 +264,7 @@ def coverage_bins(spark, d):
 def coverage_bins_dropped(spark, d):
     """Bins that fall to the coverage rule, with the partner contigs of the mates in each bin."""
     u = v.half_placements(spark, d)
-    p = links.end_pairs(u).withColumn("bin", F.floor((F.col("pos1") - 1) / DEFAULT.coverage_bin))
-    n = p.groupBy("c1", "e1", "bin", "c2").agg(F.count(F.lit(1)).alias("n"))
-    top = F.array_sort(F.collect_list(-F.col("n")))  # one number a partner contig of a bin of 30 bases
-    n = n.groupBy("c1", "e1", "bin").agg(F.count(F.lit(1)).alias("n_links"), top.alias("t"))
-    n = n.select(F.col("c1").alias("contig_id"), F.col("e1").alias("contig_end"), "bin", "n_links", F.when(F.size("t") > 1, F.get("t", F.lit(1)) / F.col("t")[0]).otherwise(0.0).alias("second_share"))
-    return mapping.filter_bins(mapping.coverage_bins(u), n)
+    return mapping.filter_bins(mapping.coverage_bins(u), mapping.bin_links(links.end_pairs(u)))
 
 
 @_query(f"WITH {v.UNIQUE}, {v.CONTIGS}, per AS (SELECT contig_id, min(contig_pos) AS lo, max(contig_pos + seqlen - 1) AS hi FROM uniq GROUP BY contig_id) SELECT contig_id, CAST(coalesce(lo - 1, clen) AS INT) AS bare5, CAST(coalesce(greatest(clen - hi, 0), clen) AS INT) AS bare3 FROM ctg LEFT JOIN per USING (contig_id)")
@@ -388,35 +388,71 @@ def corrected_bases(spark, d):
 
 
 _HAM = "len([1 FOR i IN range(1, {n} + 1) IF substr({a}, CAST(i AS INT), 1) <> substr({b}, CAST(i AS INT), 1)])"
-_SHIFT = " ".join(f"WHEN {_HAM.format(a=f'substr(a, {s + 1})', b='b', n=f'least(length(a) - {s}, length(b))')} <= 1 OR {_HAM.format(a='a', b=f'substr(b, {s + 1})', n=f'least(length(b) - {s}, length(a))')} <= 1 THEN {s}" for s in range(11))
 
 
-@_query(f"WITH {v.VALID}, x AS (SELECT rid, substr(seq, 1, 30) AS a, substr(seq, CAST(1 + rid % 13 AS INT), 30) AS b FROM good WHERE length(seq) >= 50) SELECT rid, CASE {_SHIFT} END AS shift FROM x")
-def shift_distances(spark, d):
-    x = v.valid(spark, d).where("length(seq) >= 50").select("rid", F.substring("seq", 1, 30).alias("a"), F.substring(F.col("seq"), (1 + F.col("rid") % 13).cast("int"), F.lit(30)).alias("b"))
-    return x.select("rid", votes.shift_distance(F.col("a"), F.col("b")).alias("shift"))
+def _shift_sql() -> str:
+    out = []
+    for kind, shift in ((k, s) for k in (1, 2) for s in range(11)):
+        a, b = (f"substr(a, {shift + 1})", "b") if kind == 1 else ("a", f"substr(b, {shift + 1})")
+        n = f"least(length({a}), length({b}))"
+        ham = _HAM.format(a=a, b=b, n=n)
+        out.append(f"WHEN {n} > 0 AND {ham} <= 1 THEN ({shift}, {kind}, {ham})")
+    return "CASE " + " ".join(out) + " END"
 
 
 @_query(
-    f"""WITH {v.PILE} SELECT contig_id, pos, CASE WHEN n_max = 0 THEN false WHEN n_second > 0 AND (n_max - n_second < 2 OR n_second > 4 OR (n_second >= 2 AND n_second / n_max >= 0.6)) THEN false ELSE true END AS extend FROM winners"""
+    f"""WITH {v.ACROSS}, x AS (SELECT rid, tail AS a, lag(tail) OVER (PARTITION BY contig_id ORDER BY rid) AS b FROM across),
+y AS (SELECT rid, {_shift_sql()} AS s FROM x WHERE b IS NOT NULL) SELECT rid, CAST(s[1] AS INT) AS shift, CAST(s[2] AS INT) AS kind, CAST(s[3] AS INT) AS mismatches FROM y"""
 )
-def extension_gate(spark, d):
-    w = votes.winners(_votes(_placed_seqs(spark, d)))
-    x = w.withColumns({"navi": F.lit(0), "tail": F.lit(0), "ratio": F.lit(1.0), "length": F.lit(1000), "n_paths": F.lit(1), "path_max": F.lit(1), "path_second": F.lit(0), "score": F.lit(-1.0)})
-    return x.select("contig_id", "pos", votes.single_end_gate(100, 4.0).alias("extend"))
+def shift_distances(spark, d):
+    """What each read across the middle of a contig says beyond it, shifted against what the read before it says."""
+    from pyspark.sql import Window
 
+    x = _across(spark, d).select("rid", F.col("tail").alias("a"), F.lag("tail").over(Window.partitionBy("contig_id").orderBy("rid")).alias("b")).where("b is not null")
+    return x.withColumn("s", votes.shift_distance(F.col("a"), F.col("b"))).select("rid", "s.shift", "s.kind", "s.mismatches")
+
+
+def _mated(spark, d):
+    return pairs.mates(v.unique(spark, d)).where("contig_id_1 = contig_id_2").select(F.explode(F.array("rid_1", "rid_2")).alias("rid"))
+
+
+def _state(spark, d):
+    """Votes of all reads and of mated ones at every position, with bare tail and density."""
+    seqs = written(_placed_seqs(spark, d), "placed-seqs")
+    se = votes.winners(_votes(seqs)).select("contig_id", "pos", F.col("n_max").alias("se_max"), F.col("n_second").alias("se_sec"))
+    pe = votes.winners(_votes(seqs, _mated(spark, d))).select("contig_id", "pos", F.col("n_max").alias("pe_max"), F.col("n_second").alias("pe_sec"))
+    x = se.join(pe, ["contig_id", "pos"], "left").fillna(0, ["pe_max", "pe_sec"])
+    return active.tail_state(x, v.unique(spark, d), v.contigs(spark, d), 100)
+
+
+def _kernel_sql(model: votes.KernelModel, f: str) -> str:
+    """Score of the polynomial kernel over the list f."""
+    scaled = [f"({k} * ({f}[{i + 1}] + ({s})))" for i, (s, k) in enumerate(zip(model.shift, model.factor))]
+    out = []
+    for a, vec in zip(model.alpha, model.vectors):
+        dot = "(" + " + ".join(f"({x}) * {y}" for x, y in zip(vec, scaled)) + ")"
+        out.append(f"({a}) * {dot} * (1 + {dot}) * (1 + {dot})")
+    return " + ".join([f"({model.bias})", *out])
 
-@_query(f"WITH {v.PILE}, x AS (SELECT *, pos % 5 AS i FROM winners) SELECT contig_id, pos, CASE WHEN i > 3 THEN false WHEN n_max = 0 THEN false WHEN (n_second / n_max > 0.7 AND i > 1 AND total > 10) OR (n_max / total < 0.6 AND i > 2) THEN false ELSE true END AS by_paths, CASE WHEN i > 3 THEN false WHEN n_second / nullif(n_max, 0) > 0.8 AND i > 1 AND total > 10 THEN false WHEN n_second / nullif(n_max, 0) > 0.7 AND i > 2 THEN false ELSE true END AS by_tandem FROM x")
-def path_decisions(spark, d):
-    w = votes.winners(_votes(_placed_seqs(spark, d))).where("n_max > 0 or true").withColumn("n_incorrect", F.col("pos") % 5).withColumn("n_paths", F.lit(2))
-    safe = w.withColumn("n_max", F.when(F.col("n_max") > 0, F.col("n_max")))
-    return safe.select("contig_id", "pos", F.when((F.col("n_incorrect") <= 3) & F.col("n_max").isNull(), False).otherwise(votes.path_decision()).alias("by_paths"), votes.tandem_decision().alias("by_tandem"))
+
+_SCORED = f"""{v.STATE}, scored AS (SELECT *, {_kernel_sql(model.PAIRED, "[CAST(pe_max AS DOUBLE), CAST(pe_sec AS DOUBLE), ratio, CAST(tail AS DOUBLE)]")} AS score FROM state)"""
+
+
+def _scored(spark, d):
+    f = F.array(*[F.col(c).cast("double") for c in ("pe_max", "pe_sec", "ratio", "tail")])
+    return _state(spark, d).withColumn("score", votes.decision_score(f, model.PAIRED))
+
+
+@_query(f"WITH {_SCORED} SELECT contig_id, pos, round(score, 4) AS score, score < 0 AS extend FROM scored WHERE abs(score) > 0.000001")
+def kernel_scores(spark, d):
+    """The scorer over votes of mates, read density and bare tail at every position."""
+    return _scored(spark, d).where("abs(score) > 0.000001").select("contig_id", "pos", F.round("score", 4).alias("score"), (F.col("score") < 0).alias("extend"))
 
 
 _MODEL = votes.KernelModel(((0.5, 0.1, 0.2, 0.3), (0.1, 0.4, 0.3, 0.2), (0.2, 0.2, 0.9, 0.1)), (1.5, -2.0, 0.75), -0.25, (1.0, 1.0, 1.0, 1.0), (0.5, 0.5, 0.5, 0.5))
 
 
-def _kernel_sql(kind: str) -> str:
+def _kinds_sql(kind: str) -> str:
     out = []
     for a, vec in zip(_MODEL.alpha, _MODEL.vectors):
         dot = "(" + " + ".join(f"{x} * f[{i + 1}]" for i, x in enumerate(vec)) + ")"
@@ -425,12 +461,45 @@ def _kernel_sql(kind: str) -> str:
     return " + ".join([str(_MODEL.bias), *out])
 
 
-@_query("WITH x AS (SELECT vec_id, [0.5 * (CAST(e AS DOUBLE) + 1.0) FOR e IN embedding[1:4]] AS f FROM embeddings) SELECT vec_id, " + ", ".join(f"round({_kernel_sql(k)}, 6) AS {k}" for k in ("linear", "rbf", "polynomial")) + " FROM x")
-def kernel_scores(spark, d):
+@_query("WITH x AS (SELECT vec_id, [0.5 * (CAST(e AS DOUBLE) + 1.0) FOR e IN embedding[1:4]] AS f FROM embeddings) SELECT vec_id, " + ", ".join(f"round({_kinds_sql(k)}, 6) AS {k}" for k in ("linear", "rbf", "polynomial")) + " FROM x")
+def kernel_kinds(spark, d):
+    """The three kernels over vectors of four numbers."""
     f = F.transform(F.slice("embedding", 1, 4), lambda e: e.cast("double"))
     return v.table(spark, d, "embeddings").select("vec_id", *[F.round(votes.decision_score(f, _MODEL, k), 6).alias(k) for k in ("linear", "rbf", "polynomial")])
 
 
+@_query(
+    f"""WITH {_SCORED}, h AS (SELECT key AS contig_id, n_paths, n_max AS path_max, n_second AS path_second FROM (WITH {v.PATHS} SELECT h.*, n_paths FROM heads h JOIN (SELECT key, count(*) AS n_paths FROM ways GROUP BY key) USING (key))),
+x AS (SELECT s.*, coalesce(n_paths, 0) AS n_paths, coalesce(path_max, 0) AS path_max, coalesce(path_second, 0) AS path_second FROM scored s LEFT JOIN h USING (contig_id))
+SELECT contig_id, pos,
+ CASE WHEN tail > 30 OR ratio < 0.03 THEN false WHEN pos < 80 AND n_paths >= 2 AND path_max < 3 * path_second THEN false WHEN se_sec > 0 AND score >= 0 THEN false
+  WHEN se_sec > 0 AND (se_max - se_sec < 2 OR se_sec > 4 OR (se_sec >= 2 AND se_sec / se_max >= 0.6)) THEN false WHEN se_max = 0 THEN false ELSE true END AS single,
+ CASE WHEN (ratio < 0.03 AND n_paths >= 2) OR (n_paths >= 2 AND tail > 50 AND ratio < 0.4 AND pe_max <= 5) OR pe_max = 0 THEN false
+  WHEN pe_sec > 0 THEN CASE WHEN pe_max / pe_sec >= 3 THEN true WHEN pe_sec / pe_max >= 0.25 AND pe_max < 1.2 THEN false ELSE score < 0 END ELSE true END AS paired
+ FROM x WHERE abs(score) > 0.000001"""
+)
+def extension_gate(spark, d):
+    """Both decision cascades at every position: votes, tail, density and score there, candidate paths of the contig."""
+    h = paths.candidate_paths(_across(spark, d).select(F.col("contig_id").alias("key"), "tail")).where("path_no = 1")
+    h = h.select(F.col("key").alias("contig_id"), "n_paths", F.col("n_max").alias("path_max"), F.col("n_second").alias("path_second"))
+    x = _scored(spark, d).join(h, "contig_id", "left").fillna(0, ["n_paths", "path_max", "path_second"]).where("abs(score) > 0.000001")
+    x = x.withColumns({"navi": F.lit(0), "length": F.col("pos")})
+    single = x.withColumns({"n_max": F.col("se_max"), "n_second": F.col("se_sec")}).withColumn("single", votes.single_end_gate(100, 4.0))
+    both = single.withColumns({"n_max": F.col("pe_max"), "n_second": F.col("pe_sec")}).withColumn("paired", votes.paired_gate(4.0))
+    return both.select("contig_id", "pos", "single", "paired")
+
+
+@_query(
+    f"""WITH {v.PATHS}, x AS (SELECT h.*, n_incorrect, (SELECT count(*) FROM ways w WHERE w.key = h.key) AS n_paths FROM heads h JOIN wrong USING (key))
+SELECT key, CASE WHEN n_incorrect > 3 THEN false WHEN (n_second / n_max > 0.7 AND n_incorrect > 1 AND total > 10) OR (n_max / total < 0.6 AND n_incorrect > 2) THEN false ELSE true END AS by_paths,
+ CASE WHEN n_paths = 1 THEN true WHEN n_incorrect > 3 THEN false WHEN n_second / n_max > 0.8 AND n_incorrect > 1 AND total > 10 THEN false WHEN n_second / n_max > 0.7 AND n_incorrect > 2 THEN false ELSE true END AS by_tandem FROM x"""
+)
+def path_decisions(spark, d):
+    """The decisions over the candidate paths at the middle of each contig."""
+    x = paths.candidate_paths(_across(spark, d).select(F.col("contig_id").alias("key"), "tail")).where("path_no = 1")
+    return x.select("key", votes.path_decision().alias("by_paths"), votes.tandem_decision().alias("by_tandem"))
+
+
 # --- statistics and windows ---
 
 
@@ -462,15 +531,13 @@ def uncovered_runs(spark, d):
 
 
 @_query(
-    f"""WITH {v.PILE}, x AS (SELECT contig_id, pos, n_max, n_second FROM winners)
-SELECT contig_id, pos, count(*) FILTER (n_max = 1) OVER (PARTITION BY contig_id ORDER BY pos RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) AS c30_single, CAST(0 AS BIGINT) AS c50_pe,
- count(*) FILTER (n_second >= 0.6 * n_max AND n_second > 0) OVER w AS c100_ambiguous,
- count(*) FILTER (n_max = 1) OVER (PARTITION BY contig_id ORDER BY pos RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) >= 30 OR count(*) FILTER (n_second >= 0.6 * n_max AND n_second > 0) OVER w >= 3 AS stop
- FROM x WINDOW w AS (PARTITION BY contig_id ORDER BY pos RANGE BETWEEN 99 PRECEDING AND CURRENT ROW)"""
+    f"""WITH {v.STATE}, x AS (SELECT contig_id, pos, pe_max = 0 AND se_max = 1 AS single, pe_max > 0 AS pe, pe_sec + se_sec >= 0.6 * (pe_max + se_max) AND pe_sec + se_sec > 0 AS amb FROM state),
+y AS (SELECT contig_id, pos, count(*) FILTER (single) OVER (PARTITION BY contig_id ORDER BY pos RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) AS c30_single, count(*) FILTER (pe) OVER (PARTITION BY contig_id ORDER BY pos RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) AS c50_pe,
+ count(*) FILTER (amb) OVER (PARTITION BY contig_id ORDER BY pos RANGE BETWEEN 99 PRECEDING AND CURRENT ROW) AS c100_ambiguous FROM x)
+SELECT *, c30_single >= 30 OR c100_ambiguous >= 3 AS stop FROM y"""
 )
 def tail_guards(spark, d):
-    w = votes.winners(_votes(_placed_seqs(spark, d)))
-    return stats.tail_guards(w.select("contig_id", "pos", F.lit(0).alias("pe_max"), F.lit(0).alias("pe_sec"), F.col("n_max").alias("se_max"), F.col("n_second").alias("se_sec")))
+    return stats.tail_guards(_state(spark, d))
 
 
 # --- overlaps, chains, scaffolds, assembly ---
@@ -504,7 +571,12 @@ def _edge_seqs(spark, d, reach=200):
 def aligned_overlaps(spark, d):
     x = _edge_seqs(spark, d).withColumn("a", overlap.dovetail(F.expr("right(l, 200)"), F.expr("left(r, 200)")))
     exact = overlap.exact_overlap(F.col("l"), F.col("r"), F.col("g"), 200)
-    cut = overlap.cut_retry(F.expr("right(l, 200)"), F.expr("left(r, 200)"), F.lit(5), F.lit(9), F.col("g"), 100)
+    bare = mapping.uncovered_end(v.unique(spark, d), v.contigs(spark, d))
+    for side in "12":
+        x = x.join(bare.select(F.col("contig_id").alias(f"c{side}"), F.col("bare5").alias(f"five{side}"), F.col("bare3").alias(f"three{side}")), f"c{side}", "left")
+    left = F.when(F.col("best").isin(2, 3), F.col("five1")).otherwise(F.col("three1"))
+    right = F.when(F.col("best").isin(1, 2), F.col("three2")).otherwise(F.col("five2"))
+    cut = overlap.cut_retry(F.expr("right(l, 200)"), F.expr("left(r, 200)"), left, right, F.col("g"), 100)
     return x.withColumn("exact", exact).select("c1", "e1", "c2", "e2", "exact", F.col("a.overlap").alias("aligned"), F.col("a.mismatches").alias("mismatches"), cut["round"].alias("cut_round"), overlap.decide(F.col("g"), F.col("n_best"), 20.0, F.col("exact"), F.col("a.overlap"), F.col("a.mismatches")).alias("decision"))
 
 
@@ -512,15 +584,29 @@ def _chain(spark, d):
     return scaffold.link(links.sane(_ranked(spark, d), _coverage(spark, d)), v.contigs(spark, d))
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE {v.RANKED}, {v.CONTIGS}, cv AS (SELECT contig_id, max(greatest(cov_end5, cov_end3)) AS cov FROM contigs GROUP BY contig_id),
+sane AS (SELECT CAST(c1 AS BIGINT) AS c1, CAST(c2 AS BIGINT) AS c2, best, n_best, n_second, gap FROM ranked LEFT JOIN cv a ON a.contig_id = c1 LEFT JOIN cv b ON b.contig_id = c2
+ WHERE n_best > 0 AND c1 <> c2 AND NOT coalesce(gap < -500 OR (gap < -200 AND greatest(coalesce(a.cov, 0), coalesce(b.cov, 0)) > 2), false)),
+turned AS (SELECT * FROM sane UNION ALL SELECT c2, c1, CASE best WHEN 0 THEN 2 WHEN 2 THEN 0 ELSE best END, n_best, n_second, gap FROM sane),
+strands AS (SELECT 2 * c1 + CAST(best IN (2, 3) AS BIGINT) AS src, 2 * c2 + CAST(best IN (1, 2) AS BIGINT) AS dst, max(n_best) AS n_pairs, min(n_second) AS n_second, min(gap) AS gap FROM turned
+ WHERE c1 IN (SELECT contig_id FROM ctg) AND c2 IN (SELECT contig_id FROM ctg) GROUP BY c1, c2, best),
+firsts AS (SELECT *, greatest(n_second, coalesce(next, 0)) AS rival FROM (SELECT *, row_number() OVER w AS rn, lead(n_pairs) OVER w AS next FROM strands WINDOW w AS (PARTITION BY src ORDER BY n_pairs DESC, dst)) WHERE rn = 1),
+clear AS (SELECT * FROM firsts WHERE rival <= n_pairs * 0.4),
+links AS MATERIALIZED (SELECT a.src, a.dst, a.gap, a.n_pairs, a.rival <= 0.1 * a.n_pairs AND m.rival <= 0.1 * m.n_pairs AS alone FROM clear a JOIN clear m ON m.src = xor(a.dst, 1) AND m.dst = xor(a.src, 1)),
+walk(head, node, place, gap, n_pairs, alone) AS (SELECT DISTINCT src, src, 1, CAST(NULL AS DOUBLE), CAST(0 AS BIGINT), CAST(NULL AS BOOLEAN) FROM links WHERE src NOT IN (SELECT dst FROM links)
+ UNION ALL SELECT head, dst, place + 1, l.gap, CAST(l.n_pairs AS BIGINT), l.alone FROM walk JOIN links l ON l.src = node),
+full_ AS (SELECT w.*, node // 2 AS contig_id, CAST(node % 2 AS INT) AS orient, clen FROM walk w JOIN ctg ON contig_id = node // 2),
+per AS (SELECT head, min(contig_id) AS scaffold_id FROM full_ GROUP BY head HAVING arg_max(orient, (clen, -contig_id, -orient)) = 0 AND count(*) = count(DISTINCT contig_id) AND bool_or(alone))
+SELECT scaffold_id, CAST(place AS INT) AS ord, contig_id, orient, gap, n_pairs FROM full_ JOIN per USING (head)"""
+)
 def chains(spark, d):
     return _chain(spark, d)
 
 
 def _rows(spark, d):
-    from ..functions.scratch import written
-
-    return written(overlap.neighbour_overlaps(written(_chain(spark, d), "chain"), v.contigs(spark, d), 20.0), "chain-rows")
+    bare = mapping.uncovered_end(v.unique(spark, d), v.contigs(spark, d))
+    return written(overlap.neighbour_overlaps(written(_chain(spark, d), "chain"), v.contigs(spark, d), 20.0, bare=bare), "chain-rows")
 
 
 @_query()
@@ -558,19 +644,9 @@ def assembled_contigs(spark, d):
 
 @_query()
 def filled_gaps(spark, d):
-    """Gaps between neighbours of a chain, filled from reads placed near the gap and their unplaced mates."""
-    from pyspark.sql import Window
-
-    rows = _rows(spark, d)
-    c = v.contigs(spark, d).select("contig_id", F.upper("seq").alias("seq"))
-    x = rows.join(c, "contig_id").withColumn("seq", overlap.orient(F.col("seq"), F.col("orient") == 1))
-    w = Window.partitionBy("scaffold_id").orderBy("ord")
-    x = x.withColumn("left_contig", F.lag("contig_id").over(w)).withColumn("left_end", F.expr("right(lag(seq) over (partition by scaffold_id order by ord), 200)"))
-    gaps = x.where("left_contig is not null and decision = 'gap'").select(F.xxhash64("scaffold_id", "ord").alias("gap_id"), "left_end", F.expr("left(seq, 200)").alias("right_end"), "gap", F.array("left_contig", "contig_id").alias("cs"))
-    p = v.unique(spark, d).where("contig_end >= 0").select("contig_id", F.explode(F.array(F.col("rid"), F.col("rid") + F.when(F.col("rid") % 2 == 1, 1).otherwise(-1))).alias("rid"))
-    near = gaps.select("gap_id", F.explode("cs").alias("contig_id")).join(p, "contig_id").select("gap_id", "rid").distinct().join(v.valid(spark, d).select("rid", "seq"), "rid")
-    per = near.groupBy("gap_id").agg(F.array_sort(F.collect_list(F.struct("rid", "seq"))).alias("reads"))
-    return assemble.fill_gaps(gaps.join(per, "gap_id", "left"))
+    """Gaps between neighbours of a chain, filled from both sides by reads placed near them and their mates."""
+    t = written(gaps.gap_table(_rows(spark, d), v.contigs(spark, d)), "gaps")
+    return assemble.fill_gaps(t.join(gaps.near_reads(t, v.unique(spark, d), v.valid(spark, d)), "gap_id", "left"), sdev=20.0)
 
 
 @_query(f"WITH {v.UNIQUE} SELECT contig_id, bool_or(matchlen >= 80) AS has_long FROM uniq GROUP BY contig_id")
@@ -583,10 +659,24 @@ def mean_fragments(spark, d):
     return paths.mean_fragments(pairs.fragments(v.unique(spark, d))).withColumn("mean_frag", F.round("mean_frag", 6))
 
 
-@_query(f"WITH {v.KMERS} SELECT kmer, rid, pos FROM kmers SEMI JOIN (SELECT rid, pos, kmer FROM kmers WHERE pos = 1) USING (kmer, rid, pos)")
+@_query(f"WITH {v.KMERS}, {v.CONTIGS}, tips AS (SELECT contig_id, upper(right(seq, 25)) AS kmer FROM ctg WHERE clen >= 25) SELECT contig_id, kmer, rid, pos FROM tips JOIN kmers USING (kmer)")
+def kmer_lookup(spark, d):
+    """Postings of the last k-mer of each contig: the reads that could extend it."""
+    tips = v.contigs(spark, d).where("length(seq) >= 25").select("contig_id", F.upper(F.expr("right(seq, 25)")).alias("kmer"))
+    return tips.join(v.sampled(spark, d), "kmer").select("contig_id", "kmer", "rid", "pos")
+
+
+@_query(
+    f"""WITH {v.KMERS}, {v.UNIQUE}, {v.CONTIGS}, due AS (SELECT contig_id, rid, p.pos, upper(substr(c.seq, CAST(contig_pos + p.pos - 1 AS INT), 25)) AS kmer FROM uniq JOIN ctg c USING (contig_id) JOIN places p USING (rid) WHERE orientation = 0)
+SELECT contig_id, rid, count(*) AS n_due, count(k.rid) AS n_there FROM due LEFT JOIN kmers k USING (kmer, rid, pos) GROUP BY contig_id, rid"""
+)
 def posting_lookup(spark, d):
-    k = v.sampled(spark, d)
-    return k.join(k.where("pos = 1"), ["kmer", "rid", "pos"], "left_semi")
+    """For every read placed plus its k-mers as the contig has them, looked up in the index by (k-mer, read, position)."""
+    index = v.sampled(spark, d)
+    due = index.select("rid", "pos").join(v.unique(spark, d).where("orientation = 0").select("contig_id", "contig_pos", "rid"), "rid").join(v.contigs(spark, d), "contig_id")
+    due = due.select("contig_id", "rid", "pos", F.upper(F.substring(F.col("seq"), (F.col("contig_pos") + F.col("pos") - 1).cast("int"), F.lit(25))).alias("kmer"))
+    there = index.withColumn("there", F.lit(1))
+    return due.join(there, ["kmer", "rid", "pos"], "left").groupBy("contig_id", "rid").agg(F.count(F.lit(1)).alias("n_due"), F.count("there").alias("n_there"))
 
 
 @_query(f"WITH {v.RANKED}, x AS (SELECT c1, c2, max(n_best) AS n_pairs FROM ranked GROUP BY c1, c2) SELECT contig_id AS c1, c2, coalesce(n_pairs, 0) AS n_pairs FROM contigs LEFT JOIN x ON c1 = contig_id")
@@ -606,14 +696,6 @@ def end_placements(spark, d):
     return sinks.end_placements(v.unique(spark, d), v.contigs(spark, d), 200).select("rid", "contig_id", "contig_pos")
 
 
-@_query(f"WITH {v.PILE}, x AS (SELECT contig_id, base, sum(n_max) AS support FROM winners WHERE n_max > 0 GROUP BY ALL), r AS (SELECT contig_id, base, CAST(support AS BIGINT) AS support, row_number() OVER (PARTITION BY contig_id ORDER BY support DESC, base) AS rank FROM x) SELECT contig_id, base, support, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
-def ordered_support(spark, d):
-    from pyspark.sql import Window
-
-    w = votes.winners(_votes(_placed_seqs(spark, d))).where("n_max > 0").groupBy("contig_id", "base").agg(F.sum("n_max").alias("support"))
-    return w.withColumn("rank", F.row_number().over(Window.partitionBy("contig_id").orderBy(F.desc("support"), "base"))).where("rank <= 20")
-
-
 def _across(spark, d):
     """Reads that lie across the middle of their contig, with what they say beyond it."""
     size = v.contigs(spark, d).select("contig_id", F.floor(F.length("seq") / 2).cast("int").alias("half"))
@@ -621,30 +703,38 @@ def _across(spark, d):
     return x.withColumn("tail", F.expr("substring(oseq, half - contig_pos + 2, seqlen)"))
 
 
-@_query()
+@_query(f"WITH {v.PATHS} SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY support DESC, seq) AS INT) AS path_no, CAST(count(*) OVER (PARTITION BY key) AS INT) AS n_paths, seq, support, CAST(n_incorrect AS INT) AS n_incorrect, first_base, n_max, n_second, total, NOT (n_incorrect > 3 OR (n_second / n_max > 0.7 AND n_incorrect > 1 AND total > 10) OR (n_max / total < 0.6 AND n_incorrect > 2)) AS decision FROM ways JOIN heads USING (key) JOIN wrong USING (key)")
 def candidate_paths(spark, d):
     return paths.candidate_paths(_across(spark, d).select(F.col("contig_id").alias("key"), "tail"))
 
 
+@_query(f"WITH {v.PATHS}, r AS (SELECT key, seq, support, CAST(row_number() OVER (PARTITION BY key ORDER BY support DESC, seq) AS INT) AS rank FROM ways) SELECT * FROM r WHERE rank <= 20")
+def ordered_support(spark, d):
+    """The best 20 paths of each contig by support."""
+    x = paths.candidate_paths(_across(spark, d).select(F.col("contig_id").alias("key"), "tail"))
+    return x.where("path_no <= 20").select("key", "seq", "support", F.col("path_no").alias("rank"))
+
+
 @_query()
 def settled_reads(spark, d):
-    """Reads across the middle of their contig as active reads that have run to it, and those that end there."""
-    x = _across(spark, d).select("contig_id", "rid", "orientation", "seqlen", F.least(F.expr("half - contig_pos + 1"), F.col("seqlen")).alias("base_pos"), F.lit(0).alias("mismatches"), F.lit(1.0).alias("ratio"), F.col("half").alias("contig_len"))
-    x = x.withColumn("matched", F.col("base_pos")).withColumn("mated", F.lit(True)).withColumn("locked", F.lit(False)).withColumn("run", F.col("base_pos"))
-    return active.lock(active.unmate_failed(active.settle(x)), 2, 2.0).select("contig_id", "rid", "status", "mated", "locked")
+    """Every read that starts before the middle of its contig, as far as it has run there: matches and mismatches against the contig."""
+    c = v.contigs(spark, d).select("contig_id", F.upper("seq").alias("text"), F.floor(F.length("seq") / 2).cast("int").alias("half"))
+    x = _placed_seqs(spark, d).join(c, "contig_id").where("contig_pos <= half and length(oseq) > 0").withColumn("base_pos", F.least(F.expr("half - contig_pos + 1"), F.length("oseq")))
+    wrong = bases.hamming(F.expr("left(oseq, base_pos)"), F.expr("substring(text, contig_pos, base_pos)")).cast("int")
+    x = x.withColumn("mismatches", wrong).withColumn("matched", F.col("base_pos") - F.col("mismatches"))
+    x = x.select("contig_id", "rid", "orientation", F.length("oseq").alias("seqlen"), "base_pos", "matched", "mismatches", F.lit(1.0).alias("ratio"), F.col("half").alias("contig_len"))
+    x = x.withColumn("mated", F.lit(True)).withColumn("locked", F.lit(False)).withColumn("run", F.when(F.col("mismatches") == 0, F.col("base_pos")).otherwise(0))
+    return active.lock(active.unmate_failed(active.settle(x)), 2, 2.0).select("contig_id", "rid", "seqlen", "base_pos", "matched", "mismatches", "status", "mated", "locked")
 
 
 @_query()
 def stop_rules(spark, d):
-    """The guard rules at every position of the pile-up: mate votes and all votes, with placed read ends as support."""
-    seqs = _placed_seqs(spark, d)
-    mated = pairs.mates(v.unique(spark, d)).where("contig_id_1 = contig_id_2").select(F.explode(F.array("rid_1", "rid_2")).alias("rid"))
-    se = votes.winners(_votes(seqs)).select("contig_id", "pos", F.col("n_max").alias("se_max"), F.col("n_second").alias("se_sec"))
-    pe = votes.winners(_votes(seqs, mated)).select("contig_id", "pos", F.col("n_max").alias("pe_max"), F.col("n_second").alias("pe_sec"))
-    ends = v.unique(spark, d).select("contig_id", (F.col("contig_pos") + F.col("seqlen") - 1).alias("pos")).distinct().withColumn("covered", F.lit(True))
-    x = se.join(pe, ["contig_id", "pos"], "left").join(ends, ["contig_id", "pos"], "left").fillna(0, ["pe_max", "pe_sec"]).fillna(False, ["covered"])
-    x = active.with_state(active.window_counts(x, 100).withColumn("length", F.col("pos")))
-    return x.select("contig_id", "pos", active.stop_rule(100, 4.0, 240, 300).alias("rule"))
+    """The guard rules at every position of the pile-up: mate votes and all votes, read ends, bare tail, density, candidate paths."""
+    h = paths.candidate_paths(_across(spark, d).select(F.col("contig_id").alias("key"), "tail")).where("path_no = 1")
+    h = h.select(F.col("key").alias("contig_id"), "n_paths", F.col("n_max").alias("path_max"), F.col("n_second").alias("path_second"), (F.col("n_max") / F.col("total")).alias("path_share"))
+    x = _state(spark, d).join(h, "contig_id", "left").fillna({"n_paths": 1, "path_max": 1, "path_second": 0, "path_share": 1.0})
+    x = active.window_counts(x, 100).withColumns({"length": F.col("pos"), "path_agrees": F.col("path_max") > F.col("path_second"), "single_pe": F.col("pe_max") == 1})
+    return active.with_state(x).select("contig_id", "pos", active.stop_rule(100, 4.0, 240, 300).alias("rule"))
 
 
 @_query()

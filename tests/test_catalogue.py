@@ -1,4 +1,4 @@
-"""Every query of the core with an SQL twin gives the same rows; the others run and give a stable schema."""
+"""Every query of the core with an SQL twin gives the same rows; the others are held to what the tables say."""
 
 import pytest
 
@@ -19,14 +19,152 @@ def test_like_sql(spark, sf, con, name):
     assert not more and not less
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(SQL)))
-def test_runs(spark, sf, name):
-    df = catalogue.queries()[name](spark, sf)
-    assert df.count() >= 0 and df.columns
+# --- queries without a twin: what must hold of their rows, from the tables alone ---
+
+
+TURN = str.maketrans("ACGT", "TGCA")
+
+
+def turn(s):
+    return s.translate(TURN)[::-1]
+
+
+@pytest.fixture(scope="module")
+def contigs(con):
+    return {i: s.upper() for i, s in con.execute("SELECT contig_id, contigseq FROM contigs WHERE contigseq IS NOT NULL").fetchall()}
+
+
+@pytest.fixture(scope="module")
+def reads(spark, sf):
+    from loomseq.plans import views
+
+    return {r.rid: r.seq for r in views.valid(spark, sf).select("rid", "seq").collect()}
+
+
+@pytest.fixture(scope="module")
+def rows(spark, sf):
+    return sorted(catalogue.queries()["chain_overlaps"](spark, sf).collect(), key=lambda r: (r.scaffold_id, r["ord"]))
+
+
+def run(spark, sf, name):
+    return catalogue.queries()[name](spark, sf).collect()
+
+
+def test_chain_overlaps(rows, contigs):
+    before = None
+    for r in rows:
+        first = r["ord"] == 1
+        assert (r.decision == "start") == first and (first or r["ord"] == before["ord"] + 1 and r.scaffold_id == before.scaffold_id)
+        if r.decision == "merge" and r.exact:
+            a, b = (turn(contigs[x.contig_id]) if x.orient else contigs[x.contig_id] for x in (before, r))
+            a, b = a[: len(a) - r.cut_left], b[r.cut_right :]
+            assert a[-r.exact :] == b[: r.exact]
+        before = r
+    assert {r.decision for r in rows} >= {"start", "gap"}
+
+
+def test_scaffolds(spark, sf, rows, contigs):
+    got = run(spark, sf, "scaffolds")
+    chained = {r.contig_id for r in rows}
+    assert sorted(r.seq for r in got if r.n_contigs == 1 and r.scaffold_id not in chained) == sorted(s for i, s in contigs.items() if i not in chained)
+    for r in got:
+        assert r.len == len(r.seq)
+        inside = [x for x in rows if x.scaffold_id == r.scaffold_id]
+        if r.n_contigs > 1 and len(inside) == r.n_contigs and all(x.decision in ("start", "gap") for x in inside):
+            want = ""
+            for x in inside:
+                text = turn(contigs[x.contig_id]) if x.orient else contigs[x.contig_id]
+                want += ("" if x.decision == "start" else "N" * max(round(x.gap or 0), 2)) + text
+            assert r.seq == want
+    assert sum(r.n_contigs for r in got) == len(contigs)
+
+
+def test_merged_contigs(spark, sf, contigs):
+    got = run(spark, sf, "merged_contigs")
+    assert sorted(r.contig_id for r in got) == list(range(1, len(got) + 1)) and len(got) <= len(contigs)
+    assert sum(len(r.seq) for r in got) <= sum(map(len, contigs.values())) and all("N" * 50 not in r.seq for r in got)
+
+
+def test_weak_links(spark, sf, rows, contigs):
+    assert {(r.scaffold_id, r["ord"]) for r in run(spark, sf, "weak_links")} <= {(r.scaffold_id, r["ord"]) for r in rows if len(contigs[r.contig_id]) < 300}
+
+
+def test_aligned_overlaps(spark, sf):
+    got = run(spark, sf, "aligned_overlaps")
+    assert got and all(r.decision in ("merge", "cut", "gap", "break") and 0 <= r.cut_round <= 3 for r in got)
+
+
+def test_read_components(spark, sf, reads):
+    from loomseq.operators.assemble import minimizers
+    from loomseq.params import DEFAULT
+    from loomseq.plans import views
+
+    m = minimizers(views.valid(spark, sf).where("length(seq) >= 40"), DEFAULT.k, 16).collect()
+    up, by_key = {}, {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for r in m:
+        by_key.setdefault(r["key"], []).append(r.rid)
+    for ids in by_key.values():
+        for i in ids[1:]:
+            a, b = sorted((find(ids[0]), find(i)))
+            up[b] = a
+    want = {i: find(i) for ids in by_key.values() if len(ids) > 1 for i in ids}
+    assert {r.rid: r.component for r in run(spark, sf, "read_components")} == want
+
+
+def test_assembled_contigs(spark, sf, reads):
+    words = {s[i : i + 25] for s in reads.values() for i in range(len(s) - 24)}
+    got = run(spark, sf, "assembled_contigs")
+    assert got and all(len(r.seq) > 100 for r in got)
+    for r in got:
+        assert all(r.seq[i : i + 25] in words or turn(r.seq[i : i + 25]) in words for i in range(len(r.seq) - 24))
+
+
+def test_filled_gaps(spark, sf, rows):
+    got = run(spark, sf, "filled_gaps")
+    assert len(got) == sum(r.decision in ("gap", "cut") for r in rows)
+    assert all(r.state in ("merged", "gap", "break") and (r.state == "merged") == (r.fill is not None) for r in got)
+
+
+def test_settled_reads(spark, sf):
+    got = run(spark, sf, "settled_reads")
+    assert {r.status for r in got} <= {"assembling", "success", "failed"} and any(r.status == "success" for r in got)
+    assert all((r.status == "assembling") == (r.base_pos < r.seqlen) for r in got if r.mismatches <= 3) and all(r.status == "failed" for r in got if r.mismatches > 3)
+    assert all(r.matched / r.seqlen >= 0.9 for r in got if r.status == "success")
+    lost = {(r.contig_id, r.rid + (1 if r.rid % 2 else -1)) for r in got if r.status == "failed"}
+    assert all(r.mated == ((r.contig_id, r.rid) not in lost) for r in got)
+
+
+def test_stop_rules(spark, sf):
+    guards = {(r.contig_id, r.pos): r.c30_single for r in run(spark, sf, "tail_guards")}
+    got = run(spark, sf, "stop_rules")
+    assert len(got) == len(guards) and len({r.rule for r in got}) >= 3
+    assert all((r.rule == 1) == (guards[r.contig_id, r.pos] >= 30) for r in got)
+
+
+def test_pilot_insert(spark, sf):
+    (r,) = run(spark, sf, "pilot_insert")
+    assert r.n_pairs > 0 and r.mean_insert > 100
+
+
+def test_coverage_bins_dropped(spark, sf):
+    assert run(spark, sf, "coverage_bins_dropped") == []  # no bin of these tables; planted ones in test_graph
+
+
+def test_every_query_is_tested():
+    import sys
+
+    mine = set(dir(sys.modules[__name__]))
+    assert all(f"test_{n}" in mine for n in set(catalogue.queries()) - set(SQL))
 
 
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() >= 0
+    assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
