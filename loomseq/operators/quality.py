@@ -13,10 +13,14 @@ from ..params import DEFAULT, Params
 
 
 def first_delivery(read_buf: DataFrame, columns: tuple[str, ...] = ("pair_id", "mate", "run_id", "seq", "qual")) -> DataFrame:
-    """One row a read: its first delivery with bases (rid and `columns`; only these are read). Null rids are dropped."""
-    row = F.struct(*columns)
-    x = read_buf.where("rid is not null and seq is not null").select("rid", "arrival_no", row.alias("row"))
-    return x.groupBy("rid").agg(F.min_by("row", "arrival_no").alias("row")).select("rid", "row.*")
+    """One row a read: its first delivery with bases (rid and `columns`; only these are read). Null rids are dropped.
+
+    The first arrival of each read is found over two numbers a row; texts are then matched to it by (rid, arrival_no), so
+    they are neither sorted nor is a read with very many deliveries one task's work. arrival_no is unique; a null one comes last."""
+    no = F.coalesce(F.col("arrival_no"), F.lit((1 << 63) - 1)).alias("_no")
+    x = read_buf.where("rid is not null and seq is not null").select("rid", no, *columns)
+    first = x.groupBy("rid").agg(F.min("_no").alias("_no"))
+    return x.join(first.hint("shuffle_hash"), ["rid", "_no"], "left_semi").select("rid", *columns)
 
 
 def _quality_ok(p: Params):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scratch import written
-from .operators import assemble, gaps, kmers, links, mapping, overlap, pairs, quality, scaffold, stats
+from .operators import gaps, kmers, links, mapping, overlap, pairs, quality, scaffold, stats, unitigs
 from .params import Params
 from .sources import fastx, sinks
 
@@ -42,11 +42,11 @@ def _load(spark: SparkSession, out: str) -> tuple[Params, int, DataFrame]:
 
 
 def contigs(spark: SparkSession, out: str, least_len: int | None = None, name: str = "contigs") -> DataFrame:
-    """Stage 2: contigs from a snapshot, overlapping ones merged, written as `contigs` (parquet) and `contigs.fa`."""
+    """Stage 2: contigs from a snapshot, overlapping ones merged, written as `contigs` (parquet) and `contigs.fa`, with the
+    placements of the reads on their ends (`match_info`)."""
     p, paired, reads = _load(spark, out)
-    made = assemble.assemble(reads, p, p.min_contig_len if least_len is None else least_len)
-    made = written(made, "assembled").withColumn("key", F.struct("component", "contig_no"))
-    c = written(scaffold.renumber(made, "key", "contig_id").select("contig_id", "seq"), "numbered")
+    made = unitigs.assemble(reads, p, p.min_contig_len if least_len is None else least_len)
+    c = written(made.select("contig_id", "seq"), "assembled")
     if paired:
         c = merged(reads, c, p)
     c.select("contig_id", "seq", F.length("seq").alias("len")).write.mode("overwrite").parquet(f"{out}/contigs")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases
 from ..functions.scratch import written
-from ..operators import active, assemble, gaps, kmers, links, mapping, model, overlap, pairs, parse, paths, quality, scaffold, stats, votes
+from ..operators import active, assemble, gaps, kmers, links, mapping, model, overlap, pairs, parse, paths, quality, scaffold, stats, unitigs, votes
 from ..params import DEFAULT
 from ..sources import sinks
 from . import views as v
@@ -642,6 +642,16 @@ def assembled_contigs(spark, d):
     return assemble.assemble(v.valid(spark, d)).select("component", "contig_no", "seq", "n_reads")
 
 
+@_query()
+def unitig_paths(spark, d):
+    return unitigs.unitigs(v.valid(spark, d))
+
+
+@_query()
+def unitig_contigs(spark, d):
+    return unitigs.assemble(v.valid(spark, d))
+
+
 @_query()
 def filled_gaps(spark, d):
     """Gaps between neighbours of a chain, filled from both sides by reads placed near them and their mates."""

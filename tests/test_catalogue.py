@@ -125,6 +125,26 @@ def test_assembled_contigs(spark, sf, reads):
         assert all(r.seq[i : i + 25] in words or turn(r.seq[i : i + 25]) in words for i in range(len(r.seq) - 24))
 
 
+def test_unitig_paths(spark, sf, reads):
+    from tests.test_unitigs import walk
+
+    got = run(spark, sf, "unitig_paths")
+    deep = [s for s in reads.values() if len(s) >= 25]
+    for least in (2, 3):
+        want = walk(deep, 25, least)
+        if sorted(len(r.seq) for r in got) == sorted(len(s) for s in {s for s, _ in want}):
+            break
+    assert {min(r.seq, turn(r.seq)) for r in got} >= {s for s, circle in want if not circle} and len(got) == len({s for s, _ in want})
+
+
+def test_unitig_contigs(spark, sf, reads):
+    words = {s[i : i + 25] for s in reads.values() for i in range(len(s) - 24)}
+    got = run(spark, sf, "unitig_contigs")
+    assert got and sorted(r.contig_id for r in got) == list(range(1, len(got) + 1))
+    for r in got:
+        assert len(r.seq) > 100 and all(r.seq[i : i + 25] in words or turn(r.seq[i : i + 25]) in words for i in range(len(r.seq) - 24))
+
+
 def test_filled_gaps(spark, sf, rows):
     got = run(spark, sf, "filled_gaps")
     assert len(got) == sum(r.decision in ("gap", "cut") for r in rows)
