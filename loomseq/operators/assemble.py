@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from ..functions.flat import flat_codes, kmers, mix64, rc_kmers, slices, sliding_min, window_ok
 from ..params import DEFAULT, Params
 from .components import components
+from .model import PAIRED
 from .overlap import close_gap
 from .pairs import fragments, insert_stats
-from .paths import Followed
+from .paths import Followed, prune_tandem, tandem_decision, tandem_paths
+from .votes import KernelModel, score
 
 _TURN = str.maketrans("ACGT", "TGCA")
-CONTIG = "component bigint, contig_no int, seq string, n_reads int, placements array<struct<rid: bigint, pos: int, orient: int, matchlen: int>>"
+CONTIG = "component bigint, contig_no int, seq string, n_reads int, placements array<struct<rid: bigint, pos: int, orient: int, matchlen: int>>, votes array<int>"
 
 
 def revcomp(s: str) -> str:
@@ -61,8 +63,11 @@ def read_components(reads: DataFrame, p: Params = DEFAULT, w: int = 16) -> DataF
 class Assembler:
     """Greedy extension over the reads of one component."""
 
-    def __init__(self, rids: list[int], seqs: list[str], p: Params) -> None:
-        self.p, self.rids = p, rids
+    def __init__(self, rids: list[int], seqs: list[str], p: Params, insert: tuple[float, float] | None = None, model: KernelModel = PAIRED) -> None:
+        self.p, self.rids, self.insert, self.model = p, rids, insert, model
+        self.ids = {r: i for i, r in enumerate(rids)}
+        self.ends: list[int] = []
+        self.seen = (0, 0, 0, 0)
         self.text = [(s, revcomp(s)) for s in seqs]
         self.live = [True] * len(rids)
         self.starts: dict[str, list[tuple[int, int]]] = defaultdict(list)  # first k-mer of each read, either strand
@@ -152,12 +157,43 @@ class Assembler:
             return None
         return top[0][0]
 
-    def next_base(self, active: list[list], mated: set[int]) -> str | None:
-        """Mate votes first, then single-end votes at falling overlap; near ties go to the candidate paths."""
-        if mated:
-            v = self.votes(active, 8, mated).most_common(2)
-            if v and v[0][1] >= 2 and (len(v) == 1 or v[0][1] >= 3 * v[1][1]):
-                return v[0][0]
+    def tandem(self, active: list[list], contig: str, placed: dict[int, tuple[int, int, int]]) -> str | None:
+        """Next base by whole reads that lie alike on the tail, pruned by the fragments of their mates and by what came before."""
+        reads = []
+        for i, strand, done, _, run, at in (a[:6] for a in active):
+            if run >= 8:
+                mate = placed.get(self.ids.get(self.rids[i] + (1 if self.rids[i] % 2 else -1), -1))
+                reads.append((self.text[i][strand], done, float(at + len(self.text[i][strand]) - mate[0]) if mate else None))
+        found = tandem_paths(reads)
+        if self.insert:
+            found = prune_tandem(found, contig, *self.insert)
+        base, ok = tandem_decision(found)
+        return base if ok else None
+
+    def density(self, contig: str) -> float:
+        """Reads that ended in the last read length against the mean of the contig."""
+        near = sum(at > len(contig) - self.p.read_len for at in self.ends)
+        return near * len(contig) / (len(self.ends) * min(self.p.read_len, len(contig))) if self.ends else 1.0
+
+    def next_base(self, active: list[list], mated: set[int], contig: str, placed: dict[int, tuple[int, int, int]], bare: int, ahead: Followed) -> str | None:
+        """Mate votes and their scorer first, then candidate, tandem and followed paths; else single-end votes at falling overlap,
+        where near ties go the same way. What was counted is kept in `seen`."""
+
+        def by_ways() -> str | None:
+            return self.by_paths(active) or self.tandem(active, contig, placed) or ahead.decide(bool(mated))
+
+        pe = sorted(self.votes(active, 8, mated).items(), key=lambda x: (-x[1], x[0])) if mated else []
+        first, second = pe[0][1] if pe else 0, pe[1][1] if len(pe) > 1 else 0
+        self.seen = (first, second, 0, 0)
+        if first >= 2:
+            if not second or first >= 3 * second:
+                return pe[0][0]
+            weak = second >= 0.25 * first and first < 0.3 * self.avg
+            if not weak and score((first, second, self.density(contig), bare), self.model) < 0:
+                return pe[0][0]
+            got = by_ways()
+            if got:
+                return got
         k, long = self.p.k, int(0.8 * self.p.read_len)
         step = max(1, (long - k) // 5)
         for size in [*range(long, k, -step), k, 8]:
@@ -166,17 +202,38 @@ class Assembler:
                 continue
             first, second = n[0][1], n[1][1] if len(n) > 1 else 0
             if first >= 2 or size <= k:
+                self.seen = (*self.seen[:2], first, second)
                 if second and (first - second < 2 or second > 3 * self.avg or second / first >= 0.6):
-                    return self.by_paths(active)
+                    return by_ways()
                 return n[0][0]
+        return by_ways() if active else None
+
+    def stopped(self, evidence: list[tuple[int, int, int, int]], length: int, paired: bool) -> int | None:
+        """The first of the guard rules over votes alone (1 to 4 of active.stop_rule) that forbids going on."""
+        if len(evidence) >= 30 and all(e[0] == 0 and e[2] == 1 for e in evidence[-30:]):
+            return 1
+        if not (paired and self.insert):
+            return None
+        reach = int(self.insert[0])
+        last = evidence[-50:]
+        if length > 5 * reach and len(last) == 50 and not any(e[0] for e in last):
+            clear = sum((e[2] >= 3 and e[3] > 0.2 * e[2]) or e[3] > 0.3 * e[2] for e in last)
+            if sum(e[2] for e in last) > 4 * 50 or clear:
+                return 2
+        if length > reach + 3 * int(self.insert[1]) and len(evidence) >= 65 and not any(e[0] for e in evidence[-65:]):
+            return 3
+        if length > 2 * reach and sum(e[0] > 0 and e[1] >= 0.6 * e[0] for e in evidence[-self.p.read_len :]) >= 3:
+            return 4
         return None
 
-    def extend(self, contig: str, placed: dict[int, tuple[int, int, int]], most: int | None = None) -> str:
+    def extend(self, contig: str, placed: dict[int, tuple[int, int, int]], most: int | None = None, evidence: list[tuple[int, int, int, int]] | None = None) -> str:
+        """The contig with what the reads put behind it; votes (first and second with mates, first and second of all) of each new base go to `evidence`."""
         known: set[tuple[int, int]] = set()
         active = self.active_at(contig, known)
-        ids = {r: i for i, r in enumerate(self.rids)}
         mated: set[int] = set()
         bare = 0
+        evidence = [] if evidence is None else evidence
+        self.ends = []
 
         def settle() -> None:
             nonlocal active, bare
@@ -186,8 +243,9 @@ class Assembler:
                 if a[2] >= n:
                     if a[3] <= self.p.max_mismatch and (n - a[3]) / n >= 0.9 and a[0] not in placed:
                         placed[a[0]] = (a[5], a[1], n)
+                        self.ends.append(a[5] + n)
                         bare = 0
-                        partner = ids.get(self.rids[a[0]] + (1 if self.rids[a[0]] % 2 else -1))
+                        partner = self.ids.get(self.rids[a[0]] + (1 if self.rids[a[0]] % 2 else -1))
                         if partner is not None:
                             mated.add(partner)
                 elif a[3] <= self.p.max_mismatch:
@@ -204,10 +262,11 @@ class Assembler:
             used.add(tail)
             if ahead.due():
                 ahead = ahead.refresh([(self.rids[a[0]], self.text[a[0]][a[1]][a[2] :], a[2]) for a in active if a[4] >= 8], self.p.read_len)
-            base = self.next_base(active, mated) or ahead.decide(bool(mated))
-            if base is None:
+            base = self.next_base(active, mated, contig, placed, bare, ahead)
+            if base is None or self.stopped(evidence, len(contig), bool(mated)) is not None:
                 return contig
             contig += base
+            evidence.append(self.seen)
             ahead = ahead.step(base)
             bare += 1
             for a in active:
@@ -220,19 +279,22 @@ class Assembler:
             if bare > self.p.read_len - 7 or (most is not None and len(contig) >= most):
                 return contig
 
-    def build(self, least_len: int) -> list[tuple[str, list[tuple[int, int, int, int]]]]:
+    def build(self, least_len: int) -> list[tuple[str, list[tuple[int, int, int, int]], list[int]]]:
+        """(contig, placements, votes of all reads for each base; 0 in the read it started from)."""
         out = []
         for seed in self.seeds():
             first = self.expand(seed)
             if not first:
                 continue
             placed: dict[int, tuple[int, int, int]] = {}
-            contig = self.extend(first, placed)
+            ahead: list[tuple[int, int, int, int]] = []
+            contig = self.extend(first, placed, evidence=ahead)
             cut = max((at + n for at, _, n in placed.values()), default=len(first))
             contig = contig[: max(cut, len(first))]
             right = len(contig)
             back: dict[int, tuple[int, int, int]] = {}
-            turned = self.extend(revcomp(contig), back)
+            behind: list[tuple[int, int, int, int]] = []
+            turned = self.extend(revcomp(contig), back, evidence=behind)
             cut = max((at + n for at, _, n in back.values()), default=len(contig))
             contig = revcomp(turned[: max(cut, len(contig))])
             n = len(contig)
@@ -246,11 +308,12 @@ class Assembler:
                 if self.text[i][s] == first:
                     self.live[i] = False
             if n >= least_len:
-                out.append((contig, sorted((self.rids[i], at + 1, s, m) for i, (at, s, m) in reads.items())))
+                heights = [max(e[0], e[2]) for e in behind][:grown][::-1] + [0] * len(first) + [max(e[0], e[2]) for e in ahead][: right - len(first)]
+                out.append((contig, sorted((self.rids[i], at + 1, s, m) for i, (at, s, m) in reads.items()), heights))
         return out
 
 
-def assemble(reads: DataFrame, p: Params = DEFAULT, least_len: int | None = None) -> DataFrame:
+def assemble(reads: DataFrame, p: Params = DEFAULT, least_len: int | None = None, insert: tuple[float, float] | None = None) -> DataFrame:
     """Contigs (component, contig_no, seq, n_reads, placements) from valid reads (rid, seq of A, C, G, T).
 
     Contigs of at least least_len bases (default: one base more than a read). A component is one task's work; reads without
@@ -260,9 +323,9 @@ def assemble(reads: DataFrame, p: Params = DEFAULT, least_len: int | None = None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rid")
-        made = Assembler(pdf["rid"].tolist(), pdf["seq"].tolist(), p).build(least)
+        made = Assembler(pdf["rid"].tolist(), pdf["seq"].tolist(), p, insert).build(least)
         comp = int(pdf["component"].iloc[0])
-        return pd.DataFrame([(comp, i + 1, s, len(pl), [dict(zip(("rid", "pos", "orient", "matchlen"), t)) for t in pl]) for i, (s, pl) in enumerate(made)], columns=["component", "contig_no", "seq", "n_reads", "placements"])
+        return pd.DataFrame([(comp, i + 1, s, len(pl), [dict(zip(("rid", "pos", "orient", "matchlen"), t)) for t in pl], ev) for i, (s, pl, ev) in enumerate(made)], columns=["component", "contig_no", "seq", "n_reads", "placements", "votes"])
 
     return x.groupBy("component").applyInPandas(run, CONTIG)
 
@@ -279,7 +342,7 @@ def pilot_insert(reads: DataFrame, p: Params = DEFAULT, most_contigs: int = 100)
     return insert_stats(fragments(placed), p)
 
 
-def fill_gaps(gaps: DataFrame, p: Params = DEFAULT, sdev: float = 0.0) -> DataFrame:
+def fill_gaps(gaps: DataFrame, p: Params = DEFAULT, sdev: float = 0.0, insert: float | None = None) -> DataFrame:
     """Gaps (gap_id, left_end, right_end, gap, reads array<struct<rid, seq>>) closed by local assembly, from the left end and from
     the right one, each up to the other end and a read beyond.
 
@@ -293,7 +356,7 @@ def fill_gaps(gaps: DataFrame, p: Params = DEFAULT, sdev: float = 0.0) -> DataFr
         """(left end and what follows, what precedes and right end), each extended."""
         out = []
         for left, right in (ends, (revcomp(ends[1]), revcomp(ends[0]))):
-            a = Assembler([r["rid"] for r in reads], [r["seq"] for r in reads], p)
+            a = Assembler([r["rid"] for r in reads], [r["seq"] for r in reads], p, (insert, sdev) if insert else None)
             most = len(left) + max(0, int(gap)) + int(3 * sdev) + len(right) + p.read_len
             out.append(a.extend(left, {}, most) if left and reads else left)
         return out[0], revcomp(out[1])

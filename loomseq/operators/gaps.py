@@ -34,11 +34,11 @@ def near_reads(gaps: DataFrame, placements: DataFrame, reads: DataFrame) -> Data
     return x.groupBy("gap_id").agg(F.array_sort(F.collect_list(F.struct("rid", "seq"))).alias("reads"))
 
 
-def fill(rows: DataFrame, contigs: DataFrame, placements: DataFrame, reads: DataFrame, sdev: float, p: Params = DEFAULT) -> DataFrame:
+def fill(rows: DataFrame, contigs: DataFrame, placements: DataFrame, reads: DataFrame, sdev: float, p: Params = DEFAULT, insert: float | None = None) -> DataFrame:
     """Rows with their gaps filled: decision `filled` with fill and fill_overlap; where a gap stays open, what was won on either
     side stands around the unknown bases; where the ends run past each other, `break`."""
     gaps = written(gap_table(rows, contigs, p), "gaps")
-    done = fill_gaps(gaps.join(near_reads(gaps, placements, reads), "gap_id", "left"), p, sdev)
+    done = fill_gaps(gaps.join(near_reads(gaps, placements, reads), "gap_id", "left"), p, sdev, insert)
     done = written(done.join(gaps.select("gap_id", "scaffold_id", "ord"), "gap_id"), "fills")
     unknown = F.repeat(F.lit("N"), F.greatest(F.coalesce(F.round("rest"), F.lit(0)).cast("int"), F.lit(p.min_gap_bases)))
     text = F.when(F.col("state") == "merged", F.col("fill")).otherwise(F.concat("won_left", unknown, "won_right"))

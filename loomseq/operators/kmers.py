@@ -103,11 +103,19 @@ def table(reads: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def postings(kmers: DataFrame, most: int | None = None) -> DataFrame:
-    """Sorted posting lists. `most` splits a longer list into numbered chunks, so that no list outgrows a row."""
+    """Sorted posting lists. `most` splits a longer list into numbered chunks, so that no list outgrows a row.
+
+    With `most` postings are numbered in two steps, over ranges of reads and within each, so a k-mer of very many reads is spread
+    over as many tasks as it has ranges (65,536 reads each)."""
+    one = F.array_sort(F.collect_list(F.struct("rid", "pos"))).alias("postings")
     if most is None:
-        return kmers.groupBy("kmer").agg(F.array_sort(F.collect_list(F.struct("rid", "pos"))).alias("postings"))
-    n = F.row_number().over(Window.partitionBy("kmer").orderBy("rid", "pos")) - 1
-    return kmers.withColumn("chunk", F.floor(n / most).cast("int")).groupBy("kmer", "chunk").agg(F.array_sort(F.collect_list(F.struct("rid", "pos"))).alias("postings"))
+        return kmers.groupBy("kmer").agg(one)
+    x = kmers.withColumn("range", F.shiftright("rid", 16))
+    per = x.groupBy("kmer", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("kmer").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = F.row_number().over(Window.partitionBy("kmer", "range").orderBy("rid", "pos")) - 1
+    x = x.withColumn("n", n).join(per.select("kmer", "range", before.alias("before")), ["kmer", "range"])
+    return x.withColumn("chunk", F.floor((F.col("n") + F.col("before")) / most).cast("int")).groupBy("kmer", "chunk").agg(one)
 
 
 def seed_bounds(per: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import hamming, revcomp
+from ..functions.flat import flat_codes, ranges, slices
 
 BASES = "ACGT"
 _BIN = 128
@@ -26,10 +30,21 @@ def pile_up(placed_seqs: DataFrame) -> DataFrame:
     return x.groupBy("contig_id", (F.col("contig_pos") + F.col("i")).alias("pos"), "base").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes of a block of reads, summed a column."""
+    for b in slices(batches, "oseq", 1 << 20):
+        codes, off = flat_codes(b.column("oseq"))
+        n = np.diff(off)
+        contig, at = np.repeat(b.column("contig_id").to_numpy(), n), ranges(b.column("contig_pos").to_numpy(), n)
+        key, inv = np.unique((contig << 32) | at, return_inverse=True)
+        count = np.bincount(inv.reshape(-1) * 5 + codes, minlength=5 * key.size).reshape(-1, 5)
+        yield pa.RecordBatch.from_arrays([pa.array(key >> 32), pa.array((key & 0xFFFFFFFF).astype(np.int32)), *(pa.array(np.ascontiguousarray(count[:, i])) for i in range(4))], ["contig_id", "pos", *(f"n_{x}" for x in BASES)])
+
+
 def next_base_votes(placed_seqs: DataFrame, mated: DataFrame | None = None, one_row_a_read: bool = False) -> DataFrame:
     """Votes for A, C, G, T at each position; each read votes once. `mated` (rid): only these reads vote (paired-end votes).
 
-    The four counters are made in one aggregation with map-side sums. one_row_a_read: placements are unique already."""
+    The four counters of a block of reads are summed a column before they are sent. one_row_a_read: placements are unique already."""
     x = placed_seqs
     if not one_row_a_read:
         rest = [c for c in x.columns if c not in ("contig_id", "rid")]
@@ -37,8 +52,9 @@ def next_base_votes(placed_seqs: DataFrame, mated: DataFrame | None = None, one_
         x = x.groupBy("contig_id", "rid").agg(first).select("contig_id", "rid", "p.*")
     if mated is not None:
         x = x.join(mated.select("rid").distinct(), "rid", "left_semi")
-    x = x.select("contig_id", "contig_pos", F.posexplode(F.split("oseq", "")).alias("i", "base"))
-    return x.groupBy("contig_id", (F.col("contig_pos") + F.col("i")).alias("pos")).agg(*[F.sum(F.when(F.col("base") == b, 1).otherwise(0)).alias(f"n_{b}") for b in BASES])
+    x = x.select(F.col("contig_id").cast("bigint").alias("contig_id"), F.col("contig_pos").cast("int").alias("contig_pos"), "oseq")
+    x = x.mapInArrow(_columns, "contig_id bigint, pos int, " + ", ".join(f"n_{b} bigint" for b in BASES))
+    return x.groupBy("contig_id", "pos").agg(*[F.sum(f"n_{b}").alias(f"n_{b}") for b in BASES])
 
 
 def winners(votes: DataFrame) -> DataFrame:
@@ -132,6 +148,15 @@ def decision_score(features: Column, model: KernelModel, kind: str = "polynomial
     return out
 
 
+def score(features: tuple[float, ...], model: KernelModel) -> float:
+    """decision_score with the polynomial kernel for one row of features."""
+    x = np.asarray(features, float)
+    if model.shift:
+        x = (x + np.asarray(model.shift)) * np.asarray(model.factor)
+    d = np.asarray(model.vectors) @ x
+    return float(model.bias + np.asarray(model.alpha) @ (d * (1 + d) ** 2))
+
+
 def fit_kernel(rows: list[tuple[list[float], int]], kind: str = "polynomial", rounds: int = 20, most: int = 2000) -> KernelModel:
     """Kernel perceptron on at most `most` labelled rows (features, label -1 extend / +1 stop), features scaled to 0..1."""
     import numpy as np

@@ -116,7 +116,7 @@ def scaffolds(spark: SparkSession, out: str, contig_files: list[str] | None = No
         sinks.save_params(spark, out, {**{k: v for k, v in asdict(p).items()}, "paired": paired, "insert": [insert, sdev]})
         rows, _, hits = chain_rows(hits, c, insert, sdev, p)
         if fill_gaps:
-            rows = written(gaps.fill(rows, c, hits, reads, sdev, p), "filled-rows")
+            rows = written(gaps.fill(rows, c, hits, reads, sdev, p, insert), "filled-rows")
         sinks.write_layout(hits, f"{out}/layout.txt")
         sinks.write_overlaps(rows, f"{out}/overlaps.txt")
     joined = written(scaffold.with_unlinked(scaffold.scaffold_seqs(rows, c, p), rows, c), "scaffolds")

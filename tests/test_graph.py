@@ -58,6 +58,7 @@ def test_assembly_finds_the_planted_sequences(spark):
     for c in got:
         assert any(c.seq in g or c.seq in t for g, t in text.items()) and len(c.seq) >= 590
         assert c.n_reads == len(c.placements) > 60
+        assert len(c.votes) == len(c.seq) and sum(v > 0 for v in c.votes) >= len(c.seq) - 100
         for p in c.placements:
             s = by_rid[p.rid]
             s = s.translate(TURN)[::-1] if p.orient else s
@@ -65,6 +66,19 @@ def test_assembly_finds_the_planted_sequences(spark):
     assert assemble.assemble(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_guards_and_scorer():
+    a = assemble.Assembler([1, 2], ["A" * 100, "C" * 100], Params(), (240.0, 20.0))
+    one, none, both = (0, 0, 1, 0), (0, 0, 6, 0), (5, 4, 9, 4)
+    assert a.stopped([one] * 29, 900, True) is None and a.stopped([one] * 30, 900, False) == 1
+    assert a.stopped([none] * 60, 2000, True) == 2 and a.stopped([none] * 60, 2000, False) is None
+    assert a.stopped([(0, 0, 2, 0)] * 70, 400, True) == 3 and a.stopped([(5, 0, 5, 0)] * 97 + [both] * 3, 900, True) == 4
+    assert a.stopped([(5, 0, 5, 0)] * 100, 9000, True) is None and a.density("A" * 50) == 1.0
+    from loomseq.operators import model, votes
+
+    assert votes.score((30.0, 1.0, 1.0, 2.0), model.PAIRED) < 0  # thirty mates against one
+    assert isinstance(votes.score((3.0, 12.0, 2.5, 40.0), model.PAIRED), float)
+
+
 def test_assembly_outvotes_an_error(spark):
     g = genome(5, 500)
     reads = shred(g, 100, 100, 5)
