@@ -1,6 +1,7 @@
 """FASTA and FASTQ files as DataFrames: a Python data source over byte ranges, numbering and pairing.
 
-Files are cut into byte ranges that are read in parallel; a reader moves on to the first record that starts in its range.
+Files are cut into byte ranges that are read in parallel; a reader moves on to the first record that starts in its range and
+works on blocks of megabytes with NumPy. Compressed files (gz, bz2, zst, lz4) are read whole, each by one task.
 """
 
 from __future__ import annotations
@@ -8,12 +9,14 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.flat import ranges
 from ..operators.scaffold import renumber
 
 SCHEMA = "file_no int, offset bigint, name string, seq string, qual string"
@@ -21,9 +24,37 @@ _RANGE = 32 << 20
 _BATCH = 10_000
 
 
+_PACKED = (".gz", ".bz2", ".zst", ".lz4")
+
+
+class _Unpacked:
+    """A compressed file, read from its start on."""
+
+    def __init__(self, stream) -> None:
+        self.stream, self.at, self.kept = stream, 0, b""
+
+    def seek(self, at: int) -> None:
+        if at != self.at - len(self.kept):
+            raise ValueError("a compressed file is read from its start")
+
+    def read(self, n: int) -> bytes:
+        out = self.kept
+        while len(out) < n and (more := self.stream.read(n - len(out))):
+            out += more
+            self.at += len(more)
+        self.kept = b""
+        return out
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.stream.close()
+
+
 def _open(path: str):
     fs, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
-    return fs.open_input_file(p)
+    return _Unpacked(fs.open_input_stream(p, compression="detect")) if path.endswith(_PACKED) else fs.open_input_file(p)
 
 
 def sniff(paths: list[str]) -> str:
@@ -40,79 +71,131 @@ def sniff(paths: list[str]) -> str:
     return kinds.pop()
 
 
-class _Lines:
-    """Lines of a file from an offset on, with the offset of each; reads ahead in blocks."""
-
-    def __init__(self, f, start: int, block: int = 1 << 20) -> None:
-        self.f, self.block, self.buf, self.pos, self.at = f, block, b"", 0, start
-        f.seek(start)
-
-    def next(self) -> tuple[int, bytes] | None:
-        while True:
-            end = self.buf.find(b"\n", self.pos)
-            if end >= 0:
-                out = self.at, self.buf[self.pos : end].rstrip(b"\r")
-                self.at += end + 1 - self.pos
-                self.pos = end + 1
-                return out
-            more = self.f.read(self.block)
-            if not more:
-                if self.pos >= len(self.buf):
-                    return None
-                out = self.at, self.buf[self.pos :].rstrip(b"\r")
-                self.at += len(self.buf) - self.pos
-                self.pos = len(self.buf)
-                return out
-            self.buf, self.pos = self.buf[self.pos :] + more, 0
-
-
-def fasta_records(f, start: int, stop: int) -> Iterator[tuple[int, str, str, None]]:
-    """Records whose `>` lies within [start, stop); lines up to the next `>` are joined."""
-    lines = _Lines(f, max(0, start - 1))
-    if start:
-        lines.next()  # the rest of a line that began before; an empty one when `start` begins a line
-    name, at, parts = None, 0, []
-    while (got := lines.next()) is not None:
-        off, line = got
-        if line.startswith(b">"):
-            if name is not None:
-                yield at, name, "".join(parts), None
-            name = None
-            if off >= stop:
-                return
-            name, at, parts = line[1:].decode(), off, []
-        elif name is not None:
-            parts.append(line.decode())
-    if name is not None:
-        yield at, name, "".join(parts), None
-
-
-def fastq_records(f, start: int, stop: int) -> Iterator[tuple[int, str, str, str]]:
-    """Strict records of four lines whose `@` lies within [start, stop). A cut-off record is an error."""
-    lines = _Lines(f, max(0, start - 1))
-    if start:
-        lines.next()
-    window: list[tuple[int, bytes]] = []
-    synced = start == 0
+def _first_line(f, start: int) -> int:
+    """Offset of the first line that starts at or behind `start`."""
+    if start == 0:
+        return 0
+    at = start - 1
+    f.seek(at)
+    while chunk := f.read(1 << 16):
+        end = chunk.find(b"\n")
+        if end >= 0:
+            return at + end + 1
+        at += len(chunk)
+    return at
+
+
+def _strings(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """Pieces of the bytes as a string column, without a loop over them."""
+    n = stop - start
+    off = np.concatenate([[0], np.cumsum(n)])
+    return pa.LargeStringArray.from_buffers(n.size, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[ranges(start, n)]))).cast(pa.string())
+
+
+def _lines(data: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (without line breaks) of the whole lines of a block; of the last block the rest is a line, too."""
+    cut = np.flatnonzero(data == 10)
+    if last and data.size and (not cut.size or cut[-1] != data.size - 1):
+        cut = np.append(cut, data.size)
+    start = np.concatenate([[0], cut[:-1] + 1]).astype(np.int64) if cut.size else np.empty(0, np.int64)
+    full = cut > start
+    stop = cut - (full & (data[np.maximum(cut - 1, 0)] == 13)) if cut.size else cut
+    return start, stop
+
+
+def _blocks(f, at: int, size: int) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(offset, bytes, last) from `at` on; send back how many bytes were used, the rest comes again with the next block."""
+    f.seek(at)
+    rest, last = b"", False
+    while not last:
+        more = f.read(size)
+        last = not more
+        data = rest + more
+        used = yield at, np.frombuffer(data, np.uint8), last
+        used = used or 0
+        at, rest = at + used, data[used:]
+
+
+def _synced(f, start: int) -> int | None:
+    """Offset of the first FASTQ record that starts at or behind `start`; None if there is none.
+
+    `@` may also start a quality line: the third line and the two lengths decide."""
+    at, size = _first_line(f, start), 1 << 14
+    while True:
+        f.seek(at)
+        raw = f.read(size)
+        whole = len(raw) < size
+        data = np.frombuffer(raw, np.uint8)
+        lo, hi = _lines(data, whole)
+        for i in range(lo.size - 3):
+            if raw[lo[i] : lo[i] + 1] == b"@" and raw[lo[i + 2] : lo[i + 2] + 1] == b"+" and hi[i + 1] - lo[i + 1] == hi[i + 3] - lo[i + 3]:
+                return at + int(lo[i])
+        if whole:
+            return None
+        size *= 4
+
+
+def fastq_batches(f, start: int, stop: int, block: int = 4 << 20) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, pa.Array]]:
+    """(offsets, names, bases, qualities) of the strict four-line records whose `@` lies within [start, stop). A cut-off record is an error."""
+    at = 0 if start == 0 else _synced(f, start)
+    if at is None or at >= stop:
+        return
+    blocks = _blocks(f, at, block)
+    at, data, last = next(blocks)
     while True:
-        while len(window) < 4 and (got := lines.next()) is not None:
-            window.append(got)
-        if len(window) == 1 and not window[0][1]:
+        lo, hi = _lines(data, last)
+        n = lo.size // 4
+        own = n if not n else int(np.searchsorted(at + lo[: 4 * n : 4], stop))
+        line, end = lo[: 4 * own].reshape(own, 4), hi[: 4 * own].reshape(own, 4)
+        if own:
+            bad = (end[:, 0] <= line[:, 0]) | (end[:, 2] <= line[:, 2]) | (end[:, 1] - line[:, 1] != end[:, 3] - line[:, 3])
+            bad |= (data[line[:, 0]] != 64) | (data[np.minimum(line[:, 2], data.size - 1)] != 43)
+            if bad.any():
+                raise ValueError(f"cut-off or broken FASTQ record at byte {at + int(line[np.argmax(bad), 0])}")
+            yield at + line[:, 0], _strings(data, line[:, 0] + 1, end[:, 0]), _strings(data, line[:, 1], end[:, 1]), _strings(data, line[:, 3], end[:, 3])
+        if own < n:
             return
-        if not window or window[0][0] >= stop:
+        if last:
+            left = lo[4 * n :], hi[4 * n :]
+            if (left[1] > left[0]).any() and at + int(left[0][0]) < stop:
+                raise ValueError(f"cut-off or broken FASTQ record at byte {at + int(left[0][0])}")
+            return
+        used = int(np.flatnonzero(data == 10)[4 * n - 1]) + 1 if n else 0
+        at, data, last = blocks.send(used)
+
+
+def fasta_batches(f, start: int, stop: int, block: int = 4 << 20) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, None]]:
+    """(offsets, names, bases, None) of the records whose `>` lies within [start, stop); lines up to the next `>` are joined."""
+    at = _first_line(f, start)
+    if at >= stop:
+        return
+    blocks = _blocks(f, at, block)
+    at, data, last = next(blocks)
+    while True:
+        lo, hi = _lines(data, last)
+        full = lo < hi
+        head = np.flatnonzero(full & (data[np.minimum(lo, data.size - 1)] == 62)) if data.size else np.empty(0, np.int64)
+        n = head.size if last else max(0, head.size - 1)  # the last one may go on in the next block
+        own = int(np.searchsorted(at + lo[head[:n]], stop))
+        if own:
+            bounds = np.append(head, lo.size)
+            first, behind = head[:own] + 1, bounds[1 : own + 1]
+            at_line = ranges(first, behind - first)
+            size = hi[at_line] - lo[at_line]
+            upto = np.concatenate([[0], np.cumsum(size)])
+            per = np.concatenate([[0], np.cumsum(behind - first)])
+            off = upto[per]
+            seq = pa.LargeStringArray.from_buffers(own, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[ranges(lo[at_line], size)])))
+            yield at + lo[head[:own]], _strings(data, lo[head[:own]] + 1, hi[head[:own]]), seq.cast(pa.string()), None
+        if own < n or last or (head.size and not last and n < head.size and at + int(lo[head[n]]) >= stop):
+            return
+        used = int(lo[head[n]]) if n < head.size else 0
+        if not head.size:  # the rest of a record that began before this range
+            cut = np.flatnonzero(data == 10)
+            used = int(cut[-1]) + 1 if cut.size else 0
+        at, data, last = blocks.send(used)
+        if at >= stop and not head.size:
             return
-        if not synced:  # `@` may also start a quality line: the third line and the two lengths decide
-            ok = len(window) == 4 and window[0][1].startswith(b"@") and window[2][1].startswith(b"+") and len(window[1][1]) == len(window[3][1])
-            if not ok:
-                window.pop(0)
-                if len(window) < 3:
-                    return
-                continue
-            synced = True
-        if len(window) < 4 or not window[0][1].startswith(b"@") or not window[2][1].startswith(b"+") or len(window[1][1]) != len(window[3][1]):
-            raise ValueError(f"cut-off or broken FASTQ record at byte {window[0][0]}")
-        yield window[0][0], window[0][1][1:].decode(), window[1][1].decode(), window[3][1].decode()
-        window = []
 
 
 class _Range(InputPartition):
@@ -129,28 +212,22 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_Range]:
         out = []
         for i, p in enumerate(self.paths):
+            if p.endswith(_PACKED):  # can't be cut
+                out.append(_Range(i, p, 0, 1 << 62))
+                continue
             with _open(p) as f:
                 n = f.size()
             out += [_Range(i, p, s, min(n, s + self.range)) for s in range(0, n, self.range)]
         return out
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        records = fasta_records if self.kind == "fasta" else fastq_records
-        names = ["file_no", "offset", "name", "seq", "qual"]
+        batches = fasta_batches if self.kind == "fasta" else fastq_batches
         with _open(part.path) as f:
-            rows: list[tuple] = []
-
-            def batch() -> pa.RecordBatch:
-                off, name, seq, qual = zip(*rows)
-                return pa.RecordBatch.from_arrays([pa.array([part.file_no] * len(rows), pa.int32()), pa.array(off, pa.int64()), pa.array(name, pa.string()), pa.array(seq, pa.string()), pa.array(qual, pa.string())], names)
-
-            for r in records(f, part.start, part.stop):
-                rows.append(r)
-                if len(rows) >= _BATCH:
-                    yield batch()
-                    rows = []
-            if rows:
-                yield batch()
+            for off, name, seq, qual in batches(f, part.start, part.stop):
+                for lo in range(0, off.size, _BATCH):
+                    n = min(_BATCH, off.size - lo)
+                    q = pa.nulls(n, pa.string()) if qual is None else qual.slice(lo, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part.file_no, np.int32)), pa.array(off[lo : lo + n]), name.slice(lo, n), seq.slice(lo, n), q], ["file_no", "offset", "name", "seq", "qual"])
 
 
 class FastxSource(DataSource):

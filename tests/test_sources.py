@@ -38,6 +38,39 @@ def test_fasta_ranges(spark, tmp_path, size):
     assert [(r.name, r.seq, r.qual) for r in got] == rows
 
 
+@pytest.mark.parametrize("block", [7, 64, 4 << 20])
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_blocks(tmp_path, block, ending):
+    """Records that span blocks, other line ends, no line end at the end."""
+    rows = [(n, s, "+" + "@" * (len(s) - 1)) for n, s, _ in some(30)]
+    p = tmp_path / "a.fq"
+    p.write_bytes("".join(ending.join((f"@{n}", s, "+", q, "")) for n, s, q in rows).rstrip().encode())
+    q = tmp_path / "a.fa"
+    q.write_bytes("".join(ending.join((f">{n}", s[:9], s[9:], "")) for n, s, _ in rows).encode() + (">empty" + ending).encode())
+    for size in (50, 500, 1 << 20):
+        got, fa = [], []
+        for lo in range(0, p.stat().st_size, size):
+            with fastx._open(str(p)) as f:
+                for off, *cols in fastx.fastq_batches(f, lo, lo + size, block):
+                    got += zip(*(c.to_pylist() for c in cols))
+        for lo in range(0, q.stat().st_size, size):
+            with fastx._open(str(q)) as f:
+                for off, name, seq, _ in fastx.fasta_batches(f, lo, lo + size, block):
+                    fa += zip(name.to_pylist(), seq.to_pylist())
+        assert got == rows and fa == [(n, s) for n, s, _ in rows] + [("empty", "")]
+
+
+def test_compressed(spark, tmp_path):
+    import gzip
+
+    rows = [(n, s, "I" * len(s)) for n, s, _ in some(50)]
+    p = fastq(tmp_path / "a.fq", rows)
+    with gzip.open(tmp_path / "a.fq.gz", "wb") as f:
+        f.write((tmp_path / "a.fq").read_bytes())
+    got = fastx.records(spark, [str(tmp_path / "a.fq.gz"), p]).orderBy("file_no", "offset").collect()
+    assert [(r.name, r.seq, r.qual) for r in got] == rows * 2
+
+
 def test_pairing(spark, tmp_path):
     a, b = some(30, 1), some(30, 2)
     pa_, pb = (fastq(tmp_path / f"{x}.fq", [(n, s, "I" * len(s)) for n, s, _ in rows]) for x, rows in (("a", a), ("b", b)))
