@@ -201,8 +201,21 @@ def _decode(layout: Layout, count: dict[int, int], done: set[tuple[int, int]]) -
     for cell in count:
         group, rest = divmod(cell, _CELLS)
         heavy[divmod(group, layout.groups)][rest // 16].append(rest % 16)
-    found, crowded = set(), set()
-    for (rep, group), symbols in heavy.items():
+    got: list[list[np.ndarray]] = [[] for _ in range(layout.reps)]
+    crowded = set()
+    todo = {k: v for k, v in heavy.items() if k not in done}
+    alone = [k for k, v in todo.items() if all(len(x) == 1 for x in v)]  # one heavy symbol everywhere: all at once
+    if alone:
+        words = np.array([[x[0] for x in todo[k]] for k in alone], np.uint8)
+        coded = np.zeros(len(alone), np.uint64)
+        for i in range(layout.code.n):
+            coded |= words[:, i].astype(np.uint64) << np.uint64(4 * i)
+        good = (layout.code.encode(coded) == words).all(axis=1)
+        done.update(alone)
+        for (rep, group), c, ok in zip(alone, coded, good):
+            if ok:
+                got[rep].append(layout.join(group, np.array([c], np.uint64), rep))
+    for (rep, group), symbols in todo.items():
         if (rep, group) in done:
             continue
         coded = layout.code.decode(symbols)
@@ -210,11 +223,15 @@ def _decode(layout: Layout, count: dict[int, int], done: set[tuple[int, int]]) -
             crowded.add(rep)
             continue
         done.add((rep, group))
-        v = layout.join(group, coded, rep)
+        got[rep].append(layout.join(group, coded, rep))
+    found: set[int] = set()
+    there = np.fromiter(count, np.int64, len(count))
+    for rep, many in enumerate(got):
+        v = np.concatenate([np.empty(0, np.uint64), *many])
         for other in range(layout.reps):  # heavy everywhere
             if other != rep and v.size:
-                v = v[[all(int(c) in count for c in row) for row in layout.cells(v, other)]]
-        found |= {int(x) for x in v.astype(np.int64)}
+                v = v[np.isin(layout.cells(v, other), there).all(axis=1)]
+        found |= {int(x) for x in v.view(np.int64)}
     return found, len(crowded) < layout.reps
 
 
@@ -238,8 +255,11 @@ def heavy_hitters(df: DataFrame, column: str = "hashcode", share_ppm: int = 5_00
     floor = max(1, -(-total * share_ppm // 1_000_000))
     coded = df.select(code.alias("v"))
 
-    def counted(values: set[int]) -> dict[int, int]:  # at most some thousand values: a set the tasks look up
-        return dict(coded.where(F.col("v").isin(sorted(values))).groupBy("v").agg(F.count(F.lit(1))).collect()) if values else {}
+    def counted(values: set[int]) -> dict[int, int]:
+        if not values:
+            return {}
+        asked = F.broadcast(spark.createDataFrame([(v,) for v in values], "v bigint"))  # candidates: of the order of 1e6 / share_ppm
+        return dict(coded.join(asked, "v").groupBy("v").agg(F.count(F.lit(1))).collect())
 
     approx: dict[int, int] = {}
     known: dict[int, int] = {}  # exact rows of candidates
