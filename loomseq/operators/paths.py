@@ -1,7 +1,7 @@
 """Look-ahead paths: what the reads at a tail say comes next, merged, cleaned, pruned and followed.
 
-A key (a contig tail) has at most a few hundred active reads, so each key is one small pandas group. Candidate paths are not
-limited; followed and tandem paths are at most twenty.
+A key (a contig tail) has at most a few hundred active reads, so each key is one small pandas group. Candidate and followed paths are not
+limited; tandem paths are at most twenty, as the rule has it.
 """
 
 from __future__ import annotations
@@ -169,7 +169,7 @@ def prune(paths: list[Path], read_len: int, overlap_share: float = 0.5) -> tuple
     for p in paths:
         if not any(q.seq.startswith(p.seq) for q in out):
             out.append(p)
-    return tuple(out[:MOST])
+    return tuple(out)
 
 
 @dataclass(frozen=True)

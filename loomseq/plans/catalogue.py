@@ -157,7 +157,7 @@ def kmer_at_read_end(spark, d):
     return kmers.at_read_end(v.valid(spark, d))
 
 
-@_query(f"WITH {v.KMERS}, c AS (SELECT kmer, count(*) AS n FROM kmers GROUP BY kmer) SELECT a.kmer, a.n, b.n AS n_reverse FROM c a JOIN c b ON b.kmer = reverse(translate(a.kmer, 'ACGT', 'TGCA'))")
+@_query(f"WITH {v.KMERS}, c AS MATERIALIZED (SELECT kmer, count(*) AS n FROM kmers GROUP BY kmer) SELECT a.kmer, a.n, b.n AS n_reverse FROM c a JOIN c b ON b.kmer = reverse(translate(a.kmer, 'ACGT', 'TGCA'))")
 def kmer_strands(spark, d):
     return kmers.strand_lookup(kmers.table(v.valid(spark, d)))
 
