@@ -38,6 +38,15 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a written table that nothing reads any more, and let Spark drop the shuffle files of the queries that are over."""
+    spark = df.sparkSession
+    for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark._jvm.System.gc()
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,26 +9,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scratch import written
+from ..functions.scratch import forget, written
 
 _ONE_TASK = 4_000_000  # links that are ranked in one task
 
 
+def ranked(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(head, rank) of every place of `before` (its predecessor, or itself); a circle is cut before its least place."""
+    before = before.copy()
+    while True:
+        up, far, least = before.copy(), (before != np.arange(before.size)).astype(np.int64), np.minimum(before, np.arange(before.size))
+        for _ in range(max(1, int(before.size).bit_length()) + 1):
+            over = up[up]
+            far, least = far + far[up], np.minimum(least, least[up])
+            if (over == up).all():
+                break
+            up = over
+        circle = before[up] != up
+        if not circle.any():
+            return up, far
+        cut = np.unique(least[circle])
+        before[cut] = cut
+
+
 def rank(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node, head, rank from 0) of all nodes of the links; a circle is cut before its least node."""
     node, both = np.unique(np.concatenate([src, dst]), return_inverse=True)
     both = both.reshape(-1)
     before = np.arange(node.size)
     before[both[src.size :]] = both[: src.size]
-    while True:
-        up, far, least = before.copy(), (before != np.arange(node.size)).astype(np.int64), np.minimum(before, np.arange(node.size))
-        for _ in range(max(1, int(node.size).bit_length()) + 1):
-            far, least, up = far + far[up], np.minimum(least, least[up]), up[up]
-        circle = before[up] != up
-        if not circle.any():
-            return node, node[up], far
-        cut = np.unique(least[circle])
-        before[cut] = cut
+    up, far = ranked(before)
+    return node, node[up], far
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,11 +51,15 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _doubled(x: DataFrame, n: int) -> DataFrame:
-    """(node, up, far, least) after as many doublings as n nodes need; stops when nothing moves."""
+    """(node, up, far, least) after as many doublings as n nodes need; stops when nothing moves. Only the last round stays on disk."""
+    before = None
     for _ in range(max(1, n.bit_length()) + 1):
         y = x.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("least").alias("least2"))
         x = x.join(y, "up").select("node", F.col("up2").alias("up"), (F.col("far") + F.col("far2")).alias("far"), F.least("least", "least2").alias("least"), (F.col("up") != F.col("up2")).alias("moved"))
         x = written(x, "rank")
+        if before is not None:
+            forget(before)
+        before = x
         if x.where("moved").isEmpty():
             break
     return x

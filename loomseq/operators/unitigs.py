@@ -1,10 +1,12 @@
 """Contigs of genomes of any size: unitigs by relational compaction, then votes of reads only where these end.
 
-Every k-mer that enough reads hold is a node, once on each strand. At each word of k - 1 letters one aggregation counts what
-comes in and what goes out; where both are one, the two k-mers are linked. Chains of links are ranked by pointer doubling
-and written out as unitigs. At each end of a unitig the reads that share a k-mer with its tail extend it by their votes, a
-small task of its own; an extension that runs into another unitig, and is run into by that one's, joins the two. No
-component and no contig is one task's work; a unitig's text is one row.
+Every k-mer that enough reads hold is a node, once on each strand. K-mers are counted in bins of their minimisers, to which
+reads go as spans of letters. Each k-mer that counts goes to the bins of its first and of its last k - 1 letters; there all
+k-mers around such a word meet, and where one comes in and one goes out, the two are linked and written as pieces of
+paths. Pieces, an eighth of the k-mers, are ranked by pointer doubling and put together as unitigs. At each end of a unitig
+the reads that share a k-mer with its tail extend it by their votes, a small task of its own; an extension that runs into
+another unitig, and is run into by that one's, joins the two. No component and no contig is one task's work; a unitig's
+text is one row.
 """
 
 from __future__ import annotations
@@ -18,48 +20,235 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import revcomp
-from ..functions.flat import flat_codes, kmers, rc_kmers, slices, window_ok
-from ..functions.scratch import written
+from ..functions.blobs import by_bucket, dump, load, rows
+from ..functions.flat import BASE, flat_codes, kmers, mix64, ranges, rc_kmers, runs, slices, sliding_min, window_ok
+from ..functions.scratch import parts, written
 from ..params import DEFAULT, Params
 from .assemble import Assembler
-from .chains import list_rank
+from .chains import list_rank, ranked
 from .kmers import kmer_text
 from .scaffold import renumber, scaffold_seqs
 
 _BLOCK = 1 << 20
-_PIECE = 10_000  # letters of a unitig that are put together at once
+_PIECE = 10_000  # pieces of a unitig that are put together at once
+_M = 11  # letters of a minimiser
+_BINS = 4096  # bins of minimisers, whatever the input
+_HOLD = 1 << 20  # spans or k-mers that are held before they are sent
+_CHUNK = 4 << 20  # bytes of whole bins that are counted at once; of k-mers four times as many are linked at once
 
 
 def _turned(code: np.ndarray, k: int) -> np.ndarray:
-    """Reverse complements of packed k-mers."""
-    out, x = np.zeros_like(code), ~code
-    for _ in range(k):
-        out = (out << 2) | (x & 3)
-        x = x >> 2
-    return out
+    """Reverse complements of packed k-mers, by swaps of letters, pairs of letters and bytes."""
+    x = ~code.astype(np.uint64)
+    for step, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F)):
+        x = ((x >> np.uint64(step)) & np.uint64(mask)) | ((x & np.uint64(mask)) << np.uint64(step))
+    return (x.byteswap() >> np.uint64(64 - 2 * k)).astype(code.dtype)
 
 
-def counts(reads: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(code, n): canonical k-mers at every place of the reads and how often they stand there; a block is summed before it is sent."""
+def _rank_of(words: np.ndarray, m: int) -> np.ndarray:
+    """A random rank of packed m-mers, the same on both strands; the least in a window is its minimiser."""
+    return (mix64(np.minimum(words, _turned(words, m)).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+
+def _bin(least: np.ndarray) -> np.ndarray:
+    return (mix64(least.astype(np.uint64)) & np.uint64(_BINS - 1)).astype(np.int64)
+
+
+def _spans(k: int):
+    """Runs of k-mers with one minimiser, as packed letters, to its bin; equal ones of a block are sent once with their number."""
+    m, most = min(_M, k - 2), 65 - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for b in slices(batches, "seq", _BLOCK):
             codes, off = flat_codes(b.column("seq"))
-            ok = window_ok(codes, off, p.k)
-            if ok.any():
-                u, n = np.unique(np.minimum(kmers(codes, p.k), rc_kmers(codes, p.k))[ok].astype(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["code", "n"])
+            ok = window_ok(codes, off, k)
+            if not ok.any():
+                continue
+            least = sliding_min(_rank_of(kmers(codes, m).astype(np.uint64), m), k - m + 1)
+            new = np.append(True, (least[1:] != least[:-1]) | ~ok[:-1])
+            edge = np.append(np.flatnonzero(new | ~ok), ok.size)
+            at, n = edge[:-1][ok[edge[:-1]]], np.diff(edge)[ok[edge[:-1]]]
+            cuts = -(-n // most)
+            skip = ranges(np.zeros(at.size, np.int64), cuts) * most
+            at, n = np.repeat(at, cuts) + skip, np.minimum(np.repeat(n, cuts) - skip, most)
+            w = kmers(np.concatenate([codes, np.zeros(64, np.uint8)]), 32)
+            letters = n + k - 1
+            w0, w1 = w[at], w[at + 32]
+            w0 &= ~np.uint64(0) << (2 * np.maximum(32 - letters, 0)).astype(np.uint64)
+            w1 = np.where(letters > 32, w1 & (~np.uint64(0) << (2 * np.minimum(64 - letters, 31)).astype(np.uint64)), np.uint64(0))
+            held.append((w0, w1, n, _bin(least[at])))
+            size += at.size
+            if size > _HOLD:
+                yield _packed(k, held)
+                held, size = [], 0
+        if held:
+            yield _packed(k, held)
+
+    return run
+
+
+def _packed(k: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    w0, w1, n, to = (np.concatenate([h[i] for h in held]) for i in range(4))
+    key = (to.astype(np.uint64) << np.uint64(52)) | (mix64(w0 ^ mix64(w1 + n.astype(np.uint64))) >> np.uint64(12))
+    order = np.argsort(key)
+    key, w0, w1, n, to = (x[order] for x in (key, w0, w1, n, to))
+    same = np.append(False, (key[1:] == key[:-1]) & (w0[1:] == w0[:-1]) & (w1[1:] == w1[:-1]) & (n[1:] == n[:-1]))
+    first = np.flatnonzero(~same)
+    times = np.diff(np.append(first, n.size)).astype(np.int32)
+    w0, w1, n, to = (x[first] for x in (w0, w1, n, to))
+    n_bytes = (n + k + 2) // 4
+    flat = np.stack([w0, w1], axis=1).astype(">u8").view(np.uint8)[np.arange(16) < n_bytes[:, None]]
+    end = np.append(0, np.cumsum(n_bytes))
+    cut, n, none = runs(to), n.astype(np.uint8), np.empty(0, np.int32)
+    return rows(to[cut[:-1]].tolist(), [dump(n[lo:hi], times[lo:hi] if times[lo:hi].max() > 1 else none, flat[end[lo] : end[hi]]) for lo, hi in zip(cut[:-1], cut[1:])])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[bytes]]:
+    """Values of rows sorted by bin, some whole bins at once."""
+    held: list[bytes] = []
+    size, last = 0, None
+    for b in batches:
+        for bucket, v in zip(b.column("bucket").to_pylist(), b.column("blob")):
+            if size > most and bucket != last:
+                yield held
+                held, size = [], 0
+            held.append(v.as_py())
+            size, last = size + len(held[-1]), bucket
+    if held:
+        yield held
+
+
+def _by_bin(sent: DataFrame) -> DataFrame:
+    return sent.repartition(parts(sent.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+
+def _counted(k: int, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.uint64((1 << 2 * k) - 1)
+        for values in _chunks(batches, _CHUNK):
+            got = [load(v, np.uint8, np.int32, np.uint8) for v in values]
+            n = np.concatenate([g[0] for g in got]).astype(np.int64)
+            times = np.concatenate([g[1] if g[1].size else np.ones(g[0].size, np.int32) for g in got])
+            wide = np.zeros((n.size, 16), np.uint8)
+            wide[np.arange(16) < ((n + k + 2) // 4)[:, None]] = np.concatenate([g[2] for g in got])
+            w = wide.view(">u8").astype(np.uint64)
+            end = (ranges(np.zeros(n.size, np.int64), n) + k).astype(np.uint64)  # letters up to the end of each k-mer
+            w0, w1, two, half = np.repeat(w[:, 0], n), np.repeat(w[:, 1], n), np.uint64(2), np.uint64(32)
+            code = np.where(end <= half, w0 >> (two * (half - np.minimum(end, half))), (w0 << np.minimum(two * (np.maximum(end, half) - half), np.uint64(63))) | (w1 >> (two * np.minimum(half + half - end, np.uint64(31))))) & mask
+            code, weight = np.minimum(code, _turned(code, k)), np.repeat(times, n)
+            if (weight == 1).all():
+                code.sort()
+                edge = runs(code)
+                n = np.diff(edge)
+            else:
+                order = np.argsort(code)
+                code = code[order]
+                edge = runs(code)
+                n = np.add.reduceat(weight[order].astype(np.int64), edge[:-1])
+            keep = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(code[edge[:-1][keep]].astype(np.int64)), pa.array(n[keep])], ["code", "n"])
+
+    return run
+
+
+def counts(reads: DataFrame, p: Params = DEFAULT, least: int = 1) -> DataFrame:
+    """(code, n): canonical k-mers that stand `least` times or more in the reads, and how often.
+
+    Neighbouring k-mers mostly have one minimiser, so they are sent together as a span of letters, some ten bytes for eight k-mers."""
+    sent = reads.select("seq").mapInArrow(_spans(p.k), "bucket bigint, blob binary")
+    return _by_bin(sent).mapInArrow(_counted(p.k, least), "code bigint, n bigint")
+
 
-    return reads.select("seq").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+def _to_words(k: int):
+    """K-mers to the bins of their first and last k - 1 letters; flag 1: the first word is settled there, 2: the last."""
+    m = min(_M, k - 2)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for b in batches:
+            code, n = (b.column(c).to_numpy().astype(np.int64) for c in ("code", "n"))
+            rank_at = [_rank_of((code >> (2 * (k - m - j))) & ((1 << 2 * m) - 1), m) for j in range(k - m + 1)]
+            inner = np.minimum.reduce(rank_at[1:-1])
+            left, right = _bin(np.minimum(rank_at[0], inner)), _bin(np.minimum(rank_at[-1], inner))
+            two = left != right
+            held += [(left, code, n, np.where(two, 1, 3).astype(np.uint8)), (right[two], code[two], n[two], np.full(int(two.sum()), 2, np.uint8))]
+            size += code.size
+            if size > _HOLD:
+                yield _sent(held)
+                held, size = [], 0
+        if size:
+            yield _sent(held)
+
+    return run
+
+
+def _sent(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    out = list(by_bucket(*(np.concatenate([h[i] for h in held]) for i in range(4))))
+    return rows([to for to, _ in out], [dump(*x) for _, x in out])
+
+
+def _pieces(k: int):
+    """Unbranched paths as far as one task's words go, on both strands; a k-mer whose two words are settled in two tasks ends a
+    piece of the one and begins a piece of the other, so (first, last) of an open piece links it to the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for values in _chunks(batches, 4 * _CHUNK):
+            got = [load(v, np.int64, np.int64, np.uint8) for v in values]
+            code, n, flag = (np.concatenate([g[i] for g in got]) for i in range(3))
+            order = np.argsort(code)
+            start = runs(code[order])[:-1]
+            code, n, flag = code[order[start]], n[order[start]], np.bitwise_or.reduceat(flag[order], start)
+            both = np.concatenate([code, _turned(code, k)])
+            order = np.argsort(both)
+            node, n = both[order], np.tile(n, 2)[order]
+            place = np.empty_like(order)
+            place[order] = np.arange(order.size)
+            mate = place[(order + code.size) % order.size]
+            has_in = np.concatenate([(flag & 1) > 0, (flag & 2) > 0])[order]
+            has_out = has_in[mate]
+            outs, ins = np.flatnonzero(has_out), np.flatnonzero(has_in)
+            w_out, o_at, o_n = np.unique(node[outs] & ((1 << (2 * k - 2)) - 1), return_index=True, return_counts=True)
+            w_in, i_at, i_n = np.unique(node[ins] >> 2, return_index=True, return_counts=True)
+            _, x, y = np.intersect1d(w_out[o_n == 1], w_in[i_n == 1], assume_unique=True, return_indices=True)
+            src, dst = outs[o_at[o_n == 1][x]], ins[i_at[i_n == 1][y]]
+            good = (src != dst) & (mate[src] != dst)
+            before = np.arange(node.size)
+            before[dst[good]] = src[good]
+            head, far = ranked(before)
+            order = np.lexsort((far, head))
+            edge = runs(head[order])
+            first, last, size = order[edge[:-1]], order[edge[1:] - 1], np.diff(edge)
+            open_ = ~has_out[last]
+            ring = before[first] != first
+            twin = np.where(ring, node[np.minimum.reduceat(mate[order], edge[:-1])], node[mate[last]])
+            keep = np.where(open_, size > 1, ~has_in[first] | (node[first] <= twin))
+            letter = np.frombuffer(b"ACGT", np.uint8)[node[order] & 3]
+            rest = np.repeat(keep, size)
+            rest[edge[:-1]] = False
+            total = np.add.reduceat(n[order], edge[:-1]) - np.where(open_, n[last], 0)
+            ends = np.concatenate([[0], np.cumsum(size[keep] - 1)]).astype(np.int32)
+            text = pa.Array.from_buffers(pa.string(), ends.size - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(letter[rest].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(node[first[keep]]), pa.array(node[last[keep]]), pa.array(open_[keep]), pa.array(twin[keep]), text, pa.array((size - open_)[keep]), pa.array(total[keep])], ["node", "last", "open", "twin", "rest", "n_kmers", "n"])
+
+    return run
+
+
+def _rings(k: int):
+    """Circles over several pieces, opened before the least k-mer; of the two strands the one whose least is less."""
 
-def _both_strands(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            code = b.column("code").to_numpy()
-            other = _turned(code, k)
-            node, n = np.concatenate([code, other]), np.concatenate([b.column("n").to_numpy()] * 2)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([other, code])), pa.array(n)], ["node", "mate", "n"])
+            out = []
+            for text, n, mean in zip(*(b.column(c).to_pylist() for c in ("seq", "n_kmers", "mean_n"))):
+                codes = BASE[np.frombuffer(text.encode(), np.uint8)][: n + k - 1]
+                w = kmers(codes, k).astype(np.int64)
+                at = int(np.argmin(w))
+                if w[at] <= _turned(w, k).min():
+                    out.append((int(w[at]), "".join(np.array(list("ACGT"))[codes[:n]][(at + np.arange(n + k - 1)) % n]), n, mean))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.float64()))], ["unitig_id", "seq", "n_kmers", "mean_n"])
 
     return run
 
@@ -71,30 +260,26 @@ def unitigs(reads: DataFrame, p: Params = DEFAULT, least: int | None = None) ->
     k-mer. A circle opens before its least k-mer. k must be odd and at most 31. Reads shorter than k give nothing; an empty
     table gives no rows."""
     k = p.k
-    if k % 2 == 0 or k > 31:
+    if k % 2 == 0 or not 3 <= k <= 31:
         raise ValueError("k must be odd and at most 31")
-    c = written(counts(reads, p).where("n > 1"), "kmer-counts")
+    c = written(counts(reads, p, 2), "kmer-counts")
     if least is None:
         least = 3 if (c.agg(F.avg("n")).first()[0] or 0) > 8 else 2
-    nodes = written(c.where(F.col("n") >= least).mapInArrow(_both_strands(k), "node bigint, mate bigint, n bigint"), "nodes")
-    low = F.col("node").bitwiseAND((1 << (2 * k - 2)) - 1)
-    ends = nodes.select(F.explode(F.array(F.struct(low.alias("word"), F.col("node").alias("src"), F.lit(None).cast("bigint").alias("dst")), F.struct(F.shiftright("node", 2).alias("word"), F.lit(None).cast("bigint").alias("src"), F.col("node").alias("dst")))).alias("e")).select("e.*")
-    at = ends.groupBy("word").agg(F.count("src").alias("n_in"), F.count("dst").alias("n_out"), F.min("src").alias("src"), F.min("dst").alias("dst"))
-    links = at.where("n_in = 1 and n_out = 1 and src <> dst").select("src", "dst")
-    mates = nodes.select("node", "mate")
-    hairpin = mates.select(F.col("node").alias("src"), F.col("mate").alias("dst"))
-    links = written(links.join(hairpin, ["src", "dst"], "left_anti"), "unitig-links")
-    place = list_rank(links)
-    x = nodes.join(place, "node", "left").select("node", "n", F.least("node", "mate").alias("canon"), F.coalesce("head", "node").alias("head"), F.coalesce("rank", F.lit(0)).alias("rank"))
-    x = written(x, "unitig-nodes")
-    per = x.groupBy("head").agg(F.min("canon").alias("canon"), F.count(F.lit(1)).alias("n_kmers"), F.avg("n").alias("mean_n"))
-    keep = per.groupBy("canon").agg(F.min(F.struct("head", "n_kmers", "mean_n")).alias("h")).select("h.*")  # a path and its mirror share their k-mers
-    letters = F.substring(F.lit("ACGT"), (F.col("node").bitwiseAND(3) + 1).cast("int"), F.lit(1))
-    bits = x.join(keep.select("head"), "head").where("rank > 0").withColumn("piece", F.floor(F.col("rank") / _PIECE))
-    bits = bits.groupBy("head", "piece").agg(F.array_sort(F.collect_list(F.struct("rank", letters.alias("b")))).alias("bs")).select("head", "piece", F.array_join(F.transform("bs", lambda s: s["b"]), "").alias("t"))
-    text = bits.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("piece", "t"))).alias("ts")).select("head", F.array_join(F.transform("ts", lambda s: s["t"]), "").alias("rest"))
-    out = keep.join(text, "head", "left").select(F.col("head").alias("unitig_id"), kmer_text(k)(F.col("head")).alias("first"), F.coalesce("rest", F.lit("")).alias("rest"), "n_kmers", "mean_n")
-    return out.select("unitig_id", F.concat("first", "rest").alias("seq"), "n_kmers", "mean_n")
+    kinds = "node bigint, last bigint, open boolean, twin bigint, rest string, n_kmers bigint, n bigint"
+    sent = c.where(F.col("n") >= least).mapInArrow(_to_words(k), "bucket bigint, blob binary")
+    x = written(_by_bin(sent).mapInArrow(_pieces(k), kinds), "unitig-pieces")
+    place = list_rank(x.where("open").select(F.col("node").alias("src"), F.col("last").alias("dst")))
+    x = x.join(place, "node", "left").withColumn("head", F.coalesce("head", "node")).withColumn("rank", F.coalesce("rank", F.lit(0)))
+    end = F.max(F.struct("rank", "open", "twin", "last")).alias("end")
+    sums = [F.sum("n_kmers").alias("n_kmers"), F.sum("n").alias("n"), F.max("end").alias("end")]
+    text = lambda key: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "rest"))), lambda s: s["rest"]), "").alias("rest")
+    x = x.select("head", F.floor(F.col("rank") / _PIECE).alias("piece"), "rank", "rest", "n_kmers", "n", "open", "twin", "last").repartition("head")
+    x = x.groupBy("head", "piece").agg(text("rank"), F.sum("n_kmers").alias("n_kmers"), F.sum("n").alias("n"), end)
+    x = x.groupBy("head").agg(text("piece"), *sums).where("end.open or head <= end.twin")  # a path and its mirror share their k-mers
+    out = x.select(F.col("head").alias("unitig_id"), F.concat(kmer_text(k)(F.col("head")), "rest").alias("seq"), "n_kmers", (F.col("n") / F.col("n_kmers")).alias("mean_n"), F.col("end.open").alias("ring"))
+    out = written(out, "unitigs-glued")
+    rings = out.where("ring").drop("ring").mapInArrow(_rings(k), "unitig_id bigint, seq string, n_kmers bigint, mean_n double")
+    return out.where("not ring").drop("ring").unionByName(rings)
 
 
 def _tails(u: DataFrame, p: Params) -> DataFrame:

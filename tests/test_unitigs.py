@@ -99,3 +99,33 @@ def test_planted_genome(spark):
     assert sum(len(x.seq) for x in got) >= 0.95 * len(g) and max(len(x.seq) for x in got) > max(len(x.seq) for x in u)
     assert sorted(x.contig_id for x in got) == list(range(1, len(got) + 1))
     assert unitigs.assemble(df.limit(0), p).count() == 0
+
+
+def test_bins_on_their_own(spark, monkeypatch):
+    """Paths and circles over many bins, each settled by itself, are those of a walk; a circle opens before its least k-mer."""
+    monkeypatch.setattr(unitigs, "_CHUNK", 0)
+    r = random.Random(5)
+    line, *rings = ("".join(r.choices("ACGT", k=n)) for n in (700, 300, 40))
+    reads = [line] * 2 + [(g * 3)[i : i + 60] for g in rings for i in range(0, len(g), 5)] * 2
+    got = unitigs.unitigs(spark.createDataFrame([(i, s) for i, s in enumerate(reads)], "rid bigint, seq string"), Params(k=21), 2).collect()
+    number = lambda w: int("".join(str("ACGT".index(c)) for c in w), 4)
+    for g in rings:
+        (x,) = [x for x in got if x.seq[:21] in g * 3 or turn(x.seq[:21]) in g * 3]
+        first = min((s * 2)[i : i + 21] for s in (g, turn(g)) for i in range(len(g)))
+        assert x.unitig_id == number(first) and x.seq.startswith(first) and x.n_kmers == len(g) and len(x.seq) == len(g) + 20
+        assert x.seq in g * 3 or turn(x.seq) in g * 3
+    (x,) = [x for x in got if min(x.seq, turn(x.seq)) == min(line, turn(line))]
+    assert len(got) == 3 and x.n_kmers == 680 and x.mean_n == 2 and x.unitig_id == number(x.seq[:21]) < number(turn(x.seq)[:21])
+
+
+def test_few_bytes_sent(spark):
+    """K-mers go out as spans: reads that share nothing take fewer bytes of shuffle files than they have letters, not a number a k-mer."""
+    r = random.Random(6)
+    df = spark.createDataFrame([(i, "".join(r.choices("ACGT", k=100))) for i in range(10_000)], "rid bigint, seq string").repartition(4).cache()
+    df.count()
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = sent()
+    assert unitigs.unitigs(df, Params()).count() == 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert sent() - before < 1.5 * 100 * 10_000
