@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.bases import revcomp
 from ..functions.blobs import by_bucket, dump, load, rows
 from ..functions.flat import BASE, flat_codes, kmers, mix64, ranges, rc_kmers, runs, slices, sliding_min, window_ok
-from ..functions.scratch import parts, written
+from ..functions.scratch import forget, parts, written
 from ..params import DEFAULT, Params
 from .assemble import Assembler
 from .chains import list_rank, ranked
@@ -268,6 +268,7 @@ def unitigs(reads: DataFrame, p: Params = DEFAULT, least: int | None = None) ->
     kinds = "node bigint, last bigint, open boolean, twin bigint, rest string, n_kmers bigint, n bigint"
     sent = c.where(F.col("n") >= least).mapInArrow(_to_words(k), "bucket bigint, blob binary")
     x = written(_by_bin(sent).mapInArrow(_pieces(k), kinds), "unitig-pieces")
+    forget(c)
     place = list_rank(x.where("open").select(F.col("node").alias("src"), F.col("last").alias("dst")))
     x = x.join(place, "node", "left").withColumn("head", F.coalesce("head", "node")).withColumn("rank", F.coalesce("rank", F.lit(0)))
     end = F.max(F.struct("rank", "open", "twin", "last")).alias("end")
