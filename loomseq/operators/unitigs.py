@@ -12,11 +12,13 @@ text is one row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import revcomp
@@ -54,36 +56,58 @@ def _bin(least: np.ndarray) -> np.ndarray:
     return (mix64(least.astype(np.uint64)) & np.uint64(_BINS - 1)).astype(np.int64)
 
 
+def _cut(codes: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Runs of k-mers with one minimiser: start, number of k-mers, their letters packed in two words, bin of the minimiser."""
+    m, most = min(_M, k - 2), 65 - k
+    ok = window_ok(codes, off, k)
+    if not ok.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    least = sliding_min(_rank_of(kmers(codes, m).astype(np.uint64), m), k - m + 1)
+    new = np.append(True, (least[1:] != least[:-1]) | ~ok[:-1])
+    edge = np.append(np.flatnonzero(new | ~ok), ok.size)
+    at, n = edge[:-1][ok[edge[:-1]]], np.diff(edge)[ok[edge[:-1]]]
+    cuts = -(-n // most)
+    skip = ranges(np.zeros(at.size, np.int64), cuts) * most
+    at, n = np.repeat(at, cuts) + skip, np.minimum(np.repeat(n, cuts) - skip, most)
+    w = kmers(np.concatenate([codes, np.zeros(64, np.uint8)]), 32)
+    letters = n + k - 1
+    w0, w1 = w[at], w[at + 32]
+    w0 &= ~np.uint64(0) << (2 * np.maximum(32 - letters, 0)).astype(np.uint64)
+    w1 = np.where(letters > 32, w1 & (~np.uint64(0) << (2 * np.minimum(64 - letters, 31)).astype(np.uint64)), np.uint64(0))
+    return at, n, w0, w1, _bin(least[at])
+
+
+def _letters(k: int, n: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the spans that hold letters, one span after another, and where each begins."""
+    n_bytes = (n + k + 2) // 4
+    return np.stack([w0, w1], axis=1).astype(">u8").view(np.uint8)[np.arange(16) < n_bytes[:, None]], np.append(0, np.cumsum(n_bytes))
+
+
+def _canonical(k: int, n: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Canonical k-mers of spans of n k-mers each, in their order."""
+    wide = np.zeros((n.size, 16), np.uint8)
+    wide[np.arange(16) < ((n + k + 2) // 4)[:, None]] = letters
+    w = wide.view(">u8").astype(np.uint64)
+    end = (ranges(np.zeros(n.size, np.int64), n) + k).astype(np.uint64)  # letters up to the end of each k-mer
+    w0, w1, two, half = np.repeat(w[:, 0], n), np.repeat(w[:, 1], n), np.uint64(2), np.uint64(32)
+    code = np.where(end <= half, w0 >> (two * (half - np.minimum(end, half))), (w0 << np.minimum(two * (np.maximum(end, half) - half), np.uint64(63))) | (w1 >> (two * np.minimum(half + half - end, np.uint64(31))))) & np.uint64((1 << 2 * k) - 1)
+    return np.minimum(code, _turned(code, k))
+
+
 def _spans(k: int):
     """Runs of k-mers with one minimiser, as packed letters, to its bin; equal ones of a block are sent once with their number."""
-    m, most = min(_M, k - 2), 65 - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for b in slices(batches, "seq", _BLOCK):
-            codes, off = flat_codes(b.column("seq"))
-            ok = window_ok(codes, off, k)
-            if not ok.any():
-                continue
-            least = sliding_min(_rank_of(kmers(codes, m).astype(np.uint64), m), k - m + 1)
-            new = np.append(True, (least[1:] != least[:-1]) | ~ok[:-1])
-            edge = np.append(np.flatnonzero(new | ~ok), ok.size)
-            at, n = edge[:-1][ok[edge[:-1]]], np.diff(edge)[ok[edge[:-1]]]
-            cuts = -(-n // most)
-            skip = ranges(np.zeros(at.size, np.int64), cuts) * most
-            at, n = np.repeat(at, cuts) + skip, np.minimum(np.repeat(n, cuts) - skip, most)
-            w = kmers(np.concatenate([codes, np.zeros(64, np.uint8)]), 32)
-            letters = n + k - 1
-            w0, w1 = w[at], w[at + 32]
-            w0 &= ~np.uint64(0) << (2 * np.maximum(32 - letters, 0)).astype(np.uint64)
-            w1 = np.where(letters > 32, w1 & (~np.uint64(0) << (2 * np.minimum(64 - letters, 31)).astype(np.uint64)), np.uint64(0))
-            held.append((w0, w1, n, _bin(least[at])))
-            size += at.size
+            _, n, w0, w1, to = _cut(*flat_codes(b.column("seq")), k)
+            held.append((w0, w1, n, to))
+            size += n.size
             if size > _HOLD:
                 yield _packed(k, held)
                 held, size = [], 0
-        if held:
+        if size:
             yield _packed(k, held)
 
     return run
@@ -98,9 +122,7 @@ def _packed(k: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     first = np.flatnonzero(~same)
     times = np.diff(np.append(first, n.size)).astype(np.int32)
     w0, w1, n, to = (x[first] for x in (w0, w1, n, to))
-    n_bytes = (n + k + 2) // 4
-    flat = np.stack([w0, w1], axis=1).astype(">u8").view(np.uint8)[np.arange(16) < n_bytes[:, None]]
-    end = np.append(0, np.cumsum(n_bytes))
+    flat, end = _letters(k, n, w0, w1)
     cut, n, none = runs(to), n.astype(np.uint8), np.empty(0, np.int32)
     return rows(to[cut[:-1]].tolist(), [dump(n[lo:hi], times[lo:hi] if times[lo:hi].max() > 1 else none, flat[end[lo] : end[hi]]) for lo, hi in zip(cut[:-1], cut[1:])])
 
@@ -126,18 +148,11 @@ def _by_bin(sent: DataFrame) -> DataFrame:
 
 def _counted(k: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64((1 << 2 * k) - 1)
         for values in _chunks(batches, _CHUNK):
             got = [load(v, np.uint8, np.int32, np.uint8) for v in values]
             n = np.concatenate([g[0] for g in got]).astype(np.int64)
             times = np.concatenate([g[1] if g[1].size else np.ones(g[0].size, np.int32) for g in got])
-            wide = np.zeros((n.size, 16), np.uint8)
-            wide[np.arange(16) < ((n + k + 2) // 4)[:, None]] = np.concatenate([g[2] for g in got])
-            w = wide.view(">u8").astype(np.uint64)
-            end = (ranges(np.zeros(n.size, np.int64), n) + k).astype(np.uint64)  # letters up to the end of each k-mer
-            w0, w1, two, half = np.repeat(w[:, 0], n), np.repeat(w[:, 1], n), np.uint64(2), np.uint64(32)
-            code = np.where(end <= half, w0 >> (two * (half - np.minimum(end, half))), (w0 << np.minimum(two * (np.maximum(end, half) - half), np.uint64(63))) | (w1 >> (two * np.minimum(half + half - end, np.uint64(31))))) & mask
-            code, weight = np.minimum(code, _turned(code, k)), np.repeat(times, n)
+            code, weight = _canonical(k, n, np.concatenate([g[2] for g in got])), np.repeat(times, n)
             if (weight == 1).all():
                 code.sort()
                 edge = runs(code)
@@ -305,17 +320,116 @@ def _codes(df: DataFrame, key: str, text: str, p: Params, both: bool) -> DataFra
     return df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("t")).mapInArrow(run, "key bigint, code bigint, pos bigint")
 
 
+def _owned(k: int):
+    """As _spans, each with the id of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for b in slices(batches, "seq", _BLOCK):
+            codes, off = flat_codes(b.column("seq"))
+            at, n, w0, w1, to = _cut(codes, off, k)
+            held.append((w0, w1, n, to, b.column("id").to_numpy()[np.searchsorted(off, at, side="right") - 1]))
+            size += n.size
+            if size > _HOLD:
+                yield _with_ids(k, held)
+                held, size = [], 0
+        if size:
+            yield _with_ids(k, held)
+
+    return run
+
+
+def _with_ids(k: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    w0, w1, n, to, ids = (np.concatenate([h[i] for h in held]) for i in range(5))
+    order = np.argsort(to, kind="stable")
+    w0, w1, n, to, ids = (x[order] for x in (w0, w1, n, to, ids))
+    flat, end = _letters(k, n, w0, w1)
+    cut, n, least = runs(to), n.astype(np.uint8), int(ids.min())
+    far = ids - least
+    far = far.astype(np.uint32) if far.max() < 1 << 32 else far
+    return rows(to[cut[:-1]].tolist(), [dump(n[lo:hi], np.array([least]), far[lo:hi], flat[end[lo] : end[hi]]) for lo, hi in zip(cut[:-1], cut[1:])])
+
+
+def _portions(values: Iterator[bytes], most: int) -> Iterator[list[bytes]]:
+    held: list[bytes] = []
+    size = 0
+    for v in values:
+        held.append(v)
+        size += len(v)
+        if size > most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _shared(k: int, most_n: float):
+    """(end_id, rid) of tails and reads with a common k-mer, from bins in which the tails (kind 0) come before the reads (kind 1).
+
+    A bin's reads pass by in portions; of their k-mers only those of its tails are kept, and none that was met more than most_n times."""
+
+    def unpacked(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        n, least, far, letters = zip(*(load(v, np.uint8, np.int64, np.uint8, np.uint8) for v in values))
+        ids = np.concatenate([f.view(np.uint32 if f.size == 4 * x.size else np.int64).astype(np.int64) + low[0] for x, low, f in zip(n, least, far)])
+        n = np.concatenate(n).astype(np.int64)
+        return _canonical(k, n, np.concatenate(letters)), np.repeat(ids, n)
+
+    def of_bin(tails: list[bytes], reads: Iterator[list[bytes]]) -> pa.RecordBatch:
+        code, ends = unpacked(tails)
+        order = np.argsort(code)
+        ends, edge = ends[order], runs(code[order])
+        code, n_ends = code[order[edge[:-1]]], np.diff(edge)
+        met = np.zeros(code.size, np.int64)
+        kept = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for values in reads:
+            c, rid = unpacked(values)
+            at = np.minimum(np.searchsorted(code, c), code.size - 1)
+            ok = code[at] == c
+            at, rid = at[ok], rid[ok]
+            met += np.bincount(at, minlength=code.size)
+            few = met[at] <= most_n
+            kept.append((at[few], rid[few]))
+        at, rid = (np.concatenate([x[i] for x in kept]) for i in range(2))
+        few = met[at] <= most_n
+        at, rid = at[few], rid[few]
+        end, rid = ends[ranges(edge[at], n_ends[at])], np.repeat(rid, n_ends[at])
+        order = np.lexsort((rid, end))
+        end, rid = end[order], rid[order]
+        new = np.append(True, (end[1:] != end[:-1]) | (rid[1:] != rid[:-1]))[: end.size]
+        return pa.RecordBatch.from_arrays([pa.array(end[new]), pa.array(rid[new])], ["end_id", "rid"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = ((bucket, kind, v) for b in batches for bucket, kind, v in zip(b.column("bucket").to_pylist(), b.column("kind").to_pylist(), b.column("blob")))
+        for _, all_kinds in groupby(sent, itemgetter(0)):
+            tails: list[bytes] = []
+            for kind, one_kind in groupby(all_kinds, itemgetter(1)):
+                values = (v.as_py() for _, _, v in one_kind)
+                if kind == 0:
+                    tails = list(values)
+                elif tails:
+                    yield of_bin(tails, _portions(values, _CHUNK))
+
+    return run
+
+
+def _hits(tails: DataFrame, reads: DataFrame, p: Params, most_n: float) -> DataFrame:
+    """Distinct (end_id, rid) of tails and reads that share a k-mer of the tail's last read length which stands in most_n places at most."""
+    near = tails.select(F.col("end_id").cast("bigint").alias("id"), F.expr(f"right(tail, {p.read_len})").alias("seq"))
+    mine = reads.select(F.col("rid").cast("bigint").alias("id"), "seq")
+    sent = [x.mapInArrow(_owned(p.k), "bucket bigint, blob binary").withColumn("kind", F.lit(kind)) for kind, x in enumerate((near, mine))]
+    sent = sent[0].unionByName(sent[1]).repartition(parts(tails.sparkSession), "bucket").sortWithinPartitions("bucket", "kind")
+    return sent.mapInArrow(_shared(p.k, most_n), "end_id bigint, rid bigint").distinct()
+
+
 def _extended(tails: DataFrame, reads: DataFrame, p: Params, most_n: float) -> DataFrame:
     """(end_id, n_tail, made): tails with what the votes of their reads put behind them.
 
     The reads of a tail share one of the k-mers of its last read length; k-mers of more than most_n places (a repeat) bring none, so a
-    tail has at most read_len x most_n reads. Reads are sent to tails by k-mer, each once a tail."""
-    near = _codes(tails.withColumn("t", F.expr(f"right(tail, {p.read_len})")), "end_id", "t", p, True).select(F.col("key").alias("end_id"), "code").distinct()
-    mine = _codes(reads, "rid", "seq", p, True).select(F.col("key").alias("rid"), "code")
-    wanted = written(mine.join(near.select("code").distinct(), "code", "left_semi"), "near-kmers")
-    few = wanted.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_n).select("code")
-    hits = near.join(few, "code").join(wanted, "code").select("end_id", "rid").distinct()
-    per = hits.join(reads.select("rid", "seq"), "rid").groupBy("end_id").agg(F.array_sort(F.collect_list(F.struct("rid", "seq"))).alias("reads"))
+    tail has at most read_len x most_n reads. Reads meet tails in the bins of minimisers, and are sent to each once. How many rows a
+    step in NumPy returns Spark can't tell, so no join here is left to its estimates: none is broadcast."""
+    hits = written(_hits(tails, reads, p, most_n), "tail-reads")
+    per = hits.join(reads.select("rid", "seq").hint("merge"), "rid").groupBy("end_id").agg(F.array_sort(F.collect_list(F.struct("rid", "seq"))).alias("reads"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -325,17 +439,18 @@ def _extended(tails: DataFrame, reads: DataFrame, p: Params, most_n: float) -> D
                 out.append((g.end_id, len(g.tail), a.extend(g.tail, {}, len(g.tail) + 2 * p.read_len)))
             yield pd.DataFrame(out, columns=["end_id", "n_tail", "made"])
 
-    return tails.join(per, "end_id").select("end_id", "tail", "reads").mapInPandas(run, "end_id bigint, n_tail int, made string")
+    return tails.join(per.hint("merge"), "end_id").select("end_id", "tail", "reads").mapInPandas(run, "end_id bigint, n_tail int, made string")
 
 
 def _joined(u: DataFrame, made: DataFrame, p: Params) -> DataFrame:
     """(src, dst, fill, overlap): ends whose extension is the first to meet another unitig's first k-mer, and the other way round."""
     first = F.array(F.struct((2 * F.col("contig_id")).alias("node"), F.expr(f"left(seq, {p.k})").alias("t")), F.struct((2 * F.col("contig_id") + 1).alias("node"), revcomp(F.expr(f"right(seq, {p.k})")).alias("t")))
     starts = _codes(u.select(F.explode(first).alias("f")).select("f.node", "f.t"), "node", "t", p, False).select(F.col("key").alias("dst"), "code")
-    met = _codes(made, "end_id", "made", p, False).withColumnRenamed("key", "src").join(starts, "code")
-    met = met.join(made.select(F.col("end_id").alias("src"), "n_tail", "made"), "src").where("src <> dst and floor(src / 2) <> floor(dst / 2)").where(F.col("pos") > F.col("n_tail") - p.k)
-    w = Window.partitionBy("src").orderBy("pos", "dst")
-    x = met.withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    skip = F.greatest(F.col("n_tail") - p.k + 1, F.lit(0))  # k-mers that begin before lie within the tail
+    new = made.select("end_id", F.expr(f"substring(made, greatest(n_tail - {p.k} + 1, 0) + 1)").alias("new"))
+    met = _codes(new, "end_id", "new", p, False).withColumnRenamed("key", "src").join(starts.hint("merge"), "code").where("src <> dst and floor(src / 2) <> floor(dst / 2)")
+    x = met.groupBy("src").agg(F.min(F.struct("pos", "dst")).alias("at")).select("src", "at.*")
+    x = x.join(made.select(F.col("end_id").alias("src"), "n_tail", "made").hint("merge"), "src").withColumn("pos", F.col("pos") + skip)
     over = F.greatest(F.col("n_tail") - F.col("pos"), F.lit(0)).cast("int")
     fill = F.expr("substring(made, n_tail + 1, greatest(cast(pos as int) - n_tail, 0))")
     x = written(x.select("src", "dst", fill.alias("fill"), over.alias("overlap")), "unitig-joins")
@@ -349,6 +464,7 @@ def assemble(reads: DataFrame, p: Params = DEFAULT, least_len: int | None = None
     Unitigs shorter than 2 k (tips and the arms of small bubbles) are no ends to start from or to meet; reads vote across them.
     Contigs of at least least_len bases (default: one base more than a read), numbered from 1 in order of their first unitig."""
     shortest = p.read_len + 1 if least_len is None else least_len
+    reads = written(reads.select("rid", "seq"), "assembled-reads")  # they are read three times
     u = written(unitigs(reads, p, least).where(F.length("seq") >= 2 * p.k), "unitigs")
     u = written(renumber(u, "unitig_id", "contig_id").select("contig_id", "seq", "mean_n"), "unitigs-numbered")
     most = p.upper_factor * (u.agg(F.avg("mean_n")).first()[0] or 1.0)

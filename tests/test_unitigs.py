@@ -129,3 +129,27 @@ def test_few_bytes_sent(spark):
     assert unitigs.unitigs(df, Params()).count() == 0
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     assert sent() - before < 1.5 * 100 * 10_000
+
+
+def test_reads_of_tails(spark, monkeypatch):
+    """Tails get the reads that share a k-mer with them, but for repeats, and nothing is broadcast, however small Spark takes it to be."""
+    plans = []
+    kept = unitigs.written
+    monkeypatch.setattr(unitigs, "written", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or kept(df, name))
+    monkeypatch.setattr(unitigs, "_CHUNK", 0)
+    r = random.Random(9)
+    g, p, most = "".join(r.choices("ACGT", k=3000)), Params(), 40
+    reads = sample(g, 30, 100, 4, 0.01) + [(10_000 + i, g[700:760]) for i in range(60)] + [(1 << 40, g[980:1080])]
+    tails = [(i, g[max(0, 150 * i - 200) : 150 * i]) for i in range(1, 20)]
+    made = unitigs._extended(kept(spark.createDataFrame(tails, "end_id bigint, tail string"), "t"), kept(spark.createDataFrame(reads, "rid bigint, seq string"), "r"), p, most)
+    plans.append(made._jdf.queryExecution().toString())
+    words = lambda s: [min(s[i : i + p.k], turn(s[i : i + p.k])) for i in range(len(s) - p.k + 1)]
+    n = Counter(w for _, s in reads for w in words(s))
+    want = {}
+    for end, tail in tails:
+        near = {w for w in words(tail[-p.read_len :]) if n[w] <= most}
+        if mine := [x for x in reads if near & set(words(x[1]))]:
+            rids, seqs = zip(*sorted(mine))
+            want[end] = (len(tail), unitigs.Assembler(list(rids), list(seqs), p).extend(tail, {}, len(tail) + 2 * p.read_len))
+    assert {x.end_id: (x.n_tail, x.made) for x in made.collect()} == want and any(len(m) > n + 20 for n, m in want.values())
+    assert not any("Broadcast" in x for x in plans)
