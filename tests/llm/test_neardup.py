@@ -1,5 +1,8 @@
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomseq.llm import neardup
@@ -112,3 +115,23 @@ def test_groups(spark):
     for i, t in sorted((i, t.upper()) for i, t in rows if t is not None):
         assert (got[i].class_id, got[i].n_links) == (got[first.setdefault(t, i)].class_id, got[first[t]].n_links)
     assert sum(got[i].n_links for i in first.values()) == 2 * len(pairs)
+
+
+def test_unlikely_pairs_are_not_sent():
+    """Of records that meet by chance only those pairs go on that can become candidates, and no candidate is lost."""
+    r = random.Random(12)
+    base = ["".join(r.choices("ACGT", k=100)) for _ in range(900)]
+    seqs = base + [s[:50] + "".join(r.choices("ACGT", k=10)) + s[60:] for s in base[:60]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(seqs))), pa.array(seqs)], ["id", "seq"])
+    sent = list(neardup._send(7, 10, 1, np.empty(0, np.int64))(iter([batch])))
+    met = neardup._meet(10)(pa.Table.from_batches(sent))
+    assert met.column("id_b").null_count == 0
+    n_a = Counter(zip(met.column("id_a").to_pylist(), met.column("id_b").to_pylist()))
+    n_b = dict(zip(n_a, [0] * len(n_a))) | {(a, b): n for a, b, n in zip(*(met.column(c).to_pylist() for c in ("id_a", "id_b", "n_b")))}
+    _, sig = neardup._signature(*neardup.words(*neardup.flat_codes(batch.column("seq")), 7), 0, 26)
+    low, want = (sig[10:] >> np.uint32(8)).astype(np.uint8), {}
+    for a in range(len(seqs)):
+        same_a, same_b = (np.count_nonzero(x[:, a : a + 1] == x[:, a + 1 :], axis=0) for x in (sig[:10], low))
+        want |= {(a, a + 1 + int(j)): (int(same_a[j]), int(same_b[j])) for j in np.flatnonzero((same_a > 0) & (same_b >= 2) & (same_a + same_b >= 5))}
+    assert {p: (n_a[p], n_b[p]) for p in n_a if n_a[p] + n_b[p] >= 5} == want and len(want) >= 60
+    assert met.num_rows < 2 * sum(n for n, _ in want.values())
